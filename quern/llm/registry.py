@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import html_main, knn, langid, media, toxicity
+from quern.llm import html_main, knn, langid, line_dedup, media, ngram_join, toxicity
 from quern.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_five(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_main_text, op3_voronoi_top_k, op7_media_columns, op8_toxicity, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_main_text, op3_voronoi_top_k, op4_line_dedup, op5_ngram_jaccard_join, op7_media_columns, op8_toxicity, op10_language_id)}
 SQL: dict[str, str] = {}
