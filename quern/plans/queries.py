@@ -1,5 +1,6 @@
 """All registered queries."""
 
+from quern.plans import relational, scoring  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
