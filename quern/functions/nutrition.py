@@ -31,9 +31,11 @@ def points(value: Column, thresholds: list[float]) -> Column:
     return sum(((F.coalesce(value > F.lit(float(t)), F.lit(False))).cast("int") for t in thresholds), F.lit(0))
 
 
-def score(energy: Column, sugars: Column, saturated: Column, salt: Column, protein: Column, fibre: Column, fruit: Column, drink: Column, cheese: Column = F.lit(False), red_meat: Column = F.lit(False), sweetened: Column = F.lit(False), water: Column = F.lit(False)) -> Column:
+def score(energy: Column, sugars: Column, saturated: Column, salt: Column, protein: Column, fibre: Column, fruit: Column, drink: Column, cheese: Column | None = None, red_meat: Column | None = None, sweetened: Column | None = None, water: Column | None = None) -> Column:
     """Struct of points_n, points_p, score, grade and the parts."""
 
+    cheese, red_meat, sweetened, water = (F.lit(False) if c is None else c for c in (cheese, red_meat, sweetened, water))
+
     def either(a: Column, b: Column) -> Column:
         return F.when(drink, a).otherwise(b)
 
@@ -56,7 +58,8 @@ def score(energy: Column, sugars: Column, saturated: Column, salt: Column, prote
     return F.struct(n.alias("points_n"), p.alias("points_p"), total.alias("score"), grade(total, drink, water).alias("grade"), *(c.alias(k) for k, c in (parts | plus).items()))
 
 
-def grade(total: Column, drink: Column, water: Column = F.lit(False)) -> Column:
+def grade(total: Column, drink: Column, water: Column | None = None) -> Column:
+    water = F.lit(False) if water is None else water
     food = F.when(total <= 0, "A").when(total <= 2, "B").when(total <= 10, "C").when(total <= 18, "D").otherwise("E")
     wet = F.when(water, "A").when(total <= 2, "B").when(total <= 6, "C").when(total <= 9, "D").otherwise("E")
     return F.when(drink, wet).otherwise(food)

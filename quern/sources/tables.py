@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NULL_TOKENS = ["none", "null", "nan", ""]
 
-OCR_RECORD = T.StructType.fromDDL(
+OCR_RECORD = (
     "case_id string, preset string, set_version string, category string, images array<struct<path:string, error:string, elapsed_s:double, n_lines:int, "
     "lines:array<struct<text:string, score:double, box:array<array<double>>>>>>"
 )
