@@ -28,8 +28,8 @@ SEED = 20240607
 
 def symbol_table() -> np.ndarray:
     """Code point -> symbol: 0 no letter, 1..26 a..z, 27..31 other letters."""
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
+    out = np.zeros(1 << 17, np.uint8)  # planes 0 and 1; what lies above counts as no letter
+    for cp in range(1 << 17):
         if chr(cp).isalpha():
             out[cp] = 27 + cp % 5
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -44,7 +44,8 @@ def trigram_vectors(dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarra
 
 def trigrams(text: str, table: np.ndarray) -> np.ndarray:
     """Codes of all trigrams of a text; runs of other characters count as one gap."""
-    s = table[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = table[np.where(points < len(table), points, 0)]
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int32)
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if s.any() else s[:0]
 
@@ -77,12 +78,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions:
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), block: int = 256) -> DataFrame:
     """id_col and the columns in `keep`, with lang_pred and score (cosine, 0 to 1)."""
     names = sorted(prototypes)
-    spark = df.sparkSession
-    model = spark.sparkContext.broadcast((symbol_table(), np.stack([prototypes[k] for k in names]) if names else np.zeros((0, DIMENSIONS))))
+    symbols, profiles = symbol_table(), np.stack([prototypes[k] for k in names]) if names else np.zeros((0, DIMENSIONS))
     carried = [id_col, *keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, profiles = model.value
         vectors = trigram_vectors(profiles.shape[1])
         for batch in batches:
             texts = batch.column(len(carried))
@@ -92,7 +91,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 counts = np.zeros((len(part), SYMBOLS**3), np.float32)
                 some = np.zeros(len(part), bool)
                 for i, t in enumerate(part):
-                    if t and names and (codes := trigrams(t, table)).size:
+                    if t and names and (codes := trigrams(t, symbols)).size:
                         counts[i] = np.bincount(codes, minlength=SYMBOLS**3)
                         some[i] = True
                 used = np.flatnonzero(counts.any(axis=0))
@@ -125,7 +124,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, sure_after: int = 2
     trigrams for a judgement and stay.
     """
     prototypes = fit(docs)
-    names = docs.columns
-    scored = predict(docs, prototypes, keep=(*(c for c in names if c not in ("doc_id", "text")), "text"))
-    sure = F.length("text") > sure_after
-    return scored.where((F.col("lang_pred") != "und") & ~(sure & (F.col("score") < min_score))).select(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("text").alias("text_"))  # so that no name can clash
+    scored = predict(rows, prototypes, text="text_", id_col="row_")
+    sure = F.length("row_.text") > sure_after
+    return scored.where((F.col("lang_pred") != "und") & ~(sure & (F.col("score") < min_score))).select("row_.*")

@@ -88,16 +88,25 @@ def fit_weights(rows: list[list[int]], twins: list[list[int] | None], labels: np
     positive = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     w, ahead = np.zeros(n + 1), np.zeros(n + 1)
     w[n] = ahead[n] = np.log(positive / (1 - positive))
-    rate = 4.0 / (1 + max((len(x) for x in rows), default=0) / 50)
-    for step in range(steps):
-        z = np.bincount(r, ahead[c], m) + ahead[n]
-        error = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = np.append(np.bincount(c, error[r], n), error.sum()) / m
+
+    def spread(errors: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The gradient for errors a row, with the penalty's and the ridge's parts at v."""
+        grad = np.append(np.bincount(c, errors[r], n), errors.sum()) / m
         if k:
-            gap = np.bincount(ra, ahead[ca], k) - np.bincount(rb, ahead[cb], k)
+            gap = np.bincount(ra, v[ca], k) - np.bincount(rb, v[cb], k)
             grad[:n] += 2 * penalty * (np.bincount(ca, gap[ra], n) - np.bincount(cb, gap[rb], n)) / k
-        grad[:n] += ridge * ahead[:n]
-        new = ahead - rate * grad
+        grad[:n] += ridge * v[:n]
+        return grad
+
+    # The step is one over the largest curvature, by power iteration on the Hessian's bound.
+    v = np.ones(n + 1) / (n + 1) ** 0.5
+    for _ in range(30):
+        v = spread(importance * (np.bincount(r, v[c], m) + v[n]) / 4, v)
+        steepest = max(np.linalg.norm(v), 1e-9)
+        v = v / steepest
+    for step in range(steps):
+        z = np.bincount(r, ahead[c], m) + ahead[n]
+        new = ahead - spread(importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels), ahead) / (1.05 * steepest)
         ahead, w = new + step / (step + 3) * (new - w), new
     return w
 
