@@ -42,7 +42,12 @@ def near_misses(queries: DataFrame, query: str, names: DataFrame, name: str, lea
     parts = q.select("q", k.alias("k"), F.explode(starts).alias("s")).select("q", "k", "s.at", "s.part")
     lengths = [r[0] for r in parts.select(F.length("part")).distinct().limit(64).collect()]  # a few small numbers
     keys = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - size + 1, F.lit(1))), lambda i, size=size: F.struct(i.alias("place"), F.substring(F.col("name"), i, F.lit(size)).alias("part"))) for size in lengths]
+
+    def grams_of(length: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("name") - length + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.struct(i.alias("place"), F.substring(F.col("name"), i, F.lit(length)).alias("part")))
+
+    grams = [grams_of(length) for length in lengths]
     if not grams:
         return q.select("q", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("distance")).limit(0)
     pieces = keys.select("name", F.explode(F.concat(*grams)).alias("g")).select("name", "g.place", "g.part")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quern.plans import relational, scoring, streams, texts  # noqa: F401
+from quern.plans import more, relational, scoring, streams, texts  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -126,3 +126,13 @@ def test_ocr_lines(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"case_id": "c1", "images": [{"path": "p", "lines": [{"text": "x", "score": 0.5, "box": [[1, 2], [5, 2], [5, 9], [1, 9]]}]}]}')
     r = S.ocr_lines(spark, str(tmp_path / "r.json")).first()
     assert (r["case_id"], r["image"], r["line"], r["x0"], r["y0"], r["x1"], r["y1"]) == ("c1", 0, 0, 1.0, 2.0, 5.0, 9.0)
+
+
+def test_sinks(spark, tmp_path):
+    from quern.sources import sinks
+
+    rows = spark.createDataFrame([("a", {"x": 1, "y": 2}), ("b,c", {"y": 0})], "id string, m map<string,int>").coalesce(1)
+    assert sinks.segments_csv(rows, str(tmp_path / "csv"), ["id"], "m") == ["x", "y"]
+    assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines() == ["id,x,y", "a,1,2", '"b,c",,0']
+    old, new = (spark.createDataFrame(r, "k int, v int, at int") for r in ([(1, 10, 1), (2, 20, 1)], [(2, 21, 2), (3, 30, 2)]))
+    assert sorted(map(tuple, sinks.replaced(old, new, "k", "at").collect())) == [(1, 10, 1), (2, 21, 2), (3, 30, 2)]
