@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,25 +44,6 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered for one task; emptied when it has grown beyond `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        from xxhash import xxh3_64_intdigest
-
-        self.digest, self.most = xxh3_64_intdigest, most
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = self.digest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -69,6 +51,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def string_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of a string array's bytes: the mixed (byte, place) pairs are summed and mixed again."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    out = np.zeros(len(words), np.uint64)
+    some = np.diff(offsets) > 0
+    if some.any():
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        starts = offsets[:-1][some] - offsets[0]
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets)[some])
+        out[some] = np.add.reduceat(mix(data + np.uint64(1) + (place.astype(np.uint64) << np.uint64(9))), starts)
+    return mix(out)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words (between ASCII white space, A-Z in lower case) a text, and the 64-bit hashes of all words in order."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    hashes = string_hashes(coded.dictionary)[coded.indices.to_numpy()]
+    if not hashes.all():  # white space at an end of a text leaves an empty word, whose hash is 0
+        real = hashes != 0
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
+        hashes = hashes[real]
+    return lengths, hashes
+
+
 def counted_arrays(
     df: DataFrame,
     count: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[str, np.ndarray]]],
@@ -78,9 +87,9 @@ def counted_arrays(
     """Arrays of a fixed size by key, summed (or or-ed) over all partitions.
 
     `count` turns a partition into (key, array) pairs.  Partial arrays meet in
-    groups of at most `fan_in` tasks, level by level, so no task ever reads more
-    than that many of them.  Keys must be few and arrays bounded: the result is
-    one array a key, on the driver.
+    groups of `fan_in` tasks and these by key, read one by one, so a task holds one
+    array a key.  Keys must be few and arrays bounded: the result is one array a
+    key, on the driver.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +101,12 @@ def counted_arrays(
                 {"key": [key], "at": pa.array([at], pa.int64()), "data": [zlib.compress(array.tobytes(), 1)], "kind": [array.dtype.str]}
             )
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch], together: bool = False) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 array = np.frombuffer(zlib.decompress(row["data"]), np.dtype(row["kind"]))
-                key = row["key"], row["at"]
+                key = row["key"], 0 if together else row["at"]
                 if key not in sums:
                     sums[key] = array.copy()
                 elif merge == "sum":
@@ -106,17 +115,12 @@ def counted_arrays(
                     sums[key] |= array
         for (key, at), array in sums.items():
             yield pa.RecordBatch.from_pydict(
-                {"key": [key], "at": pa.array([at // fan_in], pa.int64()), "data": [zlib.compress(array.tobytes(), 1)], "kind": [array.dtype.str]}
+                {"key": [key], "at": pa.array([at], pa.int64()), "data": [zlib.compress(array.tobytes(), 1)], "kind": [array.dtype.str]}
             )
 
     schema = "key string, at long, data binary, kind string"
-    tasks = max(1, df.rdd.getNumPartitions())
-    parts = df.mapInArrow(partial, schema)
-    while True:
-        parts = parts.repartition("key", "at").mapInArrow(merged, schema)
-        tasks = -(-tasks // fan_in)
-        if tasks == 1:
-            break
+    parts = df.mapInArrow(partial, schema).repartition("key", "at").mapInArrow(merged, schema)
+    parts = parts.repartition("key").mapInArrow(lambda batches: merged(batches, together=True), schema)
     return {r["key"]: np.frombuffer(zlib.decompress(bytes(r["data"])), np.dtype(r["kind"])) for r in parts.collect()}
 
 

@@ -17,21 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Hashes, as_bytes, materialise
-from quern.llm.setjoin import Join, candidates, members, remaining_pairs, verified
+from quern.llm.common import as_bytes, materialise, word_hashes
+from quern.llm.setjoin import Join, candidates, in_question, matching, members, remaining_pairs, sets_of
 
 
-def lines(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat words of all lines, for `Join.flat`."""
-    split = [t.lower().split(b"\n") for t in texts]
-    words = [line.split() for ls in split for line in ls]
-    lengths = np.array([len(w) for w in words], np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(ls) for ls in split])
-    place = np.concatenate([np.arange(len(ls)) for ls in split])
-    return np.repeat(row, lengths), np.repeat(place, lengths), hashes.of([w for ws in words for w in ws])
+    split = pc.split_pattern(texts, "\n")
+    n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths, words = word_hashes(split.flatten())
+    row, place = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(row, lengths), np.repeat(place, lengths), words
 
 
 def later(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -43,29 +43,31 @@ def later(pairs: DataFrame, first: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id long, gone array<int>: the line numbers that go, for every document that loses some."""
-    join = Join(lines, num, den, least)
+    join = Join(lines, num, den, least, words=2)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     found, classes = members(rows, join)
     first = materialise(found.groupBy("rid").agg(F.min(F.struct("o1", "o2")).alias("at")))
-    pairs, long_rows = candidates(rows, join, classes)
-    gone = materialise(later(verified(rows, join, pairs), first))
+    pairs, long_rows = candidates(rows, join, found, classes)
+    sets = sets_of(rows, join, in_question(pairs, long_rows), first.select("rid", "at.o1"))
+    gone = materialise(later(matching(sets, pairs, join), first))
     if not long_rows.isEmpty():
         # Lines that no first record of a list removed meet all earlier lines of their lists.
         placed = long_rows.distinct().join(first, "rid")
         undecided = placed.join(gone, "rid", "left_anti")
         more = materialise(remaining_pairs(placed, pairs, join, undecided, F.col("r.at") < F.col("l.at")))
         if not more.isEmpty():
-            gone = gone.union(later(verified(rows, join, more), first))
+            gone = gone.union(later(matching(sets, more, join), first))
     kept = first.join(gone, "rid", "left_anti").select("rid", "at")
     lost = found.join(kept.withColumnRenamed("rid", "kept_rid"), (found.rid == F.col("kept_rid")) & (F.struct("o1", "o2") == F.col("at")), "left_anti")
     return lost.groupBy(F.col("o1").alias("id")).agg(F.sort_array(F.collect_set("o2")).alias("gone"))
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, the text without its lost lines, n_lines int, n_gone int (0 where nothing is lost)."""
+    """All columns of docs, the text without its lost lines, n_lines__ and n_gone__ (0 where nothing is lost)."""
     names = docs.columns
     at = names.index(text)
-    rows = docs.join(gone.select(F.col("id").alias("lost_id"), "gone"), docs[id_col] == F.col("lost_id"), "left").select(*(docs[c] for c in names), "gone")
+    side = gone.select(F.col("id").alias("lost_id__"), F.col("gone").alias("gone__"))
+    rows = docs.join(side, F.col(id_col) == F.col("lost_id__"), "left").select(*names, "gone__")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,22 +81,22 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
                 counts.append(len(parts))
                 lost.append(len(numbers or ()))
             column = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)], pa.array(counts, pa.int32()), pa.array(lost, pa.int32())], [*names, "n_lines_", "n_gone_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)], pa.array(counts, pa.int32()), pa.array(lost, pa.int32())], [*names, "n_lines__", "n_gone__"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(cut, f"{kinds}, n_lines_ int, n_gone_ int")
+    return rows.mapInArrow(cut, f"{kinds}, n_lines__ int, n_gone__ int")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The query: each document's counts and the digest of what stays."""
     rows = docs.select("doc_id", "text")
     cut = without_lines(rows, repeated_lines(rows))
-    return cut.select("doc_id", F.col("n_lines_").cast("long").alias("n_lines"), F.col("n_gone_").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text")).alias("text_md5"))
+    return cut.select("doc_id", F.col("n_lines__").cast("long").alias("n_lines"), F.col("n_gone__").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text")).alias("text_md5"))
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents without repeated lines; those of which nothing is left go.  Columns as before, n_chars is counted anew."""
-    cut = without_lines(docs, repeated_lines(docs)).where((F.col("n_gone_") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    cut = without_lines(docs, repeated_lines(docs)).where((F.col("n_gone__") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_gone_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("n_gone__") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)

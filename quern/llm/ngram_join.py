@@ -13,20 +13,19 @@ stays repeated, with equal values.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Hashes, materialise, mix
-from quern.llm.setjoin import Join, candidates, components, members, remaining_pairs, verified
+from quern.llm.common import materialise, mix, word_hashes
+from quern.llm.setjoin import Join, candidates, components, in_question, matching, members, remaining_pairs, sets_of
 
 
 def ngrams(size: int):
     """Flat word n-grams of texts, for `Join.flat`."""
 
-    def flat(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = [t.lower().split() for t in texts]  # on bytes: A-Z, and ASCII white space
-        lengths = np.array([len(w) for w in words], np.int64)
-        h = hashes.of([w for ws in words for w in ws])
+    def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths, h = word_hashes(texts)
         row = np.repeat(np.arange(len(texts)), lengths)
         left = np.repeat(lengths, lengths) - (np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths))  # words from here to the end
         gram = np.zeros(len(h), np.uint64)
@@ -45,8 +44,10 @@ def linked(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id
     join = Join(ngrams(size), num, den, most_matches=4)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
     found, classes = members(rows, join)
-    pairs, long_rows = candidates(rows, join, classes)
-    edges = materialise(verified(rows, join, pairs))
+    first = materialise(found.groupBy("rid").agg(F.min("o1").alias("o1")))
+    pairs, long_rows = candidates(rows, join, found, classes)
+    sets = sets_of(rows, join, in_question(pairs, long_rows), first)
+    edges = materialise(matching(sets, pairs, join))
     groups = materialise(components(edges))
     if not long_rows.isEmpty():
         named = materialise(long_rows.join(groups, long_rows.rid == groups.id, "left").select(long_rows["*"], F.coalesce("component", "rid").alias("component")).distinct())
@@ -55,13 +56,11 @@ def linked(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id
         undecided = named.join(largest, "token").where("component <> largest").drop("largest")
         more = materialise(remaining_pairs(named, pairs, join, undecided, F.col("l.component") != F.col("r.component")))
         if not more.isEmpty():
-            edges = edges.union(materialise(verified(rows, join, more)))
+            edges = edges.union(materialise(matching(sets, more, join)))
             groups = materialise(components(edges))
-    sets = found.groupBy("rid").agg(F.min("o1").alias("first"))
-    sets = sets.join(groups, sets.rid == groups.id, "left").select("rid", "first", F.coalesce("component", "rid").alias("component"))
-    named = sets.groupBy("component").agg(F.min("first").alias("component_id"))
-    sets = sets.join(named, "component").select("rid", "component_id")
-    full = found.join(sets, "rid").select(F.col("o1").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    first = first.join(groups, first.rid == groups.id, "left").select("rid", "o1", F.coalesce("component", "rid").alias("component"))
+    named = first.groupBy("component").agg(F.min("o1").alias("component_id"))
+    full = found.join(first.join(named, "component").select("rid", "component_id"), "rid").select(F.col("o1").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
     blank = rows.where(F.col("t").isNull() | ~F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     return full.union(blank.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id")))
 

@@ -9,12 +9,14 @@ publishes such a prefix.  A record whose prefix tokens are frequent takes a larg
 the prefix grows, and its partners must share more of it.  A pair is held to the
 smaller l of its two records.
 
-Every published token has a list.  Lists of up to `SHORT` records give all their
+Published tokens travel as packed blocks, dealt by token to buckets of bounded
+size.  Every token has a list; lists of tokens counted more than `HOT` times are
+dealt on, by record, to parts that share a few records.  Lists of up to `SHORT` records give all their
 pairs that pass the length, positional and bitmap filters (the last: a parity
-bitmap, whose differing bits bound the symmetric difference).  From longer lists
-come only the pairs with the first `PIVOTS` records; what those pairs leave
-undecided is joined again, see `remaining_pairs`.  Candidates are verified on
-the whole sets.
+bitmap, whose differing bits bound the symmetric difference), unless these are
+more than `DENSE` a record.  From dense and longer lists come only the pairs with
+the first `PIVOTS` records; what those pairs leave undecided is joined again, see
+`remaining_pairs`.  Candidates are verified on the whole sets.
 
 Records are known by a 64-bit hash of their set, so equal sets are one record.
 Hashing 64 bits wide, two sets or tokens are taken for one with probability
@@ -28,27 +30,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Hashes, as_bytes, counted_arrays, materialise, mix
+from quern.llm.common import counted_arrays, materialise, mix
 
 BUCKET_BITS = 22
 FILTER_BITS = 24
-SHORT, PIVOTS = 64, 8
-WORDS = 4
-BITS = [f"w{i}" for i in range(WORDS)]
+SHORT, DENSE, PIVOTS = 1024, 4, 8
+HOT, BUCKET_BYTES = 100_000, 8_000_000
 
 
 @dataclass(frozen=True)
 class Join:
-    """What to join: `flat` turns texts' bytes into (row, place in the row, token) arrays, sorted by row and place."""
+    """What to join: `flat` turns texts into (row, place in the row, token) arrays, sorted by row and place."""
 
-    flat: Callable[[list[bytes], Hashes], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    flat: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
     num: int
     den: int
     least: int = 1
     most_matches: int = 1
+    words: int = 4  # of 64 bits in a bitmap; a power of two
+
+    @property
+    def posting(self) -> np.dtype:
+        return np.dtype([("token", "<i8"), ("rid", "<i8"), ("o1", "<i8"), ("o2", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("matches", "<i4"), ("salt", "<i4"), ("pivot", "<i4"), *((w, "<i8") for w in self.bits)])
+
+    @property
+    def bits(self) -> list[str]:
+        return [f"w{i}" for i in range(self.words)]
 
 
 @dataclass
@@ -81,7 +92,11 @@ def records(row: np.ndarray, place: np.ndarray, tokens: np.ndarray, least: int,
     keys = tokens >> np.uint64(8)
     if classes is not None:
         keys = keys | (classes[tokens >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(56))
-    order = np.lexsort((keys, at))
+    if len(at) and at[-1] < 1 << 16:  # two sorts of plain numbers are faster than one by two keys
+        order = np.argsort(keys)
+        order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
+    else:
+        order = np.lexsort((keys, at))
     at, keys, tokens = at[order], keys[order], tokens[order]
     once = np.concatenate(([True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]))) if len(at) else np.zeros(0, bool)
     n = np.bincount(at[once], minlength=int(change.sum()))
@@ -93,33 +108,30 @@ def records(row: np.ndarray, place: np.ndarray, tokens: np.ndarray, least: int,
     return Records(row[change][ok], place[change][ok], start, n, mix(rid).view(np.int64), tokens, keys)
 
 
-def parts(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts as bytes) of a batch in portions of about that many bytes; rows without id are left out."""
-    ids, texts, size = [], [], 0
-    for i, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-        if i is None or not data:
-            continue
-        ids.append(i)
-        texts.append(data)
-        size += len(data)
-        if size >= most_bytes:
-            yield np.array(ids, np.int64), texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), texts
+def parts(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(ids, texts) of a batch in portions of about that many bytes; rows without id or text are left out."""
+    batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
+    if batch.num_rows:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        until = np.cumsum(pc.binary_length(texts).to_numpy()) // most_bytes
+        edges = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), len(ids)]
+        for i, j in zip(edges, edges[1:]):
+            yield ids[i:j], texts.slice(i, j - i)
 
 
 def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     """(rid, o1 = the document, o2 = the record's place in it, n) of every record, and the rarity classes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         pending: list[np.ndarray] = []
+        seen: set[int] = set()
         for batch in batches:
             for ids, texts in parts(batch):
-                row, place, tokens = join.flat(texts, hashes)
-                r = records(row, place, tokens, join.least)
-                pending.append((r.tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                r = records(*join.flat(texts), join.least)
+                new = np.array([k not in seen for k in r.rid.tolist()], bool)  # copies would make their tokens seem frequent
+                seen.update(r.rid.tolist())
+                pending.append((r.tokens[np.repeat(new, r.n)] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
                 if sum(map(len, pending)) > 2_000_000:
                     counts += np.bincount(np.concatenate(pending), minlength=len(counts))
                     pending = []
@@ -165,22 +177,27 @@ def prefixes(r: Records, join: Join) -> tuple[np.ndarray, np.ndarray]:
     return best, (position < np.repeat(first + best - 1, r.n)) & (classes != 1)  # a count of one: no other record has it
 
 
-def bitmaps(r: Records) -> list[np.ndarray]:
-    """Parities of the tokens by their last eight bits, as four words of 64 bits."""
-    word, bit = (r.tokens >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (r.tokens & np.uint64(63))
-    return [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), r.start).view(np.int64) if len(r.n) else np.zeros(0, np.int64) for i in range(WORDS)]
+def bitmaps(r: Records, words: int) -> list[np.ndarray]:
+    """Parities of the tokens by their last bits, as words of 64 bits."""
+    word, bit = (r.tokens >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (r.tokens & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), r.start).view(np.int64) if len(r.n) else np.zeros(0, np.int64) for i in range(words)]
+
+
+def buckets_for(found: DataFrame, join: Join) -> int:
+    """How many buckets keep each near `BUCKET_BYTES`; more if there are more shuffle partitions."""
+    published = found.agg(F.sum(F.col("n") * (1 - join.num / join.den) + 1 + join.most_matches)).first()[0] or 0
+    return max(int(published * join.posting.itemsize / BUCKET_BYTES) + 1, 2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
-    """One row for each token that a record publishes; a record once a partition, or again where it lies earlier."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-    names = ["token", "rid", "o1", "o2", "n", "pos", "matches", *BITS]
+def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, data): packed rows for the tokens that records publish; a record once a partition, or again where it lies earlier."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # one byte for each of 2**22 buckets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), {}
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for ids, texts in parts(batch):
-                r = records(*join.flat(texts, hashes), join.least, shared.value)
+                r = records(*join.flat(texts), join.least, shared.value)
                 o1, new = ids[r.row], np.zeros(len(r.n), bool)
                 for i, key in enumerate(zip(r.rid.tolist(), o1.tolist(), r.place.tolist())):
                     if (old := seen.get(key[0])) is None or key[1:] < old:
@@ -189,131 +206,147 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray) -> DataFrame:
                 matches, published = prefixes(r, join)
                 published &= np.repeat(new, r.n)
                 which = np.repeat(np.arange(len(r.n)), r.n)[published]
-                position = (np.arange(len(r.keys)) - np.repeat(r.start, r.n))[published]
-                kinds = [(r.keys[published].view(np.int64), None), (r.rid[which], None), (o1[which], None), (r.place[which], np.int32), (r.n[which], np.int32), (position, np.int32), (matches[which], np.int32)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(a if k is None else a.astype(k)) for a, k in kinds), *(pa.array(b[which]) for b in bitmaps(r))], names)
-
-    return docs.mapInArrow(scan, "token long, rid long, o1 long, o2 int, n int, pos int, matches int, " + ", ".join(f"{b} long" for b in BITS))
-
-
-def may_match(a: dict[str, np.ndarray], b: dict[str, np.ndarray], join: Join) -> np.ndarray:
-    """Length, positional and bitmap filters on rows of two records that share a token."""
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+                out = np.zeros(len(which), join.posting)
+                out["token"], out["rid"], out["o1"], out["o2"], out["n"] = r.keys[published].view(np.int64), r.rid[which], o1[which], r.place[which], r.n[which]
+                out["pos"], out["matches"], out["salt"] = (np.arange(len(r.keys)) - np.repeat(r.start, r.n))[published], matches[which], -1
+                for w, column in zip(join.bits, bitmaps(r, join.words)):
+                    out[w] = column[which]
+                often = typical((r.keys[published] >> np.uint64(56)).astype(np.uint8))
+                if (hot := often > HOT).any():
+                    pieces, spread = np.ceil(often[hot] / HOT).astype(np.int64), mix(out["rid"][hot].view(np.uint64))
+                    pivot = spread < (PIVOTS / often[hot] * 2.0**64).astype(np.uint64)
+                    out["salt"][hot], out["pivot"][hot] = (spread >> np.uint64(32)).astype(np.int64) % pieces, pivot
+                    every = np.repeat(out[hot][pivot], pieces[pivot])  # the shared records go to all parts
+                    every["salt"] = np.concatenate([np.arange(k) for k in pieces[pivot]]) if pivot.any() else 0
+                    keep = np.ones(len(out), bool)
+                    keep[np.flatnonzero(hot)[pivot]] = False
+                    out = np.concatenate((out[keep], every))
+                bucket = (mix(out["token"].view(np.uint64) + (out["salt"] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, out = bucket[order], out[order]
+                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+                data = [part.tobytes() for part in np.split(out, edges[1:])] if len(edges) else []
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(data, pa.binary())], ["bucket", "data"])
+
+    return docs.mapInArrow(scan, "bucket int, data binary")
+
+
+def may_match(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray, join: Join) -> np.ndarray:
+    """Where rows i of a and j of b, which share a token, pass the length, bitmap and positional filters; as places in i."""
+    na, nb = a["n"][i].astype(np.int64), b["n"][j].astype(np.int64)
     needed = -(-join.num * (na + nb) // (join.num + join.den))
-    ok = (a["rid"] != b["rid"]) & (np.minimum(na, nb) * join.den >= join.num * np.maximum(na, nb))
-    ok &= np.minimum(a["pos"], b["pos"]) + 1 + np.minimum(na - a["pos"] - 1, nb - b["pos"] - 1) >= needed
-    differ = sum(np.bitwise_count((a[w] ^ b[w]).view(np.uint64)).astype(np.int64) for w in BITS)
-    return ok & (differ <= na + nb - 2 * needed)
+    room = na + nb - 2 * needed  # most differing tokens
+    left = np.flatnonzero((np.minimum(na, nb) * join.den >= join.num * np.maximum(na, nb)) & (a["rid"][i] != b["rid"][j]))
+    differ = np.zeros(len(left), np.int64)
+    for w in join.bits:
+        differ += np.bitwise_count((a[w][i[left]] ^ b[w][j[left]]).view(np.uint64))
+        ok = differ <= room[left]
+        left, differ = left[ok], differ[ok]
+    pa_, pb = a["pos"][i[left]].astype(np.int64), b["pos"][j[left]].astype(np.int64)
+    return left[np.minimum(pa_, pb) + 1 + np.minimum(na[left] - pa_ - 1, nb[left] - pb - 1) >= needed[left]]
+
+
+def listed(blocks: DataFrame, join: Join) -> DataFrame:
+    """From postings: kind 0 candidate pairs (a < b); kind 1 the rows of dense and long lists, with rid in `a`.  Memory: one bucket."""
+    bits = join.bits
+
+    def pairs(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        m = len(a)
+        blank = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in bits)]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need.astype(np.int32)), *blank], names)
+
+    def star(pivots: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of a long list against a few of its records, and themselves."""
+        p, m = len(pivots), len(x)
+        for at in range(0, m, 20_000):
+            k = min(20_000, m - at)
+            i, j = np.repeat(np.arange(p), k), np.tile(np.arange(at, at + k), p)
+            ok = may_match(pivots, i, x, j, join)
+            yield pairs(pivots["rid"][i[ok]], x["rid"][j[ok]], np.zeros(len(ok)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(x["rid"].copy()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.array(x[c].copy()) for c in ("token", "n", "pos", *bits))], names)
+
+    def solve(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The lists of one bucket."""
+        x = x[np.lexsort((x["o1"], x["salt"], x["token"]))]
+        begins = np.flatnonzero(np.concatenate(([True], (x["token"][1:] != x["token"][:-1]) | (x["salt"][1:] != x["salt"][:-1]))))
+        sizes = np.diff(np.append(begins, len(x)))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        by_length = np.lexsort((x["n"], of))
+        n = x["n"][by_length].astype(np.int64)
+        found, counts, dense = [], np.zeros(len(sizes), np.int64), (sizes > SHORT) | (x["salt"][begins] >= 0)
+        left, ahead = np.flatnonzero(~dense[of] & (sizes[of] > 1)), 1
+        columns = {c: np.ascontiguousarray(x[c]) for c in ("rid", "n", "pos", *bits)}
+        while len(left):  # each row with the one that follows `ahead` places later in its list, while lengths allow
+            left = left[left + ahead < len(n)]
+            left = left[(of[left] == of[left + ahead]) & (n[left] * join.den >= join.num * n[left + ahead])]
+            for at in range(0, len(left), 100_000):
+                i, j = by_length[left[at : at + 100_000]], by_length[left[at : at + 100_000] + ahead]
+                if len(ok := may_match(columns, i, columns, j, join)):
+                    found.append((i[ok], j[ok]))
+                    counts += np.bincount(of[i[ok]], minlength=len(sizes))
+            if (crowded := (counts > DENSE * sizes + SHORT) & ~dense).any():
+                dense |= crowded
+                left = left[~dense[of[left]]]
+                found = [(i[keep], j[keep]) for i, j in found for keep in (~dense[of[i]],)]
+            ahead += 1
+        if found:
+            i, j = (np.concatenate(side) for side in zip(*found))
+            yield pairs(x["rid"][i], x["rid"][j], np.minimum(x["matches"][i], x["matches"][j]))
+        for at, size in zip(begins[dense].tolist(), sizes[dense].tolist()):
+            rows = x[at : at + size]
+            pivots = rows[rows["pivot"] > 0]
+            yield from star(pivots if len(pivots) else rows[:PIVOTS], rows)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield from solve(np.frombuffer(b"".join(held), join.posting))
+                    held = []
+                now = bucket
+                held.append(data.as_buffer().to_pybytes())
+        if held:
+            yield from solve(np.frombuffer(b"".join(held), join.posting))
 
-LISTED = "kind int, a long, b long, need int, token long, n int, pos int, " + ", ".join(f"{b} long" for b in BITS)
+    names = ["kind", "a", "b", "need", "token", "n", "pos", *bits]
+    schema = "kind int, a long, b long, need int, token long, n int, pos int, " + ", ".join(f"{b} long" for b in bits)
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, schema)
 
 
-def listed(rows: DataFrame, join: Join, most_rows: int = 100_000) -> DataFrame:
-    """From postings: kind 0 candidate pairs (a < b); kind 1 the rows of long lists, with rid in `a`.
+def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) -> DataFrame:
+    """(rid, tokens) of the records in `wanted` (rid).  first: (rid, o1), a document of each record.
 
-    Memory: `most_rows` rows and one Arrow batch; a list longer than that is read in
-    portions against its first records.
+    Filters of fixed size pick the documents to cut into words and then the records; what they let through besides does no harm.
     """
-    columns = ["token", "rid", "n", "pos", "matches", *BITS]
-
-    def take(x: dict[str, np.ndarray], i) -> dict[str, np.ndarray]:
-        return {k: v[i] for k, v in x.items()}
-
-    def pairs(a: dict, b: dict, exempt: bool) -> pa.RecordBatch:
-        ok = may_match(a, b, join)
-        a, b = take(a, ok), take(b, ok)
-        m = len(a["rid"])
-        need = np.zeros(m, np.int32) if exempt else np.minimum(a["matches"], b["matches"])
-        blank = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in BITS)]
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.minimum(a["rid"], b["rid"])), pa.array(np.maximum(a["rid"], b["rid"])), pa.array(need), *blank], names)
-
-    def long_rows(x: dict) -> pa.RecordBatch:
-        m = len(x["rid"])
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(x["rid"]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.array(x[c]) for c in ("token", "n", "pos", *BITS))], names)
-
-    def star(pivots: dict, x: dict) -> Iterator[pa.RecordBatch]:
-        p, m = len(pivots["rid"]), len(x["rid"])
-        for i in range(0, m, 20_000):
-            k = min(20_000, m - i)
-            yield pairs(take(pivots, np.repeat(np.arange(p), k)), take(x, np.tile(np.arange(i, i + k), p)), True)
-        yield long_rows(x)
-
-    def solve(x: dict) -> Iterator[pa.RecordBatch]:
-        """Whole lists, sorted by token."""
-        begins = np.flatnonzero(np.concatenate(([True], x["token"][1:] != x["token"][:-1])))
-        sizes = np.diff(np.append(begins, len(x["token"])))
-        for at, size in zip(begins[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-            yield from star(take(x, slice(at, at + PIVOTS)), take(x, slice(at, at + size)))
-        left = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
-        ahead = 1
-        while len(left):
-            left = left[left + ahead < len(x["token"])]
-            left = left[x["token"][left] == x["token"][left + ahead]]
-            for i in range(0, len(left), 200_000):
-                yield pairs(take(x, left[i : i + 200_000]), take(x, left[i : i + 200_000] + ahead), False)
-            ahead += 1
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        hot: tuple[int, dict] | None = None  # a list that goes on, and its first records
-        size = 0
-        for batch in batches:
-            held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns})
-            size += batch.num_rows
-            if size < most_rows:
-                continue
-            x = {c: np.concatenate([h[c] for h in held]) for c in columns}
-            if hot:
-                more = x["token"] == hot[0]
-                if more.any():
-                    yield from star(hot[1], take(x, more))
-                if not more.all():
-                    hot = None
-                x = take(x, ~more)
-            last = x["token"] == x["token"][-1] if len(x["token"]) else np.zeros(0, bool)
-            if not last.all():
-                yield from solve(take(x, ~last))
-            x = take(x, last)
-            if len(x["token"]) >= most_rows // 2:
-                hot = int(x["token"][0]), take(x, slice(0, PIVOTS))
-                yield from star(hot[1], x)
-                x = take(x, slice(0, 0))
-            held, size = [x], len(x["token"])
-        x = {c: np.concatenate([h[c] for h in held]) for c in columns} if held else None
-        if x is not None and hot:
-            more = x["token"] == hot[0]
-            yield from star(hot[1], take(x, more))
-            x = take(x, ~more)
-        if x is not None and len(x["token"]):
-            yield from solve(x)
-
-    names = ["kind", "a", "b", "need", "token", "n", "pos", *BITS]
-    dealt = rows.repartition("token").sortWithinPartitions("token", "o1", "o2").select(*columns)
-    return dealt.mapInArrow(scan, LISTED)
-
-
-def verified(docs: DataFrame, join: Join, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold.  Only sets of candidates are shuffled; a filter of fixed size picks them."""
     spark = docs.sparkSession
     mask = (1 << FILTER_BITS) - 1
 
     def marks(batches: Iterator[pa.RecordBatch]):
-        found = np.zeros(1 << FILTER_BITS, bool)
+        found = np.zeros((2, 1 << FILTER_BITS), bool)
         for batch in batches:
-            for column in batch.columns:
-                found[column.to_numpy() & mask] = True
-        yield "bits", np.packbits(found)
+            for k in (0, 1):
+                found[k, (mix(batch.column(k).to_numpy().view(np.uint64)) & np.uint64(mask)).astype(np.int64)] = True
+        yield "rid", np.packbits(found[0])
+        yield "document", np.packbits(found[1])
 
-    got = counted_arrays(pairs.select("a", "b"), marks, merge="or")
-    shared = spark.sparkContext.broadcast(got.get("bits", np.zeros((1 << FILTER_BITS) // 8, np.uint8)))
+    got = counted_arrays(wanted.join(first, "rid").select("rid", "o1"), marks, merge="or")
+    none = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    shared = spark.sparkContext.broadcast((got.get("rid", none), got.get("document", none)))
+
+    def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        at = (mix(keys.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted, seen = Hashes(), np.unpackbits(shared.value).view(bool), set()
+        rids, documents = shared.value
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(has(documents, batch.column(0).to_numpy()))) if batch.num_rows else batch
             for _, texts in parts(batch):
-                r = records(*join.flat(texts, hashes), join.least)
-                keep = wanted[r.rid & mask]
+                r = records(*join.flat(texts), join.least)
+                keep = has(rids, r.rid)
                 for i in np.flatnonzero(keep).tolist():
                     if (k := int(r.rid[i])) in seen:
                         keep[i] = False
@@ -322,24 +355,36 @@ def verified(docs: DataFrame, join: Join, pairs: DataFrame) -> DataFrame:
                 tokens = r.tokens[np.repeat(keep, r.n)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(r.rid[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["rid", "tokens"])
 
-    sets = docs.mapInArrow(scan, "rid long, tokens array<long>").dropDuplicates(["rid"])
-    both = pairs.select("a", "b").join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y")), "b")
+    return materialise(docs.mapInArrow(scan, "rid long, tokens array<long>").dropDuplicates(["rid"]))
+
+
+def matching(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that reach the threshold."""
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(common * join.den >= (F.size("x") + F.size("y") - common) * join.num).select("a", "b")
 
 
-def candidates(docs: DataFrame, join: Join, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, rows of long lists), both written out."""
-    found = materialise(listed(postings(docs, join, classes), join))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
-    return pairs, found.where("kind = 1").select(F.col("a").alias("rid"), "token", "n", "pos", *BITS)
+def candidates(docs: DataFrame, join: Join, found: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, rows of dense and long lists), both written out."""
+    rows = materialise(listed(postings(docs, join, classes, buckets_for(found, join)), join))
+    pairs = rows.where("kind = 0")
+    if join.most_matches > 1:
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need")
+    pairs = materialise(pairs.select("a", "b").distinct())
+    return pairs, rows.where("kind = 1").select(F.col("a").alias("rid"), "token", "n", "pos", *join.bits)
+
+
+def in_question(pairs: DataFrame, long_rows: DataFrame) -> DataFrame:
+    """rid of every record that a verification may need."""
+    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(long_rows.select("rid")).distinct()
 
 
 def join_condition(join: Join):
     """The filters of `may_match` for columns of two long-list rows, l and r, that share a token."""
     na, nb = F.col("l.n").cast("long"), F.col("r.n").cast("long")
     needed = F.ceil((na + nb) * join.num / (join.num + join.den) - F.lit(1e-9))
-    differ = sum((F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in BITS[1:]), F.bit_count(F.col(f"l.{BITS[0]}").bitwiseXOR(F.col(f"r.{BITS[0]}"))))
+    differ = sum((F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in join.bits), F.lit(0))
     fits = F.least("l.pos", "r.pos") + 1 + F.least(na - F.col("l.pos") - 1, nb - F.col("r.pos") - 1) >= needed
     return (F.least(na, nb) * join.den >= F.greatest(na, nb) * join.num) & fits & (differ <= na + nb - 2 * needed)
 
