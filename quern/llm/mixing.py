@@ -115,7 +115,7 @@ def with_copies(rows: DataFrame, ends: DataFrame, seed: int = SEED, most_broadca
 def mix(docs: DataFrame) -> DataFrame:
     """The query: doc_id, domain, lang, source, n_tokens, copies of every document."""
     thin = materialise(leaves_of(docs))
-    return with_copies(thin, cutoffs(thin))
+    return with_copies(thin, cutoffs(thin)).select("doc_id", *LEAF, "n_tokens", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
