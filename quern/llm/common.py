@@ -14,8 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: unless the session sets another size, Arrow batches hold 1000 rows, which bounds the workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to the columns that the caller needs."""
+    short_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
