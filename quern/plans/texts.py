@@ -130,6 +130,17 @@ def interval_overlap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.overlapping(s, o, ("a1", "b1"), ("a2", "b2"), 16, ["grp"]).groupBy("l_orderkey", "l_linenumber", "o_orderkey").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, {l} AS a, {l} + CAST(l_quantity AS INT) % 7 + 1 AS b FROM lineitem), o AS (SELECT o_orderkey, {o} AS a, {o} + 3 AS b FROM orders)
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM s JOIN o ON l_orderkey = o_orderkey AND s.a < o.b AND o.a < s.b GROUP BY ALL""".replace("{l}", "epoch_us(l_shipdate) // 86400000000").replace("{o}", "epoch_us(o_orderdate) // 86400000000"))
+def interval_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose span overlaps the first three days of their order.  All rows of both tables enter; `interval_overlap_sources` reads a subset of the ids."""
+    day = lambda c: F.floor(epoch_seconds(F.col(c)) / 86400)
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")  # noqa: E741
+    s = l.select(F.col("l_orderkey").alias("key"), "l_linenumber", day("l_shipdate").alias("a1"), (day("l_shipdate") + F.col("l_quantity").cast("int") % 7 + 1).alias("b1"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("key"), day("o_orderdate").alias("a2"), (day("o_orderdate") + 3).alias("b2"))
+    return M.overlapping(s, o, ("a1", "b1"), ("a2", "b2"), 16, ["key"]).groupBy(F.col("key").alias("l_orderkey"), "l_linenumber").agg(F.count("*").alias("n"))
+
+
 @query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view'), b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click'),
 n AS (SELECT user_id FROM events GROUP BY user_id HAVING abs(count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click')) <= 3)
 SELECT user_id, k, event_id, value FROM a JOIN b USING (user_id, k) JOIN n USING (user_id)""")

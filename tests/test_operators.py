@@ -101,6 +101,26 @@ def test_overlaps(spark):
     assert {(r["i"], r["j"]) for r in M.overlapping(a, b, ("a1", "b1"), ("a2", "b2"), 8).collect()} == {(1, 1), (1, 2)}
 
 
+def test_overlap_of_whole_tables(spark, tmp_path):
+    """Orders and lines of any supplier and customer, against brute force."""
+    from datetime import datetime, timedelta
+
+    from quern.plans import queries
+
+    first = datetime(1995, 1, 1)
+    lines = [(k % 40, k % 7, k % 11, first + timedelta(days=k * 5 % 23), float(k % 50 + 1)) for k in range(300)]
+    orders = [(k, 300 + k, first + timedelta(days=k * 3 % 23)) for k in range(50)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for k, number, _, ship, quantity in lines:
+        for order, _, day in orders:
+            if k == order and ship < day + timedelta(days=3) and day < ship + timedelta(days=int(quantity) % 7 + 1):
+                want[k, number] = want.get((k, number), 0) + 1
+    got = {(r["l_orderkey"], r["l_linenumber"]): r["n"] for r in queries.QUERIES["interval_overlap_whole"](spark, str(tmp_path)).collect()}
+    assert len(want) > 10 and got == want
+
+
 def test_brackets_edits_repetition():
     items = G.bracket_items("糖, 醬油(水、鹽(海鹽)), 油)x")
     assert [(i["name"], i["path"]) for i in items] == [("糖", []), ("醬油", []), ("水", ["醬油"]), ("鹽", ["醬油"]), ("海鹽", ["醬油", "鹽"]), ("油", []), ("x", [])]
