@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -141,12 +143,70 @@ def repetition(text: str | None, most_period: int = 16, window: int = 180, share
     return 0
 
 
+def periodic_runs(text: str | None, most_period: int = 16, least: int = 180) -> list[tuple[int, int, int]]:
+    """(start, end, period) of all stretches of at least `least` characters in which a unit stands again and again in full.
+
+    From left to right, the shortest period first; a run ends with the last whole unit, and the next one begins at or after that.
+    Places where s[i] == s[i + p] stand in stretches; within one, the run from i has a unit more than the matches from i hold.
+    """
+    s = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+    todo: list[tuple[int, int, int]] = []  # (start, period, end of the stretch of matches)
+    for p in range(1, most_period + 1):
+        matches = (-(-least // p) - 1) * p  # that a run of `least` characters has
+        if len(s) < matches + p:
+            continue
+        same = s[p:] == s[:-p]
+        if np.count_nonzero(same) < matches:
+            continue
+        edges = np.concatenate(([-1], np.flatnonzero(~same), [len(same)]))
+        for k in np.flatnonzero(np.diff(edges) - 1 >= max(matches, 1)).tolist():
+            todo.append((int(edges[k]) + 1, p, int(edges[k + 1])))
+    heapq.heapify(todo)
+    runs, at = [], 0
+    while todo:
+        start, p, stop = heapq.heappop(todo)
+        if start < at:  # what is left of the stretch may still be long enough
+            start = at
+            if stop >= at and ((stop - at) // p + 1) * p >= least:
+                heapq.heappush(todo, (start, p, stop))
+            continue
+        at = start + ((stop - start) // p + 1) * p
+        runs.append((start, at, p))
+    return runs
+
+
+def without_runs(text: str, runs: list[tuple[int, int, int]]) -> str:
+    """The text without those runs."""
+    edges = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def degenerate_tail(text: str | None, most_period: int = 16, window: int = 180, share: float = 0.9) -> int | None:
+    """Where the repetitive end of a text of at least `window` characters begins: its last unit is followed back while it stands unchanged."""
+    if len(text or "") < window or not (p := repetition(text, most_period, window, share)):
+        return None
+    unit, i = text[-p:], len(text)
+    while i >= p and text[i - p : i] == unit:
+        i -= p
+    return i
+
+
 def repetitions(df: DataFrame, key: str, text: str) -> DataFrame:
-    @F.pandas_udf("int")
-    def period(texts: pd.Series) -> pd.Series:
-        return texts.map(repetition).astype("int32")
+    """key, period (of the text's end, 0 without one), tail_start and trimmed (where that end begins, null without one, and its characters),
+    runs (start, end, period of every run in the whole text), removed (their characters) and kept_md5 (of the text without them).
+    """
 
-    return df.select(key, period(F.col(text)).alias("period"))
+    @F.pandas_udf("period int, tail_start int, trimmed int, runs array<struct<start:int,end:int,period:int>>, removed int, kept_md5 string")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            runs, tail = periodic_runs(t), degenerate_tail(t)
+            digest = None if t is None else hashlib.md5(without_runs(t, runs).encode()).hexdigest()
+            out.append((repetition(t), tail, 0 if tail is None else len(t) - tail, [dict(zip(("start", "end", "period"), r)) for r in runs], sum(b - a for a, b, _ in runs), digest))
+        rows = pd.DataFrame(out, columns=["period", "tail_start", "trimmed", "runs", "removed", "kept_md5"])
+        return rows.astype({"period": "int32", "tail_start": "Int32", "trimmed": "int32", "removed": "int32"})
+
+    return df.select(key, found(F.col(text)).alias("f")).select(key, "f.*")
 
 
 def bootstrap(df: DataFrame, group: str, a: str, b: str, rounds: int = 200, seed: int = 0) -> DataFrame:

@@ -121,6 +121,45 @@ def test_overlap_of_whole_tables(spark, tmp_path):
     assert len(want) > 10 and got == want
 
 
+def slow_runs(text, least=180):
+    runs, i = [], 0
+    while i < len(text):
+        for p in range(1, 17):
+            j = i
+            while j + p <= len(text) and text[j : j + p] == text[i : i + p]:
+                j += p
+            if j - i >= least:
+                runs.append((i, j, p))
+                i = j
+                break
+        else:
+            i += 1
+    return runs
+
+
+def test_runs_in_the_whole_text(spark):
+    """Runs at the start, in the middle and at the end, next to each other and on their own, against a plain scan."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    clean = lambda n: "".join(rng.choice("abcdefghijklmnop 公克\U0001f600") for _ in range(n))
+    texts = ["ab" * 95 + clean(200), clean(150) + "公克" * 100 + clean(200), clean(100) + "xyz" * 70, "a" * 179, "a" * 180, "ab" * 90 + "a", "abcdefg" * 25 + "abcde", "a" * 200 + "ab" * 120 + "b" * 300, clean(3000), ""]
+    for _ in range(60):
+        texts.append("".join(clean(rng.randint(0, 30)) + clean(rng.randint(1, 16)) * rng.randint(1, 200) for _ in range(3)))
+        texts.append("".join(rng.choice("ab") * rng.randint(1, 150) for _ in range(8)))
+    for t in texts:
+        assert G.periodic_runs(t) == slow_runs(t)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(-1, None)]
+    got = {r["k"]: r for r in G.repetitions(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert len(got) == len(rows)
+    middle = got[1]
+    assert middle["period"] == 0 and middle["tail_start"] is None and middle["removed"] == 200 and [tuple(r) for r in middle["runs"]] == [(150, 350, 2)]
+    assert middle["kept_md5"] == hashlib.md5((texts[1][:150] + texts[1][350:]).encode()).hexdigest()
+    assert (got[2]["period"], got[2]["tail_start"], got[2]["trimmed"]) == (3, 100, 210)
+    assert got[-1]["runs"] == [] and got[-1]["kept_md5"] is None
+
+
 def test_brackets_edits_repetition():
     items = G.bracket_items("糖, 醬油(水、鹽(海鹽)), 油)x")
     assert [(i["name"], i["path"]) for i in items] == [("糖", []), ("醬油", []), ("水", ["醬油"]), ("鹽", ["醬油"]), ("海鹽", ["醬油", "鹽"]), ("油", []), ("x", [])]
