@@ -4,7 +4,9 @@ A line's set holds its distinct words (bytes between white space, A-Z in lower
 case).  Lines are compared across and within documents; two match at a Jaccard
 similarity of 0.8 or more.  A line goes if it matches any earlier one, in the
 order of document id and line number.  Lines with fewer than `least` distinct
-words (five) are too short to be copies of anything and stay.
+words stay: with 1, as in the query, these are the blank lines only, with 5, as in
+the pipeline's stage, also every shorter line, copies included.  Sets of up to
+three words match equal sets only; four words also match five that hold them.
 
 Null texts stay null, empty ones empty.  Line numbers count from 0, split at
 newlines only.  Rows that share an id count as one document whose lines coincide:
@@ -43,7 +45,7 @@ def later(pairs: DataFrame, first: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id long, gone array<int>: the line numbers that go, for every document that loses some."""
-    join = Join(lines, num, den, least, words=2)
+    join = Join(lines, num, den, least, words=2, publish_from=-(-num // max(den - num, 1)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     found, classes = members(rows, join)
     first = materialise(found.groupBy("rid").agg(F.min(F.struct("o1", "o2")).alias("at")))
@@ -87,10 +89,10 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     return rows.mapInArrow(cut, f"{kinds}, n_lines__ int, n_gone__ int")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """The query: each document's counts and the digest of what stays."""
     rows = docs.select("doc_id", "text")
-    cut = without_lines(rows, repeated_lines(rows))
+    cut = without_lines(rows, repeated_lines(rows, least=least))
     return cut.select("doc_id", F.col("n_lines__").cast("long").alias("n_lines"), F.col("n_gone__").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text")).alias("text_md5"))
 
 

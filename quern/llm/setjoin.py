@@ -52,6 +52,7 @@ class Join:
     least: int = 1
     most_matches: int = 1
     words: int = 4  # of 64 bits in a bitmap; a power of two
+    publish_from: int = 1  # sets of fewer tokens reach the threshold only with equal sets, which are one record, and publish nothing
 
     @property
     def posting(self) -> np.dtype:
@@ -204,7 +205,7 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) ->
                         seen[key[0]] = key[1:]
                         new[i] = True
                 matches, published = prefixes(r, join)
-                published &= np.repeat(new, r.n)
+                published &= np.repeat(new & (r.n >= join.publish_from), r.n)
                 which = np.repeat(np.arange(len(r.n)), r.n)[published]
                 out = np.zeros(len(which), join.posting)
                 out["token"], out["rid"], out["o1"], out["o2"], out["n"] = r.keys[published].view(np.int64), r.rid[which], o1[which], r.place[which], r.n[which]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import knn, line_dedup, mixing, ngram_join, setjoin
+from quern.llm import knn, line_dedup, mixing, ngram_join, registry, setjoin
 
 
 def near_copies(seed=5, families=4, members=30, words=60):
@@ -97,6 +97,20 @@ def test_line_dedup(spark, limits):
         assert r["n_lines"] == (len(text.split("\n")) if text else 0)
 
 
+def test_short_line_dedup(spark, limits, tmp_path):
+    """The query removes later copies of short, one-word and few-distinct-word lines as well; four words match five that hold them."""
+    rng = random.Random(2)
+    some = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    rows = [(1, "p q r s\n\none"), (2, "p q r s t\nONE\n \n"), (3, "p q r\np q r\np q r x"), (4, "同じ行です\n" + "na " * 500), (5, "同じ行です\n\n" + "na " * 499), (6, None), (7, "")]
+    rows += [(10 + k, "\n".join(some[k * 10 : k * 10 + 10])) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(rows, least=1)
+    assert want[2] == " \n" and want[3] == "p q r\np q r x" and want[5] == ""
+    for r in registry.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect():
+        kept = want[r["doc_id"]]
+        assert r["text_md5"] == (None if kept is None else hashlib.md5(kept.encode()).hexdigest()), r["doc_id"]
+
+
 def test_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
