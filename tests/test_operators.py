@@ -160,6 +160,24 @@ def test_runs_in_the_whole_text(spark):
     assert got[-1]["runs"] == [] and got[-1]["kept_md5"] is None
 
 
+def test_whole_texts(spark, tmp_path):
+    """Texts that differ only after their first characters are different ones."""
+    from quern.plans import queries
+
+    same = "the same beginning of sixty characters and more, word by word: "
+    spark.createDataFrame([("a", same + "x"), ("b", same + "y"), ("b", same + "z"), ("c", same + "z")], "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, same + "abcdefgh" * 8), (1, 1, same + "12345678" * 8), (2, 0, "QXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQXQX" + "".join(map(chr, range(200, 300)))), (2, 1, "QX" * 30 + "".join(map(chr, range(1000, 1100))))]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    gain = {tuple(r) for r in queries.QUERIES["leave_one_out_gain_whole"](spark, str(tmp_path)).select("source", "found", "only_here", "gain").collect()}
+    assert gain == {("a", 1, 1, 1.0), ("b", 2, 1, 0.5), ("c", 1, 0, 0.0)}
+    found = {r["conv_id"]: r["edits"] for r in queries.QUERIES["semi_global_edit"](spark, str(tmp_path)).collect()}
+    texts = {(c, k): t for c, k, t in turns}
+    assert found == {c: min(edits(texts[c, 0], texts[c, 1][a:b]) for a in (0,) for b in range(len(texts[c, 1]) + 1)) for c in (1, 2)}
+    merged = {(r["conv_id"], r["turn"]): r["merged"] for r in queries.QUERIES["event_merge_greedy"](spark, str(tmp_path)).collect()}
+    assert merged[2, 0] == 0 and merged[2, 1] == 1  # equal for 60 characters, few pairs in common
+    assert merged[1, 0] == merged[1, 1] == 0
+
+
 def test_brackets_edits_repetition():
     items = G.bracket_items("糖, 醬油(水、鹽(海鹽)), 油)x")
     assert [(i["name"], i["path"]) for i in items] == [("糖", []), ("醬油", []), ("水", ["醬油"]), ("鹽", ["醬油"]), ("海鹽", ["醬油", "鹽"]), ("油", []), ("x", [])]
