@@ -5,8 +5,12 @@ asides, hidden parts and elements whose class, id or role names boilerplate
 (adverts, notices, sidebars, comments ...) are left out.  Every paragraph gives
 points for its length and its commas to its ancestors, in full to the parent,
 half to the grandparent and ever less above; a container's points are multiplied
-by one minus its link density.  The best container is kept with those siblings
-that score at least a fifth of it or are long paragraphs with few links.
+by one minus its link density.  The best container gives way to the article, or
+else main, around it, or else to its parents while these add only text with few
+links.  It is kept whole, lists of links within an article or main included, with
+the headings beside it, the siblings that score at least a fifth of it or are long
+paragraphs with few links and, unless an article or main ends there, everything
+else beside it that has few links.
 
 Each kept block's text is decoded, its white space becomes single spaces, and
 blocks are joined by one space in page order.  Null or empty html gives an empty
@@ -136,8 +140,15 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
-def blocks(root: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order."""
+def around(node: Node | None, *tags: str) -> Node | None:
+    """The nearest node with one of those tags, from the node up."""
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node
+
+
+def blocks(root: Node, whole: Node | None = None) -> list[str]:
+    """Texts of the blocks below a node, in page order; lists of links only within an article or main, or as `whole`."""
     out: list[str] = []
     run: list[str] = []
 
@@ -153,7 +164,7 @@ def blocks(root: Node) -> list[str]:
             flush()
         elif isinstance(part, str):
             run.append(part)
-        elif part.tag in ("ul", "ol", "table", "div") and part.links > 0.75 * part.chars > 0 and part is not root:
+        elif part.tag in ("ul", "ol", "table", "div") and part.links > 0.75 * part.chars > 0 and part is not whole and around(part, "article", "main") is None:
             flush()  # a list of links
         else:
             block = part.tag in BLOCK
@@ -188,6 +199,18 @@ def measure(nodes: list[Node]) -> None:
                 node.score *= 1.5
 
 
+def container(best: Node) -> Node:
+    """What to keep whole around the best node."""
+    if (named := around(best, "article") or around(best, "main")) is not None:
+        return named
+    while best.parent.tag not in ("#root", "html", "body"):
+        more, linked = best.parent.chars - best.chars, best.parent.links - best.links
+        if more > 0 and linked >= 0.25 * more:
+            break
+        best = best.parent
+    return best
+
+
 def main_text(html: str | None) -> str:
     """The page's main text; empty where it has none."""
     if not html:
@@ -200,14 +223,18 @@ def main_text(html: str | None) -> str:
             best = node
     if best is None:
         return " ".join(blocks(nodes[0]))
-    kept = []
-    for sibling in best.parent.parts:
+    box = container(best)
+    open_ = box.tag not in ("article", "main") or around(box.parent, "article", "main") is not None  # what is beside may belong to it
+    kept = Node("#kept", None)
+    for sibling in box.parent.parts:
         if isinstance(sibling, str):
-            continue
-        density = sibling.links / sibling.chars if sibling.chars else 1.0
-        if sibling is best or sibling.score >= 0.2 * best.score or sibling.tag == "p" and sibling.chars > 80 and density < 0.25:
-            kept += blocks(sibling)
-    return " ".join(kept)
+            keep = open_
+        else:
+            density = sibling.links / sibling.chars if sibling.chars else 1.0
+            keep = sibling is box or sibling.tag in HEADING or sibling.score >= 0.2 * best.score or density < 0.25 and (open_ or sibling.tag == "p" and sibling.chars > 80)
+        if keep:
+            kept.parts.append(sibling)
+    return " ".join(blocks(kept, box))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -69,6 +69,21 @@ def test_main_text():
     assert html_main.main_text("<!-- <p>x</p> --><article><p>one &lt;tag&gt;</p></article") == "one <tag>"
 
 
+def test_main_text_of_nested_layouts():
+    """Headings, short sections and lists of references of an article are part of it, whichever child has the points."""
+    long = "Long text, with commas, and words enough to score well in any tree. " * 3
+    text = " ".join(long.split())
+    body = f"<p>{long}</p>" * 6
+    menu = "<ul><li><a href=a>Menu one</a><li><a href=b>Menu two</a></ul>"
+    got = html_main.main_text
+    six = " ".join([text] * 6)
+    assert got(f"<body>{menu}<article><h1>Title</h1><div>{body}</div></article>{menu}</body>") == f"Title {six}"
+    assert got(f"<main><h1>Title</h1><section><h2>One</h2>{body}</section><section><h2>Two</h2><p>Short.</p></section><blockquote>Said.</blockquote><pre>x = 1</pre><p>End.</p></main>") == f"Title One {six} Two Short. Said. x = 1 End."
+    assert got(f"<article><div>{body}</div><h2>References</h2><ol><li><a href=a>First work</a><li><a href=b>Second work</a></ol></article>") == f"{six} References First work Second work"
+    assert got(f"<body><div id=page>{menu}<div><h1>Title</h1><div><div>{body}</div></div><div><p>Short.</p></div></div></div>{menu}</body>") == f"Title {six} Short."
+    assert got(f"<main><h1>Title</h1><article><div>{body}</div></article><p>End.</p></main>") == f"Title {six} End."
+
+
 def test_pages_like_their_articles(spark):
     for r in html_main.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), keep=("page_id", "html")).collect():
         article = re.search(r"<article>(.*?)(</article>|<footer>|$)", r["html"], re.S)[1]
