@@ -14,14 +14,16 @@ def substrings(text: Column, least: int, most: Column | int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.coalesce(sizes, F.array().cast("array<int>")), cut)))
 
 
-def longest_contained(items: DataFrame, item: str, names: DataFrame, name: str, least: int = 2, most: int = 40, ratio: float = 0.0) -> DataFrame:
+def longest_contained(items: DataFrame, item: str, names: DataFrame, name: str, least: int = 2, most: int | None = None, ratio: float = 0.0) -> DataFrame:
     """For each distinct item the equal name, else the longest one it contains (at least `ratio` of it); ties: the first in order.
 
-    Items explode into their substrings, which meet the names in an equi-join.
+    Items explode into their substrings, up to the longest name's length unless `most` is given, which meet the names in an equi-join.
     """
     distinct = items.select(item).where(F.col(item).isNotNull()).distinct()
-    pieces = distinct.select(item, F.explode(substrings(F.col(item), least, most)).alias("piece_"))
     keys = names.select(F.col(name).alias("name_")).where(F.length("name_") >= least).distinct()
+    if most is None:
+        most = keys.agg(F.max(F.length("name_"))).first()[0] or least  # one number
+    pieces = distinct.select(item, F.explode(substrings(F.col(item), least, most)).alias("piece_"))
     hits = pieces.join(keys, pieces.piece_ == keys.name_).where(F.length("name_") >= F.length(item) * ratio)
     best = hits.groupBy(item).agg(F.min(F.struct(F.when(F.col(item) == F.col("name_"), 0).otherwise(2).alias("priority"), (-F.length("name_")).alias("minus"), F.col("name_").alias("name"))).alias("b"))
     return best.select(item, F.col("b.name").alias("match"), F.col("b.priority").alias("priority"))

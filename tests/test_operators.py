@@ -178,6 +178,14 @@ def test_whole_texts(spark, tmp_path):
     assert merged[1, 0] == merged[1, 1] == 0
 
 
+def test_long_names_contained(spark):
+    name = "a dictionary name that is longer than forty characters"
+    items = spark.createDataFrame([(name,), (f"the {name} again",)], "i string")
+    names = spark.createDataFrame([(name,), ("name",)], "n string")
+    assert {tuple(r) for r in M.longest_contained(items, "i", names, "n").collect()} == {(name, name, 0), (f"the {name} again", name, 2)}
+    assert M.longest_contained(items, "i", names.limit(0), "n").count() == 0
+
+
 def test_brackets_edits_repetition():
     items = G.bracket_items("糖, 醬油(水、鹽(海鹽)), 油)x")
     assert [(i["name"], i["path"]) for i in items] == [("糖", []), ("醬油", []), ("水", ["醬油"]), ("鹽", ["醬油"]), ("海鹽", ["醬油", "鹽"]), ("油", []), ("x", [])]
