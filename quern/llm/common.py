@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,10 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).  Where it is unset, a temporary one in local mode, an error on a cluster."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(folder)
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -43,7 +49,52 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `materialise` wrote and that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """For mapInArrow: gives the worker's free memory back when the task ends, as idle workers stay."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return rows
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def portions(texts: pa.Array, most_bytes: int = 2_000_000) -> list[tuple[int, int]]:
+    """(from, to) of consecutive rows of about that many bytes each."""
+    if not len(texts):
+        return []
+    until = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // most_bytes
+    edges = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), len(texts)]
+    return list(zip(edges, edges[1:]))
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of every (start, length), one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -127,8 +178,8 @@ def counted_arrays(
             )
 
     schema = "key string, at long, data binary, kind string"
-    parts = df.mapInArrow(partial, schema).repartition("key", "at").mapInArrow(merged, schema)
-    parts = parts.repartition("key").mapInArrow(lambda batches: merged(batches, together=True), schema)
+    parts = df.mapInArrow(lean(partial), schema).repartition("key", "at").mapInArrow(lean(merged), schema)
+    parts = parts.repartition("key").mapInArrow(lean(lambda batches: merged(batches, together=True)), schema)
     return {r["key"]: np.frombuffer(zlib.decompress(bytes(r["data"])), np.dtype(r["kind"])) for r in parts.collect()}
 
 

@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.llm.common import lean
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -248,4 +250,4 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(*keep, html).mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string, n_chars long"]))
+    return df.select(*keep, html).mapInArrow(lean(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string, n_chars long"]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import counted_arrays, held_out
+from quern.llm.common import counted_arrays, held_out, lean
 
 SYMBOLS = 32
 DIMENSIONS = 1024
@@ -107,7 +107,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "lang_pred string", "score double"])
-    return df.select(*carried, text).mapInArrow(score, schema)
+    return df.select(*carried, text).mapInArrow(lean(score), schema)
 
 
 def identify(df: DataFrame) -> DataFrame:

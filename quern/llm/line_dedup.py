@@ -3,14 +3,14 @@
 A line's set holds its distinct words (bytes between white space, A-Z in lower
 case).  Lines are compared across and within documents; two match at a Jaccard
 similarity of 0.8 or more.  A line goes if it matches any earlier one, in the
-order of document id and line number.  Lines with fewer than `least` distinct
-words stay: with 1, as in the query, these are the blank lines only, with 5, as in
-the pipeline's stage, also every shorter line, copies included.  Sets of up to
-three words match equal sets only; four words also match five that hold them.
-
-Null texts stay null, empty ones empty.  Line numbers count from 0, split at
-newlines only.  Rows that share an id count as one document whose lines coincide:
-equal lines at the same number are one line there.
+order of document id and line number.  Only blank lines always stay.  Sets of up
+to three words match equal sets only; four words also match five that hold them.
+
+Null texts stay null, empty ones empty, texts of rows without id stay as they are.
+Line numbers count from 0, split at newlines only; texts and lines may have any
+length.  Rows that share an id count as one document whose lines coincide: equal
+lines at the same number are one line there.  Other columns are carried along under
+any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.llm.common import as_bytes, materialise, word_hashes
+from quern.llm.common import as_bytes, discard, lean, materialise, word_hashes
 from quern.llm.setjoin import Join, candidates, in_question, matching, members, remaining_pairs, sets_of
 
 
@@ -43,38 +44,42 @@ def later(pairs: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
 
 
-def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id long, gone array<int>: the line numbers that go, for every document that loses some."""
-    join = Join(lines, num, den, least, words=2, publish_from=-(-num // max(den - num, 1)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
+    join = Join(lines, num, den, words=2, publish_from=-(-num // max(den - num, 1)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     found, classes = members(rows, join)
     first = materialise(found.groupBy("rid").agg(F.min(F.struct("o1", "o2")).alias("at")))
     pairs, long_rows = candidates(rows, join, found, classes)
     sets = sets_of(rows, join, in_question(pairs, long_rows), first.select("rid", "at.o1"))
     gone = materialise(later(matching(sets, pairs, join), first))
+    spent = [found, first, pairs, long_rows, sets, gone]
     if not long_rows.isEmpty():
         # Lines that no first record of a list removed meet all earlier lines of their lists.
         placed = long_rows.distinct().join(first, "rid")
         undecided = placed.join(gone, "rid", "left_anti")
         more = materialise(remaining_pairs(placed, pairs, join, undecided, F.col("r.at") < F.col("l.at")))
+        spent.append(more)
         if not more.isEmpty():
             gone = gone.union(later(matching(sets, more, join), first))
     kept = first.join(gone, "rid", "left_anti").select("rid", "at")
     lost = found.join(kept.withColumnRenamed("rid", "kept_rid"), (found.rid == F.col("kept_rid")) & (F.struct("o1", "o2") == F.col("at")), "left_anti")
-    return lost.groupBy(F.col("o1").alias("id")).agg(F.sort_array(F.collect_set("o2")).alias("gone"))
+    out = materialise(lost.groupBy(F.col("o1").alias("id")).agg(F.sort_array(F.collect_set("o2")).alias("gone")))
+    discard(*spent)
+    return out
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, the text without its lost lines, n_lines__ and n_gone__ (0 where nothing is lost)."""
-    names = docs.columns
-    at = names.index(text)
-    side = gone.select(F.col("id").alias("lost_id__"), F.col("gone").alias("gone__"))
-    rows = docs.join(side, F.col(id_col) == F.col("lost_id__"), "left").select(*names, "gone__")
+    """row_ (the other columns, as a struct, so that no name can clash), text_ without its lost lines, n_lines_ and n_gone_ (0 where nothing is lost)."""
+    others = F.struct(*(docs[c] for c in docs.columns if c != text))
+    side = gone.select(F.col("id").alias("lost_id_"), F.col("gone").alias("gone_"))
+    rows = docs.select(others.alias("row_"), docs[id_col].cast("long").alias("id_"), docs[text].alias("text_"))
+    rows = rows.join(side, F.col("id_") == F.col("lost_id_"), "left").select("row_", "text_", "gone_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, lost = [], [], []
-            for data, numbers in zip(as_bytes(batch.column(at)), batch.column(len(names)).to_pylist()):
+            for data, numbers in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 parts = data.split(b"\n") if data else []
                 if numbers:
                     drop = set(numbers)
@@ -83,22 +88,23 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
                 counts.append(len(parts))
                 lost.append(len(numbers or ()))
             column = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)], pa.array(counts, pa.int32()), pa.array(lost, pa.int32())], [*names, "n_lines__", "n_gone__"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(counts, pa.int32()), pa.array(lost, pa.int32())], ["row_", "text_", "n_lines_", "n_gone_"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(cut, f"{kinds}, n_lines__ int, n_gone__ int")
+    schema = StructType([rows.schema["row_"], rows.schema["text_"], StructField("n_lines_", IntegerType()), StructField("n_gone_", IntegerType())])
+    return rows.mapInArrow(lean(cut), schema)
 
 
-def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """The query: each document's counts and the digest of what stays."""
     rows = docs.select("doc_id", "text")
-    cut = without_lines(rows, repeated_lines(rows, least=least))
-    return cut.select("doc_id", F.col("n_lines__").cast("long").alias("n_lines"), F.col("n_gone__").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text")).alias("text_md5"))
+    cut = without_lines(rows, repeated_lines(rows))
+    return cut.select("row_.doc_id", F.col("n_lines_").cast("long").alias("n_lines"), F.col("n_gone_").cast("long").alias("n_removed"), F.length("text_").cast("long").alias("n_chars_kept"), F.md5(F.col("text_")).alias("text_md5"))
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents without repeated lines; those of which nothing is left go.  Columns as before, n_chars is counted anew."""
-    cut = without_lines(docs, repeated_lines(docs)).where((F.col("n_gone__") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_gone__") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    cut = without_lines(docs, repeated_lines(docs)).where((F.col("n_gone_") == 0) | (F.trim(F.translate("text_", "\n\r\t", "   ")) != ""))
+    columns = {c: F.col("row_").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text_")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_gone_") > 0, F.length("text_").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return cut.select(*(columns[c].alias(c) for c in docs.columns))

@@ -267,7 +267,7 @@ def media_columns(df: DataFrame, text: str = "text", id_col: str = "doc_id", wit
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double,first_frame:int,peak_bin:int>>, media binary"
-    out = df.select(id_col, text).mapInArrow(rows, schema)
+    out = df.select(id_col, text).mapInArrow(lean(rows), schema)
     return out if with_media else out.drop("media")
 
 

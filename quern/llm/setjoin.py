@@ -1,8 +1,9 @@
 """Exact set-similarity self-joins: pairs of token sets with Jaccard >= num / den.
 
-Tokens are ordered by rarity.  Rarity is read from a table of counts of fixed
-size (2**22 buckets, each token counted in one, over all records); any fixed
-order gives the same result, a good one gives few candidates.  Two sets that
+Tokens are ordered by rarity.  Rarity is read from a table of counts over all
+records, each token counted in one of 2**20 to 2**24 buckets, as the number of rows
+asks for; where buckets hold many tokens, what a bucket holds in the median is taken
+off.  Any fixed order gives the same result, a good one gives few candidates.  Two sets that
 reach the threshold share the l smallest of their common tokens within their
 first n - ceil(t n) + l tokens, for every l up to their overlap; so each record
 publishes such a prefix.  A record whose prefix tokens are frequent takes a larger l:
@@ -34,10 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import counted_arrays, materialise, mix
+from quern.llm.common import counted_arrays, discard, lean, materialise, mix, portions
 
-BUCKET_BITS = 22
-FILTER_BITS = 24
+BUCKET_BITS = 20, 24  # least, most: four buckets a row
+FILTER_BITS = 20, 26
+SEEN = 500_000  # records that a task remembers to pass over copies; copies that it forgets do no harm
+PART = 50_000  # rows of a list that meet the undecided ones in one place
 SHORT, DENSE, PIVOTS = 1024, 4, 8
 HOT, BUCKET_BYTES = 100_000, 8_000_000
 
@@ -56,7 +59,7 @@ class Join:
 
     @property
     def posting(self) -> np.dtype:
-        return np.dtype([("token", "<i8"), ("rid", "<i8"), ("o1", "<i8"), ("o2", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("matches", "<i4"), ("salt", "<i4"), ("pivot", "<i4"), *((w, "<i8") for w in self.bits)])
+        return np.dtype([("token", "<i8"), ("rid", "<i8"), ("o1", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4"), ("matches", "<i1"), ("pivot", "<i1"), *((w, "<i8") for w in self.bits)])
 
     @property
     def bits(self) -> list[str]:
@@ -76,9 +79,15 @@ class Records:
     keys: np.ndarray
 
 
+def bits_for(rows: int, limits: tuple[int, int], more: int) -> int:
+    """Bits of a table for that many rows, 2**more a row within the limits."""
+    return min(max(int(rows).bit_length() + more, limits[0]), limits[1])
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Classes 0..255 of counts: 0 none, 1 one, then rising with the logarithm."""
-    return np.where(counts <= 1, counts, np.minimum(255, 2 + np.floor(7 * np.log2(np.maximum(counts, 2))))).astype(np.uint8)
+    """Classes 0..255 of counts: 0 none, 1 one, then rising with the logarithm of what exceeds the median bucket."""
+    above = np.maximum(counts - int(np.median(counts)), 2)
+    return np.where(counts <= 1, counts, np.minimum(255, 2 + np.floor(7 * np.log2(above)))).astype(np.uint8)
 
 
 def typical(classes: np.ndarray) -> np.ndarray:
@@ -92,7 +101,7 @@ def records(row: np.ndarray, place: np.ndarray, tokens: np.ndarray, least: int,
     at = np.cumsum(change) - 1
     keys = tokens >> np.uint64(8)
     if classes is not None:
-        keys = keys | (classes[tokens >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(56))
+        keys = keys | (classes[tokens >> np.uint64(65 - len(classes).bit_length())].astype(np.uint64) << np.uint64(56))
     if len(at) and at[-1] < 1 << 16:  # two sorts of plain numbers are faster than one by two keys
         order = np.argsort(keys)
         order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
@@ -109,56 +118,71 @@ def records(row: np.ndarray, place: np.ndarray, tokens: np.ndarray, least: int,
     return Records(row[change][ok], place[change][ok], start, n, mix(rid).view(np.int64), tokens, keys)
 
 
-def parts(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(ids, texts) of a batch in portions of about that many bytes; rows without id or text are left out."""
+def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(ids, texts) of a batch in portions of bounded size; rows without id or text are left out."""
     batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
-    if batch.num_rows:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1)
-        until = np.cumsum(pc.binary_length(texts).to_numpy()) // most_bytes
-        edges = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), len(ids)]
-        for i, j in zip(edges, edges[1:]):
-            yield ids[i:j], texts.slice(i, j - i)
+    ids, texts = batch.column(0).to_numpy(), batch.column(1)
+    for i, j in portions(texts):
+        yield ids[i:j], texts.slice(i, j - i)
+
+
+class Seen(dict):
+    """Record -> its earliest (document, place) so far in a task, of the last `SEEN` records or so."""
+
+    def new(self, keys: list[int], places: list[tuple[int, int]]) -> np.ndarray:
+        """Where a record is met for the first time, or earlier than before."""
+        out = np.zeros(len(keys), bool)
+        for i, (key, place) in enumerate(zip(keys, places)):
+            old = self.get(key)
+            if old is None or place < old:
+                self[key] = place
+                out[i] = True
+        if len(self) > SEEN:
+            self.clear()
+        return out
 
 
 def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
-    """(rid, o1 = the document, o2 = the record's place in it, n) of every record, and the rarity classes."""
+    """(rid, o1 = the document, o2 = the record's place in it, n) of every record, as a written table, and the rarity classes."""
+    bits = bits_for(docs.count(), BUCKET_BITS, 2)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         pending: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             for ids, texts in parts(batch):
                 r = records(*join.flat(texts), join.least)
-                new = np.array([k not in seen for k in r.rid.tolist()], bool)  # copies would make their tokens seem frequent
-                seen.update(r.rid.tolist())
-                pending.append((r.tokens[np.repeat(new, r.n)] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                new = seen.new(r.rid.tolist(), [(0, 0)] * len(r.n))  # copies would make their tokens seem frequent
+                pending.append((r.tokens[np.repeat(new, r.n)] >> np.uint64(64 - bits)).astype(np.int32))
                 if sum(map(len, pending)) > 2_000_000:
-                    counts += np.bincount(np.concatenate(pending), minlength=len(counts))
+                    counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
                     pending = []
                 none = pa.nulls(len(r.n), pa.string()), pa.nulls(len(r.n), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(r.rid), pa.array(ids[r.row]), pa.array(r.place.astype(np.int32)), pa.array(r.n.astype(np.int32)), *none], names)
         if pending:
-            counts += np.bincount(np.concatenate(pending), minlength=len(counts))
+            counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
         size = 1 << 16
         for i in range(0, len(counts), size):
-            data = counts[i : i + size].astype(np.uint32).tobytes()
+            data = counts[i : i + size].tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([f"{i // size:03d}"]), pa.array([data])], names)
 
     names = ["rid", "o1", "o2", "n", "chunk", "counts"]
-    both = materialise(docs.mapInArrow(scan, "rid long, o1 long, o2 int, n int, chunk string, counts binary"))
+    both = materialise(docs.mapInArrow(lean(scan), "rid long, o1 long, o2 int, n int, chunk string, counts binary"))
 
     def counted(batches: Iterator[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                piece = np.frombuffer(data, np.uint32).astype(np.int64)
+                piece = np.frombuffer(data, np.int32).astype(np.int64)
                 sums[chunk] = sums[chunk] + piece if chunk in sums else piece
         return sums.items()
 
     found = counted_arrays(both.where("chunk is not null").select("chunk", "counts"), counted)
-    counts = np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(1 << BUCKET_BITS, np.int64)
-    return both.where("chunk is null").select("rid", "o1", "o2", "n"), rarity(counts)
+    counts = np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(1 << bits, np.int64)
+    table = materialise(both.where("chunk is null").select("rid", "o1", "o2", "n"))
+    discard(both)
+    return table, rarity(counts)
 
 
 def prefixes(r: Records, join: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -192,23 +216,20 @@ def buckets_for(found: DataFrame, join: Join) -> int:
 
 def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, data): packed rows for the tokens that records publish; a record once a partition, or again where it lies earlier."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # one byte for each of 2**22 buckets
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # one byte a bucket, 16 MB at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
+        seen = Seen()
         for batch in batches:
             for ids, texts in parts(batch):
                 r = records(*join.flat(texts), join.least, shared.value)
-                o1, new = ids[r.row], np.zeros(len(r.n), bool)
-                for i, key in enumerate(zip(r.rid.tolist(), o1.tolist(), r.place.tolist())):
-                    if (old := seen.get(key[0])) is None or key[1:] < old:
-                        seen[key[0]] = key[1:]
-                        new[i] = True
+                o1 = ids[r.row]
+                new = seen.new(r.rid.tolist(), list(zip(o1.tolist(), r.place.tolist())))
                 matches, published = prefixes(r, join)
                 published &= np.repeat(new & (r.n >= join.publish_from), r.n)
                 which = np.repeat(np.arange(len(r.n)), r.n)[published]
                 out = np.zeros(len(which), join.posting)
-                out["token"], out["rid"], out["o1"], out["o2"], out["n"] = r.keys[published].view(np.int64), r.rid[which], o1[which], r.place[which], r.n[which]
+                out["token"], out["rid"], out["o1"], out["n"] = r.keys[published].view(np.int64), r.rid[which], o1[which], r.n[which]
                 out["pos"], out["matches"], out["salt"] = (np.arange(len(r.keys)) - np.repeat(r.start, r.n))[published], matches[which], -1
                 for w, column in zip(join.bits, bitmaps(r, join.words)):
                     out[w] = column[which]
@@ -229,7 +250,7 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) ->
                 data = [part.tobytes() for part in np.split(out, edges[1:])] if len(edges) else []
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(data, pa.binary())], ["bucket", "data"])
 
-    return docs.mapInArrow(scan, "bucket int, data binary")
+    return docs.mapInArrow(lean(scan), "bucket int, data binary")
 
 
 def may_match(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray, join: Join) -> np.ndarray:
@@ -312,7 +333,7 @@ def listed(blocks: DataFrame, join: Join) -> DataFrame:
 
     names = ["kind", "a", "b", "need", "token", "n", "pos", *bits]
     schema = "kind int, a long, b long, need int, token long, n int, pos int, " + ", ".join(f"{b} long" for b in bits)
-    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, schema)
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(scan), schema)
 
 
 def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) -> DataFrame:
@@ -321,10 +342,11 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
     Filters of fixed size pick the documents to cut into words and then the records; what they let through besides does no harm.
     """
     spark = docs.sparkSession
-    mask = (1 << FILTER_BITS) - 1
+    size = 1 << bits_for(first.count(), FILTER_BITS, 6)
+    mask = size - 1
 
     def marks(batches: Iterator[pa.RecordBatch]):
-        found = np.zeros((2, 1 << FILTER_BITS), bool)
+        found = np.zeros((2, size), bool)
         for batch in batches:
             for k in (0, 1):
                 found[k, (mix(batch.column(k).to_numpy().view(np.uint64)) & np.uint64(mask)).astype(np.int64)] = True
@@ -332,7 +354,7 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
         yield "document", np.packbits(found[1])
 
     got = counted_arrays(wanted.join(first, "rid").select("rid", "o1"), marks, merge="or")
-    none = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    none = np.zeros(size // 8, np.uint8)
     shared = spark.sparkContext.broadcast((got.get("rid", none), got.get("document", none)))
 
     def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -341,22 +363,21 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, documents = shared.value
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(0)))
             batch = batch.filter(pa.array(has(documents, batch.column(0).to_numpy()))) if batch.num_rows else batch
             for _, texts in parts(batch):
                 r = records(*join.flat(texts), join.least)
-                keep = has(rids, r.rid)
-                for i in np.flatnonzero(keep).tolist():
-                    if (k := int(r.rid[i])) in seen:
-                        keep[i] = False
-                    seen.add(k)
+                keep = np.flatnonzero(has(rids, r.rid))
+                mine = np.zeros(len(r.n), bool)
+                mine[keep[seen.new(r.rid[keep].tolist(), [(0, 0)] * len(keep))]] = True
+                keep = mine
                 offsets = np.concatenate(([0], np.cumsum(r.n[keep]))).astype(np.int32)
                 tokens = r.tokens[np.repeat(keep, r.n)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(r.rid[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["rid", "tokens"])
 
-    return materialise(docs.mapInArrow(scan, "rid long, tokens array<long>").dropDuplicates(["rid"]))
+    return materialise(docs.mapInArrow(lean(scan), "rid long, tokens array<long>").dropDuplicates(["rid"]))
 
 
 def matching(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -373,7 +394,9 @@ def candidates(docs: DataFrame, join: Join, found: DataFrame, classes: np.ndarra
     if join.most_matches > 1:
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need")
     pairs = materialise(pairs.select("a", "b").distinct())
-    return pairs, rows.where("kind = 1").select(F.col("a").alias("rid"), "token", "n", "pos", *join.bits)
+    long_rows = materialise(rows.where("kind = 1").select(F.col("a").alias("rid"), "token", "n", "pos", *join.bits))
+    discard(rows)
+    return pairs, long_rows
 
 
 def in_question(pairs: DataFrame, long_rows: DataFrame) -> DataFrame:
@@ -393,29 +416,33 @@ def join_condition(join: Join):
 def remaining_pairs(long_rows: DataFrame, known: DataFrame, join: Join, undecided: DataFrame, differ) -> DataFrame:
     """Pairs of long lists that the first records did not decide: rows of `undecided` against all of their lists.
 
-    `differ` is a condition on l (undecided) and r; pairs in `known` are left out.
+    `differ` is a condition on l (undecided) and r; pairs in `known` are left out.  A list of more than `PART` rows is
+    dealt to parts by record, and its undecided rows go to all of them.
     """
-    pairs = undecided.alias("l").join(long_rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.rid") != F.col("r.rid")) & differ & join_condition(join))
+    parts = long_rows.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    dealt = long_rows.join(parts, "token", "left").withColumn("part", F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1))).cast("int"))
+    asking = undecided.join(parts, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.rid") != F.col("r.rid"))
+    pairs = asking.alias("l").join(dealt.alias("r"), same & differ & join_condition(join))
     pairs = pairs.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component = its smallest id) of every id in the edges (a, b): large-star and small-star until nothing changes."""
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(now)
-    for _ in range(most_rounds):
+    before, after = None, state(now)
+    while before != after:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small)
-        if (after := state(now)) == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
+        then, now = now, materialise(small)
+        discard(then)
+        before, after = after, state(now)
+    out = materialise(now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v")).distinct())
+    discard(now)
+    return out

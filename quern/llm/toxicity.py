@@ -153,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(own, kind), pa.array(other, kind)], [id_col, "y", "own", "other"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    sample = rows.mapInArrow(extract, f"`{id_col}` {kind}, y int, own array<int>, other array<int>").collect()
+    sample = rows.mapInArrow(lean(extract), f"`{id_col}` {kind}, y int, own array<int>, other array<int>").collect()
     sample.sort(key=lambda r: (r[0], r[2]))
     return chosen, fit_weights([r[2] for r in sample], [r[3] for r in sample], np.array([r[1] for r in sample], float), len(chosen))
 
@@ -172,7 +172,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())], [*carried, "score", "predicted"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(*carried, text).mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "score double, predicted int"]))
+    return df.select(*carried, text).mapInArrow(lean(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "score double, predicted int"]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

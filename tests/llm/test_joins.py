@@ -51,7 +51,7 @@ def brute_components(rows, size, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows, least=1):
     sets, out = [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         kept, lines = [], (t.encode().split(b"\n") if t else [])
@@ -95,6 +95,8 @@ def test_line_dedup(spark, limits):
         assert r["text_md5"] == (None if kept is None else hashlib.md5(kept.encode()).hexdigest())
         text = dict(rows)[r["doc_id"]]
         assert r["n_lines"] == (len(text.split("\n")) if text else 0)
+    clash = d.where("doc_id < 40").select("doc_id", "text", *(F.lit(1).alias(c) for c in ("row_", "text_", "id_", "lost_id_", "gone_", "n_lines_", "n_gone_", "a b")))
+    assert line_dedup.keep_first_lines(clash).columns == clash.columns and line_dedup.keep_first_lines(clash).count() > 0
 
 
 def test_short_line_dedup(spark, limits, tmp_path):
@@ -115,7 +117,9 @@ def test_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")], "doc_id long, text string")
-    assert sorted(map(tuple, ngram_join.near_duplicates(rows).collect())) == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 0, 3)]
+    more = rows.union(spark.createDataFrame([(None, "q r s t u v"), (None, None)], rows.schema))
+    got = sorted(map(tuple, ngram_join.near_duplicates(more).collect()), key=lambda r: (r[0] is None, r[0] or 0, -r[1], r[2] is None))
+    assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 0, 3), (None, 4, 1), (None, 4, None), (None, 0, None)]
     clash = spark.createDataFrame([(1, "a b c d e f", "x", 9), (2, "a b c d e f\nzz", "y", 9)], "doc_id long, text string, gone string, n_chars long").withColumnRenamed("gone", "a")
     assert [tuple(r) for r in line_dedup.keep_first_lines(clash).orderBy("doc_id").collect()] == [(1, "a b c d e f", "x", 9), (2, "zz", "y", 2)]
     kept = ngram_join.keep_one(clash.withColumn("gone_id", clash.doc_id))
@@ -146,13 +150,31 @@ def test_top_k(spark):
         scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         want[q] = [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     got: dict = {}
-    for r in knn.top_k(d, lambda i: i % 50 == 0, group_rows=3, block_rows=40).orderBy("query_id", "rank").collect():
+    for r in knn.top_k(d, lambda i: i % 50 == 0, block_rows=40, query_rows=3).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert got == want
     assert knn.top_five(d.limit(0)).count() == 0
+    twice = d.where("vec_id in (0, 5, 10)").union(d.where("vec_id in (0, 5)"))  # rows that repeat an id ask, and are candidates
+    pairs = sorted(((-int(whole[0] @ whole[i]), i) for i in (0, 5, 5, 10)))
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in knn.top_five(twice).collect()) == sorted([(n, i, -s) for n, (s, i) in enumerate(pairs, 1)] * 2)
     assert [tuple(r) for r in knn.top_five(d.where("vec_id in (0, 5)")).collect()] == [(0, 1, 5, int(whole[0] @ whole[5]))]
 
 
+def test_top_k_prunes(spark):
+    """On clustered data a query meets few groups, and the result is that of brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 4
+    vectors = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * 0.05
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got, share = knn.search(d, lambda i: i % 50 == 0, block_rows=64)
+    assert 0 < share < 0.3
+    x = np.floor(vectors * 256).astype(np.int64)
+    scores = x[::50] @ x.T
+    scores[np.arange(40), np.arange(0, 2000, 50)] = -(1 << 62)
+    want = {(q * 50, n + 1, int(i), int(scores[q, i])) for q in range(40) for n, i in enumerate(np.lexsort((np.arange(2000), -scores[q]))[:5])}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 30))), rng.choice(["en", "en", "de", None]), rng.choice(["s0"] * 5 + ["s1", "s2", "s3", None])) for i in range(400)]

@@ -4,9 +4,11 @@ import hashlib
 import html
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import html_main, langid, licenses, media, pieces, toxicity
@@ -129,10 +131,37 @@ def test_pieces():
         found = pieces.segmentations(text, v, 4)
         assert all(pieces.decode(ids, v) == text for _, ids in found)
         assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({tuple(i) for _, i in found}) == len(found)
-        parts = [pieces.Best(v, 2)[c] for c in re.findall(v.chunks, " " + text)] if text else []
-        assert found[0][0] == sum(p[1] for p in parts)
-        if len(found) > 1:
-            assert found[1][0] == found[0][0] - min(p[2] for p in parts)
+        ids, n, score, second, same = (c.to_pylist()[0] for c in pieces.encoded(pa.array([text]), v, pieces.Remembered(v)))
+        assert same and n == len(ids) and pieces.decode(ids, v) == text and score == found[0][0]
+        assert second == (found[1][0] if len(found) > 1 else None)
+
+
+def test_pieces_against_a_second_lattice():
+    """Best and second best score by plain recursion over the pieces' list, without the code under test."""
+    listed = pieces.listed_pieces()
+    v, score = pieces.vocabulary(listed), {p: s for p, s in listed if s is not None}
+    unknown = min(s for s in score.values() if s > -1_000_000) - pieces.UNKNOWN_PENALTY
+
+    def two(s):
+        best = [[0]] + [[] for _ in s]
+        for j in range(1, len(s) + 1):
+            ways = [b + score[s[i:j]] for i in range(max(0, j - 40), j) if s[i:j] in score for b in best[i]]
+            ways += [b + unknown for b in best[j - 1]] if s[j - 1] not in score else []
+            best[j] = sorted(ways, reverse=True)[:2]
+        return best[-1]
+
+    for text in ("hello there, General", "naïve  café\n\nend ", "漢字かな交じり", "aaaaaaaaaaaa bb", "x😀y"):
+        found = pieces.encoded(pa.array([text, text * 3]), v, pieces.Remembered(v, most_bytes=300))
+        for t, a, b in zip((text, text * 3), found[2].to_pylist(), found[3].to_pylist()):
+            assert [a, b][: len(two("▁" + t.replace(" ", "▁")))] == two("▁" + t.replace(" ", "▁")), t
+
+
+def test_long_text_without_blanks():
+    v = pieces.vocabulary()
+    text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(80_000))
+    began = time.process_time()
+    ids, _, _, _, same = pieces.encoded(pa.array([text]), v, pieces.Remembered(v))
+    assert same.to_pylist() == [True] and time.process_time() - began < 10
 
 
 def test_pieces_query(docs):
