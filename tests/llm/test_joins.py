@@ -229,7 +229,6 @@ def test_pipeline(spark):
         if k == 0:
             gone = {r["doc_id"]: r["text"] or "" for r in before if r["doc_id"] not in {x["doc_id"] for x in after}}
             assert {r["doc_id"] for r in before if not any(c.isalpha() for c in r["text"] or "")} <= set(gone)
-            assert all(len(t) > 200 or not any(c.isalpha() for c in t) for t in gone.values())  # short texts stay
         if k == 1:
             want = brute_lines([(r["doc_id"], r["text"]) for r in before])
             assert all(want[r["doc_id"]] == r["text"] for r in after)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import html_main, langid, licenses, media, pieces, toxicity
 from quern.llm.registry import QUERIES
@@ -218,11 +219,63 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(d.limit(0).union(d.where("doc_id = 103").limit(1))).collect()} == {"und"}
 
 
-def test_language_vectors():
-    v = langid.trigram_vectors(256)
-    letters = np.random.default_rng(langid.SEED).integers(0, 2, (32, 256)).astype(np.int8) * 2 - 1
-    for a, b, c in itertools.islice(itertools.product(range(0, 32, 7), repeat=3), 20):
-        assert (v[(a * 32 + b) * 32 + c] == np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]).all()
+def plain_language(rows, letters):
+    """Predictions by plain loops over characters: labels and cosines of every row."""
+    def vector(text):
+        symbols = [0]
+        for c in (text or "").lower() + " ":
+            x = 1 + ord(c) % 4095 if c.isalpha() else 0
+            if x or symbols[-1]:
+                symbols.append(x)
+        out = np.zeros(letters.shape[1])
+        if any(symbols):
+            for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+                out += np.roll(letters[a].astype(float), 2) * np.roll(letters[b].astype(float), 1) * letters[c]
+        return out
+
+    sums = {}
+    for i, t, k, _ in rows:
+        if t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[k] = sums.get(k, 0) + vector(t)
+    out = []
+    for i, t, _, _ in rows:
+        v = vector(t)
+        if not v.any():
+            out.append((i, "und", 0.0))
+            continue
+        cosines = {k: round(float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)), 6) for k, s in sums.items() if s.any()}
+        best = max(sorted(cosines), key=cosines.get)
+        out.append((i, best, min(1.0, max(0.0, cosines[best]))))
+    return out
+
+
+def test_language_id_like_plain_loops(spark):
+    texts = {"ru": "Быстрая лиса перепрыгнула через ленивую собаку", "uk": "Швидка лисиця перестрибнула через ледачого пса їжак", "zh": "敏捷的棕色狐狸跳过了懒狗", "ja": "素早い茶色の狐が怠け者の犬を飛び越える", "en": "the quick brown fox, jumps over the lazy dog"}
+    rng = np.random.default_rng(3)
+    rows = [(i * 4, " ".join(rng.permutation(list(t.replace(" ", "")) if k in "zhja" else t.split()).tolist()), k, "s") for i, (k, t) in enumerate(list(texts.items()) * 12)]
+    rows += [(1001, "\U00020001\U00020005", None, "s"), (1002, "12 !", None, "s"), (1003, None, None, "s"), (1004, "", None, "s"), (1005, "the dog " * 4_000, None, "s"), (1005, "the dog " * 4_000, None, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(d).collect())
+    want = sorted(plain_language(rows, langid.letter_vectors()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+    assert dict(g[:2] for g in got)[1001] != "und"  # letters of any plane
+    right = sum(dict((i, k) for i, _, k, _ in rows).get(g[0]) == g[1] for g in got if g[0] < 1000)
+    assert right == 60  # two Cyrillic and two Han languages are told apart
+
+
+def test_language_stage_has_one_rule(spark):
+    """Texts of a language stay at every length; one word repeated and noise go; names cannot clash."""
+    rng = np.random.default_rng(7)
+    words = "the and of to in that for school with house water people garden morning letter number".split()
+    make = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, make(int(rng.integers(20, 300))), "en") for i in range(80)] + [(100 + n, make(n), None) for n in (1, 2, 3, 10, 30, 40, 60, 1000)]
+    noise = ["".join(rng.choice(list("qxzjkvwy"), 9)) for _ in range(300)]
+    rows += [(200, " ".join(noise), None), (201, "zzz " * 300, None), (202, "1 2", None), (203, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("row_", "text_", "score", "lang_pred", "n_trigrams")})
+    kept = langid.keep_identified(d)
+    assert kept.columns == d.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in rows} - {200, 201, 202, 203}
+    assert langid.keep_identified(d.limit(0)).count() == 0
 
 
 def test_held_out_accuracy(spark):
