@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree.  Scripts, styles, forms, navigation, headers, footers,
-asides, hidden parts and elements whose class, id or role names boilerplate
-(adverts, notices, sidebars, comments ...) are left out.  Every paragraph gives
+A page becomes a tree.  Scripts, styles, navigation, headers, footers, asides and
+hidden parts are left out.  So are forms and elements whose class, id or role names
+boilerplate (adverts, notices, sidebars ...), unless an article or main lies within
+them, or for forms, on pages that have none, most of the page's paragraphs.  Within an article only the
+plainest names count, and readers' comments go everywhere.  Every paragraph gives
 points for its length and its commas to its ancestors, in full to the parent,
 half to the grandparent and ever less above; a container's points are multiplied
 by one minus its link density.  The best container gives way to the article, or
@@ -14,13 +16,17 @@ else beside it that has few links.
 
 Each kept block's text is decoded, its white space becomes single spaces, and
 blocks are joined by one space in page order.  Null or empty html gives an empty
-text.  Pages are handled one by one, so repeated rows get equal values.
+text.  Pages are handled one by one, whole and in time that grows with their length,
+so repeated rows get equal values; an empty table gives an empty one.  Only the columns
+in `keep` are carried, which must not be named text or n_chars.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +38,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = RAW | frozenset("head nav header footer aside form button select option svg canvas object dialog menu map audio video math fieldset label datalist".split())
+SKIPPED = RAW | frozenset("head nav header footer aside button select option svg canvas object dialog menu map audio video math fieldset label datalist".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -41,55 +47,87 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead"}, "option": {"option"}}
 FENCES = frozenset("html body table ul ol dl div article section main td th blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"side-?bars?|widgets?|menus?|nav|navbar|navigation|topbar|breadcrumbs?|footer|foot|header|masthead|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommend(?:ed|ations)?|"
-    r"more-?stories|toolbar|notices?|alerts?|warning|pager|pagination|disclaimer|copyright|legal|search|form|hidden|skip|outbrain|taboola|tags?-?list|tagcloud|byline|meta)(?:$|[\s_-])",
-    re.I,
+# Names of boilerplate in class and id; a name of several words counts if all of its words are listed, or fill.
+NAMED = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription signup login sidebar sidebars widget widgets menu menus nav navbar navigation topbar breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies share sharing related "
+    "recommended recommendations toolbar notice notices alert alerts pager pagination outbrain taboola tagcloud byline".split()
 )
+INSIDE_TOO = NAMED  # also within an article
+OUTSIDE = NAMED | frozenset("header head foot discussion reply social warning disclaimer copyright legal search form hidden skip meta tags more stories".split())
+FILLS = frozenset("a the site page main global top bottom left right side upper lower box block list section area wrapper wrap container bar inner outer item items unit slot zone link links button buttons icons post entry content user reader primary secondary mobile desktop header footer form menu text title body group row col".split())
+REMARKS = frozenset("comment comments commentlist disqus respond replies".split())
 NEVER = frozenset("html body article main".split())
 
 
+@functools.lru_cache(maxsize=20_000)
+def names_boilerplate(names: str, inside: bool) -> bool:
+    """Does a class or id name boilerplate?  Words are parted at hyphens, underscores, digits and inner capitals."""
+    listed = INSIDE_TOO if inside else OUTSIDE
+    for name in names.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+", re.sub(r"\d+x\d+", "", name))]
+        if "".join(words) in listed or any(w in listed for w in words) and all(w in listed or w in FILLS for w in words):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "skip", "links", "chars", "score", "paragraphs")
+    __slots__ = ("tag", "parent", "parts", "skip", "doubt", "links", "chars", "score", "paragraphs")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, doubt: bool = False):
+        self.tag, self.parent, self.skip, self.doubt = tag, parent, skip, doubt
         self.parts: list[Node | str] = []
         self.links = self.chars = self.paragraphs = 0
         self.score = 0.0
 
 
-def boilerplate(tag: str, attrs: str) -> bool:
+def boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """(left out at once, in doubt: left out unless the article turns out to be in it).  `inside`: within an article or main."""
     if tag in SKIPPED:
-        return True
+        return True, False
+    doubt = tag == "form"
     if not attrs or tag in NEVER:
-        return False
+        return False, doubt
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and BOILERPLATE.search(value):
-            return True
-    return False
+            return True, False
+        if name == "role" and value.lower() in ROLES:
+            doubt = True
+        if name in ("class", "id") and names_boilerplate(value, inside):
+            if inside or REMARKS & set(re.split(r"[\s_-]", value.lower())):
+                return True, False
+            doubt = True
+    return False, doubt
 
 
 def parse(html: str) -> Node:
     """The page's tree, boilerplate left out.  Unclosed paragraphs, list items and cells close as browsers close them."""
     root = here = Node("#root", None)
     at, end = 0, len(html)
+    opened: Counter[str] = Counter()
 
     def text(piece: str) -> None:
         if piece and not here.skip:
             here.parts.append(piece)
 
-    def close(node: Node, tags: set[str] | frozenset, fences: frozenset) -> Node:
-        look = node
-        while look.parent is not None and look.tag not in fences | tags:
-            look = look.parent
-        return look.parent if look.tag in tags else node
+    def up_to(node: Node) -> None:
+        """Closes all elements below the node."""
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+
+    def close(tags: set[str] | frozenset, fences: frozenset) -> None:
+        """Closes the nearest open element of those tags, unless a fence stands before it."""
+        if any(opened[t] for t in tags):
+            look = here
+            while look.parent is not None and look.tag not in fences and look.tag not in tags:
+                look = look.parent
+            if look.tag in tags:
+                up_to(look.parent)
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -106,11 +144,11 @@ def parse(html: str) -> Node:
         if m["end"]:
             if tag == "br":
                 text(" ")
-            look = here
-            while look.parent is not None and look.tag != tag:
-                look = look.parent
-            if look.parent is not None:
-                here = look.parent
+            if opened[tag]:
+                look = here
+                while look.tag != tag:
+                    look = look.parent
+                up_to(look.parent)
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr") and not here.skip:
@@ -120,19 +158,37 @@ def parse(html: str) -> Node:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        if tag in BLOCK or tag in SKIPPED:
-            here = close(here, {"p"}, FENCES)
+        if tag in BLOCK or tag in SKIPPED or tag == "form":
+            close({"p"}, FENCES)
         if tag in HEADING and here.tag in HEADING:
-            here = here.parent
+            up_to(here.parent)
         if tag in CLOSES:
-            here = close(here, CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")) - CLOSES[tag])
-        node = Node(tag, here, here.skip or boilerplate(tag, m["attrs"]))
+            close(CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")) - CLOSES[tag])
+        out, doubt = (True, False) if here.skip else boilerplate(tag, m["attrs"], opened["article"] + opened["main"] > 0)
+        node = Node(tag, here, out, doubt)
         if not node.skip:
             here.parts.append(node)
+        opened[tag] += 1
         here = node
     return root
 
 
+def settle(root: Node) -> None:
+    """Leaves out the elements in doubt: all that hold no article or main and not most of the page's paragraphs."""
+    nodes = walk(root)
+    if not any(n.doubt for n in nodes):
+        return
+    size, holds = {}, {}
+    for n in reversed(nodes):
+        kids = [p for p in n.parts if isinstance(p, Node)]
+        own = sum(len(p.strip()) for p in n.parts if isinstance(p, str)) if n.tag in PARAGRAPH or n.tag not in BLOCK else 0
+        size[n] = own + sum(size[k] for k in kids)
+        holds[n] = n.tag in ("article", "main") or any(holds[k] for k in kids)
+    for n in nodes:
+        if n.doubt and not holds[n] and not (n.tag == "form" and not holds[root] and 2 * size[n] > size[root]):
+            n.parent.parts = [p for p in n.parent.parts if p is not n]
+
+
 def walk(root: Node) -> list[Node]:
     """All nodes, parents before children."""
     out, todo = [], [root]
@@ -189,7 +245,7 @@ def measure(nodes: list[Node]) -> None:
         node.paragraphs = commas  # commas of the node's own inline text
         inline = own + sum(k.chars for k in kids if k.tag not in BLOCK)
         if node.chars and inline > 0 and (node.tag in PARAGRAPH or node.tag in BLOCK and node.tag not in HEADING):
-            points = (1 + commas + min(inline / 100, 10)) * (1 - node.links / node.chars)
+            points = (1 + commas + inline / 100) * (1 - node.links / node.chars)
             up, share = node.parent if node.tag in PARAGRAPH else node, 1.0
             while up is not None and up.tag != "#root" and share > 0.05:
                 up.score += points * share
@@ -217,7 +273,8 @@ def main_text(html: str | None) -> str:
     """The page's main text; empty where it has none."""
     if not html:
         return ""
-    nodes = walk(parse(html))
+    settle(tree := parse(html))
+    nodes = walk(tree)
     measure(nodes)
     best = None
     for node in nodes:

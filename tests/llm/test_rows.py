@@ -87,6 +87,34 @@ def test_main_text_of_nested_layouts():
     assert got(f"<main><h1>Title</h1><article><div>{body}</div></article><p>End.</p></main>") == f"Title {six} End."
 
 
+def test_main_text_behind_forms_and_names():
+    """Forms and names in class drop what they name, and no article text."""
+    long = "Long text, with commas, and words enough to score well in any tree."
+    body, six = f"<p>{long}</p>" * 6, " ".join([long] * 6)
+    got = html_main.main_text
+    assert got(f"<body><form id=aspnetForm><nav>x</nav><article><h1>T</h1>{body}</article></form></body>") == f"T {six}"
+    assert got(f"<body><form action=/><div><div><h1>T</h1>{body}</div></div></form></body>") == f"T {six}"
+    assert got(f"<body><article>{body}<form><p>Your mail</p></form></article><form><p>Search</p></form></body>") == six
+    assert got(f"<article>{body}<div class=meta-analysis><p>Pooled.</p></div><section class=discussion><p>We find.</p></section></article>") == f"{six} Pooled. We find."
+    assert got(f"<div class=page-with-sidebar><article>{body}</article><div class='side-bar widget'><p>x, y, z</p></div></div>") == six
+    for name in ("comments-section", "userComments", "ad-300x250", "cookieNotice", "share-buttons", "sponsored-content"):
+        assert got(f"<article>{body}<div class={name}><p>Gone, gone, gone.</p></div></article>") == six, name
+    assert got(f"<article>{body}</article><section class=comments>" + "<article><p>Nice, nice, nice.</p></article>" * 30 + "</section>") == six
+    assert got(f"<body><h1>T</h1>loose <div>{body}</div><p>End.</p></body>") == f"T loose {six} End."
+    began = time.process_time()
+    assert got("<div>" * 20_000 + "<p>deep, text</p>" + "</span>" * 20_000) == "deep, text"
+    assert got("<span>" * 20_000 + "<li>deep, text" * 300).startswith("deep, text")
+    assert got("<article>" + f"<p>{long}</p>" * 20_000 + "</article>") == " ".join([long] * 20_000)
+    assert time.process_time() - began < 20
+
+
+def test_pages_table(spark):
+    """Nulls, empty pages, repeated rows and an empty table."""
+    rows = spark.createDataFrame([(1, None, "<p>a, b</p>"), (1, None, "<p>a, b</p>"), (None, "u", None), (2, "v", "")], "page_id long, url string, html string").withColumn("a b", F.lit(1))
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_main.extract(rows).collect()) == [(0, "", 0), (1, "a, b", 4), (1, "a, b", 4), (2, "", 0)]
+    assert html_main.extract(rows.limit(0)).count() == 0
+
+
 def test_pages_like_their_articles(spark):
     for r in html_main.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), keep=("page_id", "html")).collect():
         article = re.search(r"<article>(.*?)(</article>|<footer>|$)", r["html"], re.S)[1]
