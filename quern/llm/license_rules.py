@@ -92,7 +92,8 @@ bsd-3; 3; endorse; neither the name of .{1,120}? may be used to endorse or promo
 bsd-4; 3; bsd; bsd 4 clause(?: licen[cs]e)?
 bsd-4; 3; bsd; (?:original|old) bsd licen[cs]e
 bsd-4; 3; acknowledgement; all advertising materials mentioning features or use of this software must display the following acknowledgement
-bsd-0; 3; bsd; (?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?
+bsd-0; 3; bsd; (?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?
+bsd-0; 3; 0bsd; 0bsd(?: licen[cs]e)?
 bsd-0; 3; 0bsd; 0bsd
 bsd; 2; redistribution; redistribution and use in source and binary forms with or without modification are permitted
 bsd; 2; bsd; bsd (?:style )?licen[cs]ed?
@@ -228,7 +229,8 @@ cdla-sharing; 3; cdla; cdla sharing (?:version |v)?1 0
 ogl-3; 3; government; open government licen[cs]e(?: (?:version |v)?3(?: 0)?)?
 public-domain; 2; public; (?:released|placed|dedicated) (?:in|into|to) the public domain
 public-domain; 1; public; public domain
-openrail; 3; openrail; (?:creativeml )?(?:bigscience )?open ?rail(?: m)?(?: licen[cs]e)?
+openrail; 3; openrail; (?:creativeml )?(?:bigscience )?openrail(?: m)?(?: licen[cs]e)?
+openrail; 3; rail; (?:creativeml )?(?:bigscience )?open rail(?: m)?(?: licen[cs]e)?
 llama-community; 3; llama; llama (?:[234] )?community licen[cs]e(?: agreement)?
 proprietary; 2; rights; all rights reserved
 proprietary; 2; confidential; proprietary and confidential

@@ -7,7 +7,9 @@ priority contains its interval (of equal intervals and priorities the rule that
 stands first stays).  What is left gives the labels.
 
 Null and empty texts have no words, no labels and score 0.  The work is row by
-row, without a shuffle, so repeated rows get equal values.
+row, without a shuffle, so repeated rows get equal values; an empty table gives an
+empty one.  Whole texts are read, of any length.  `scan` adds columns that end in an
+underscore; the query reads the id and the text only, so other names cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ and pixels come from an integer inverse DCT.  A shot begins where the histogram
 difference of neighbouring frames exceeds mean + 1.5 deviations of the last
 eight differences (and a floor).  Clips are timed by the header's frame rate.
 
-Null and empty texts are one frame of padding.  Values depend on the text alone.
+Null and empty texts are one frame of padding.  Values depend on the text alone, so
+repeated rows get equal ones; an empty table gives an empty one.  Texts of any length
+are whole; frames are decoded 512 at a time.  The files written here always meet the
+table with one code of eight bits; `decode_scan` serves all others.  Only the id and
+the text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import as_bytes
+from quern.llm.common import as_bytes, lean
 
 SIDE, BLOCKS, FRAME, FPS = 24, 9, 576, 25
 # The zigzag order of ITU T.81, figure A.6.
@@ -212,9 +216,9 @@ def shots(histograms: np.ndarray, floor: int, memory: int = 8) -> list[int]:
     return starts
 
 
-def clips(coefficients: np.ndarray, quantisers: list[np.ndarray], rate: float, idct: np.ndarray) -> list[tuple[float, float, int, int]]:
-    """(start s, end s, first frame, brightest histogram bin) of each shot."""
-    frames, blocks = coefficients.shape[:2]
+def pixel_histograms(coefficients: np.ndarray, quantisers: list[np.ndarray], idct: np.ndarray) -> np.ndarray:
+    """Each frame's histogram of 16 grey levels."""
+    frames = len(coefficients)
     values = coefficients * np.stack(quantisers)[:, None, :]
     values[:, :, 0] = np.cumsum(coefficients[:, :, 0], axis=1) * np.array([q[0] for q in quantisers])[:, None]
     dc = values[:, :, :1] * np.float32(idct[0, 0])  # alone, as its sum may be large
@@ -222,19 +226,26 @@ def clips(coefficients: np.ndarray, quantisers: list[np.ndarray], rate: float, i
     pixels = values.reshape(-1, 64).astype(np.float32) @ idct
     pixels = np.clip(((pixels.reshape(frames, -1, 64) + dc).astype(np.int64) >> 11) + 128, 0, 255)
     bins = (pixels >> 4).reshape(frames, -1) + 16 * np.arange(frames)[:, None]
-    histograms = np.bincount(bins.ravel(), minlength=16 * frames).reshape(frames, 16)
-    starts = shots(histograms, blocks * 64 // 8)
-    ends = [*starts[1:], frames]
+    return np.bincount(bins.ravel(), minlength=16 * frames).reshape(frames, 16)
+
+
+def clips(histograms: np.ndarray, pixels: int, rate: float) -> list[tuple[float, float, int, int]]:
+    """(start s, end s, first frame, brightest histogram bin) of each shot."""
+    starts = shots(histograms, pixels // 8)
+    ends = [*starts[1:], len(histograms)]
     return [(a / rate, b / rate, a, int(histograms[a:b].sum(axis=0).argmax())) for a, b in zip(starts, ends)]
 
 
-def stored_clip(data: bytes | None) -> tuple[bytes, bytes, bytes]:
-    """(padded payload, AVI file, payload read back) of one text's bytes."""
-    data = data or b""
-    padded = data + b"\xff" * (-len(data) % FRAME if data else FRAME)
-    avi = write_avi(write_frames(padded))
-    coefficients, _ = decode_frames(read_avi(avi)[1])
-    return padded, avi, np.where(coefficients < 0, coefficients + 255, coefficients).astype(np.uint8).tobytes()
+def read_back(avi: bytes, idct: np.ndarray, step: int = 512) -> tuple[bytes, list[tuple[float, float, int, int]]]:
+    """(payload, clips) of a file, decoded `step` frames at a time."""
+    rate, frames = read_avi(avi)
+    payload, histograms, pixels = [], [], 0
+    for at in range(0, len(frames), step):
+        coefficients, quantisers = decode_frames(frames[at : at + step])
+        payload.append(np.where(coefficients < 0, coefficients + 255, coefficients).astype(np.uint8).tobytes())
+        histograms.append(pixel_histograms(coefficients, quantisers, idct))
+        pixels = coefficients.shape[1] * 64
+    return b"".join(payload), clips(np.concatenate(histograms), pixels, rate)
 
 
 def media_columns(df: DataFrame, text: str = "text", id_col: str = "doc_id", with_media: bool = False) -> DataFrame:
@@ -249,17 +260,14 @@ def media_columns(df: DataFrame, text: str = "text", id_col: str = "doc_id", wit
                 for data in as_bytes(part.column(1)):
                     data = data or b""
                     avi = write_avi(write_frames(data + b"\xff" * (-len(data) % FRAME if data else FRAME)))
-                    rate, frames = read_avi(avi)
-                    coefficients, quantisers = decode_frames(frames)
-                    back = np.where(coefficients < 0, coefficients + 255, coefficients).astype(np.uint8).tobytes()
-                    found = clips(coefficients, quantisers, rate, idct)
+                    back, found = read_back(avi, idct)
                     out["n_bytes"].append(len(data))
                     out["payload_bytes"].append(len(back))
                     out["payload_sha256"].append(hashlib.sha256(back).hexdigest())
                     out["tail_crc32"].append(zlib.crc32(back[-32:]))
                     out["media_bytes"].append(len(avi))
                     out["media_sha256"].append(hashlib.sha256(avi).hexdigest())
-                    out["feature"].append(f"frames={len(frames)};shots={len(found)};longest={max(b - a for a, b, _, _ in found):.2f}s;cuts=" + ",".join(str(c[2]) for c in found[1:]))
+                    out["feature"].append(f"frames={len(back) // FRAME};shots={len(found)};longest={max(b - a for a, b, _, _ in found):.2f}s;cuts=" + ",".join(str(c[2]) for c in found[1:]))
                     out["clips"].append([{"start_s": a, "end_s": b, "first_frame": f, "peak_bin": p} for a, b, f, p in found])
                     out["media"].append(avi if with_media else None)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("peak_bin", pa.int32())])), pa.binary()]

@@ -15,7 +15,8 @@ documents of that part; no task holds a whole leaf.
 
 Tokens are runs of characters other than ASCII white space; null and empty texts
 have none.  A null language or source is a node of its own, named `?`.  Rows that
-share an id enter or stay out together.  Everything here is DataFrame operations.
+share an id enter or stay out together.  Texts of any length count whole, other columns
+are carried under any name, and an empty table gives an empty one.  Everything here is DataFrame operations.
 """
 
 from __future__ import annotations

@@ -8,10 +8,14 @@ twin in which group names are swapped, and the squared difference of the twins'
 log-odds is added to the loss.  A neutral mention of a group then moves the
 score little.
 
-Training uses at most `most_rows` labelled rows, those whose hashed id comes
-first; everything else covers all rows.  Null and empty texts score as a text
+Training uses at most `most_rows` labelled ids, those whose hash comes first, each
+once: of conflicting labels of an id the larger counts, of several texts the smallest.
+Everything else covers all rows.  Null and empty texts score as a text
 without features.  Without labels of both classes the score is the share of
-label 1 (0.5 without labels).  Rows are scored one by one.
+label 1 (0.5 without labels).  Rows are scored one by one, so repeated ones get equal values;
+whole texts count, of any length; an empty table gives an empty one.  Only ids, texts
+and labels are read, so other columns' names cannot clash.  Features that separate
+equally well are taken in the order of their hash.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, counted_arrays, held_out
+from quern.llm.common import as_bytes, counted_arrays, held_out, lean, materialise
 
 BITS = 18
 # Group names; each is swapped for the next one of its line, the last for the first.
@@ -115,7 +119,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """(chosen features, weights with the bias last).  The labelled sample has at most `most_rows` ids and is broadcast."""
     picked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
-    rows = documents.select(id_col, text).join(F.broadcast(picked), id_col).select(F.col(text).alias("t"), "y", id_col)
+    rows = documents.select(id_col, text).join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min(text).alias("t"), F.first("y").alias("y"))
+    rows = materialise(rows.select("t", "y", id_col))  # one row an id, `most_rows` at most
 
     def count(batches: Iterator[pa.RecordBatch]):
         seen, totals, features = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64), Features()

@@ -2,7 +2,7 @@
 
 import hashlib
 import html
-import itertools
+import random
 import re
 import time
 import zlib
@@ -51,13 +51,41 @@ def test_license_base(docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def sample(tree, rng):
+    """A text that a parsed regex matches."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN" if str(arg[0][0]) == "NEGATE":
+                out += "z"
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)) if str(kind) == "RANGE" else "5"
+            case "NOT_LITERAL" | "ANY":
+                out += "z"
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+            case "SUBPATTERN":
+                out += sample(arg[3], rng)
+            case "BRANCH":
+                out += sample(rng.choice(arg[1]), rng)
+    return out
+
+
 def test_license_suppression_and_rules(spark):
+    from re import _parser
+
+    rng, parse_regex = random.Random(1), _parser.parse
     assert len(licenses.rules()) > 200
-    rows = spark.createDataFrame([(1, "GNU Lesser General Public License version 2.1"), (2, "Creative Commons Attribution-ShareAlike 4.0 International"), (3, "BSD 3-Clause License")], "doc_id long, text string")
-    assert {r["doc_id"]: r["labels"] for r in licenses.digest(rows).collect()} == {1: "lgpl-2.1", 2: "cc-by-sa", 3: "bsd-3"}
+    rows = spark.createDataFrame([(1, "GNU Lesser General Public License version 2.1"), (2, "Creative Commons Attribution-ShareAlike 4.0 International"), (3, "BSD 3-Clause License"), (4, "Open RAIL license")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.digest(rows).collect()} == {1: "lgpl-2.1", 2: "cc-by-sa", 3: "bsd-3", 4: "openrail"}
     for label, _, keyword, regex, _, _ in licenses.rules():
         re.compile(regex)
-        assert re.search(keyword[:3], regex), (label, keyword, regex)
+        for _ in range(50):
+            match = sample(parse_regex(regex), rng)
+            assert re.fullmatch(regex, match) and f" {keyword} " in match, (label, keyword, match)
 
 
 def test_main_text():
@@ -224,6 +252,25 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), labels_df).count() == 0
 
 
+def test_toxicity_like_plain_sums(spark):
+    """The scores are the sums of the model's weights over a text's features, computed here by plain loops; ids that repeat train once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 12).tolist() + (["vile", "women"] if i % 3 == 0 else []))) for i in range(300)]
+    rows += [(3, rows[3][1])] * 5 + [(400, "Vile! alpha" * 5_000), (401, "VILE"), (402, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "y", "t", "predicted")})
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(3, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    chosen, weights = toxicity.fit(d, marks)
+    once = toxicity.fit(d.dropDuplicates(["doc_id"]), marks)
+    assert (once[0] == chosen).all() and np.allclose(once[1], weights)
+    places = {int(c): i for i, c in enumerate(chosen)}
+    for r in toxicity.score(d, (chosen, weights)).collect():
+        stripped = {w.strip(toxicity.EDGES).decode() for w in (dict(rows)[r["doc_id"]] or "").lower().encode().split()} - {""}
+        found = {"w" + w for w in stripped} | {f"{n}{w[:n]}" for w in stripped for n in (4, 5, 6) if len(w) >= n}
+        hashed = {zlib.crc32(t.encode()) % (1 << toxicity.BITS) for t in found}
+        z = weights[-1] + sum(weights[places[h]] for h in hashed if h in places)
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-8
+
+
 def test_counterfactual_penalty():
     rows, y = [[0, 1], [0], [2], [2]], np.array([1.0, 1.0, 0.0, 0.0])
     twins = [[0, 3], None, None, None]
