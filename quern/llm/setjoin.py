@@ -1,7 +1,7 @@
 """Exact set-similarity self-joins: pairs of token sets with Jaccard >= num / den.
 
 Tokens are ordered by rarity.  Rarity is read from a table of counts over all
-records, each token counted in one of 2**20 to 2**24 buckets, as the number of rows
+records, each token counted in one of 2**16 to 2**24 buckets, as the number of rows
 asks for; where buckets hold many tokens, what a bucket holds in the median is taken
 off.  Any fixed order gives the same result, a good one gives few candidates.  Two sets that
 reach the threshold share the l smallest of their common tokens within their
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import counted_arrays, discard, lean, materialise, mix, portions
 
-BUCKET_BITS = 20, 24  # least, most: four buckets a row
+BUCKET_BITS = 16, 24  # least, most: 32 buckets a row
 FILTER_BITS = 20, 26
 SEEN = 500_000  # records that a task remembers to pass over copies; copies that it forgets do no harm
 PART = 50_000  # rows of a list that meet the undecided ones in one place
@@ -144,7 +144,7 @@ class Seen(dict):
 
 def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     """(rid, o1 = the document, o2 = the record's place in it, n) of every record, as a written table, and the rarity classes."""
-    bits = bits_for(docs.count(), BUCKET_BITS, 2)
+    bits = bits_for(docs.count(), BUCKET_BITS, 5)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
@@ -164,7 +164,8 @@ def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
             counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
         size = 1 << 16
         for i in range(0, len(counts), size):
-            data = counts[i : i + size].tobytes()
+            piece = counts[i : i + size]
+            data = piece.astype(np.uint8 if piece.max() < 256 else np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([f"{i // size:03d}"]), pa.array([data])], names)
 
     names = ["rid", "o1", "o2", "n", "chunk", "counts"]
@@ -174,7 +175,7 @@ def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                piece = np.frombuffer(data, np.int32).astype(np.int64)
+                piece = np.frombuffer(data, np.uint8 if len(data) == 1 << 16 else np.int32).astype(np.int64)
                 sums[chunk] = sums[chunk] + piece if chunk in sums else piece
         return sums.items()
 

@@ -213,6 +213,13 @@ def test_pieces_against_a_second_lattice():
             assert [a, b][: len(two("▁" + t.replace(" ", "▁")))] == two("▁" + t.replace(" ", "▁")), t
 
 
+def test_chunks_searched_together():
+    rng, v = random.Random(4), pieces.vocabulary()
+    chunks = [" " * rng.randint(1, 3) + "".join(rng.choice("abcdeéth ing".replace(" ", "")) for _ in range(rng.randint(0, 50))) for _ in range(400)] + ["a", "漢", " The"]
+    chunks = sorted(set(c for c in chunks if v.plain[[ord(x) for x in c]].all()))
+    assert pieces.searched_together(chunks, v) == [pieces.packed(*pieces.best_and_gap(c, v)) for c in chunks]
+
+
 def test_long_text_without_blanks():
     v = pieces.vocabulary()
     text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(80_000))
