@@ -90,14 +90,20 @@ def atwater(calories: Column, protein: Column, fat: Column, carbohydrates: Colum
     return F.abs(protein * 4 + fat * 9 + carbohydrates * 4 - calories) <= calories * 0.1
 
 
-def plain(value: Column) -> Column:
-    """A number as short text: no trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value), r"0+$", ""), r"\.$", "")
+def significant(value: Column) -> Column:
+    """A number with six significant digits."""
+    out = F.round(value, 10)
+    for e in range(-4, 7):
+        out = F.when(F.abs(value) >= 10.0**e, F.round(value, 5 - e)).otherwise(out) if e > -4 else out
+    return out
 
 
 def repairs(value: Column) -> Column:
-    """The readings in which a leading digit 1..9 was lost."""
-    return F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.concat(d.cast("string"), plain(value)).cast("double"))
+    """The readings in which a leading digit 1..9 of the number's short text (six significant digits) was lost."""
+    v = significant(value)
+    digits = F.floor(F.log10(v)) + 1
+    whole = F.when(v == 0, 1).when((v >= 1e6) | (v < 1e-4), digits).otherwise(F.greatest(digits, F.lit(1)))
+    return F.when(v >= 0, F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.round(d * F.pow(F.lit(10.0), whole) + v, 6))).otherwise(F.array().cast("array<double>"))
 
 
 def solved(per_serving: Column, per_100: Column, serving: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, policy: dict[str, str]) -> DataFrame:
@@ -67,3 +72,30 @@ def appended(base: DataFrame, extra: DataFrame, key: str, array: str, value: str
     have, got = F.coalesce(F.col(array), F.array().cast("array<string>")), F.coalesce(F.col("more_"), F.array().cast("array<string>"))
     fresh = F.array_except(got, have)
     return rows.select(*(c for c in base.columns if c != array), F.concat(have, fresh).alias(array), F.size(fresh).alias("added"), (F.size(got) - F.size(fresh)).alias("skipped"))
+
+
+def cooled_down(df: DataFrame, key: str, second: str, order: list[str], seconds: int) -> DataFrame:
+    """df with `searched`: no accepted row of its key lies less than `seconds` before it.  Rows without key are left out.
+
+    Whether a row is accepted depends on all accepted ones before it, so each key's rows
+    are passed in order, with only the last accepted time held; `second` must rise with `order`.
+    """
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = last = None
+        for f in frames:
+            s, k = f[second].to_numpy(), f[key].to_numpy()
+            out = np.zeros(len(f), bool)
+            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(f)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and k[a] != now:
+                    now, last = k[a], None
+                i = a
+                while i < b:
+                    i += 0 if last is None else int(np.searchsorted(s[i:b], last + seconds))
+                    if i < b:
+                        out[i], last = True, s[i]
+            yield f.assign(searched=out)
+
+    rows = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInPandas(mark, StructType([*df.schema.fields, StructField("searched", BooleanType())]))

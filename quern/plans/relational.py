@@ -92,12 +92,12 @@ def ttl_cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cache_state(rows, "user_id", F.col("w"), F.col("t"), F.lit(1706745600))
 
 
-@query("""SELECT user_id, event_id, CASE WHEN before_ IS NULL THEN true ELSE epoch_us(ts) - epoch_us(before_) >= 604800000000 END AS searched
-FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ FROM events WHERE event_type = 'purchase')""")
+@query("""SELECT user_id, event_id, before_ IS NULL OR s - before_ >= 604800 AS searched FROM (WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase'),
+r AS (SELECT user_id, event_id, s, n, NULL::BIGINT AS before_, s AS last_ FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.s, e.n, r.last_, CASE WHEN e.s - r.last_ >= 604800 THEN e.s ELSE r.last_ END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT * FROM r)""")
 def cooldown_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search is made if the user's last one that was made is seven days back or there is none."""
     e = table(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type").where("event_type = 'purchase'")
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select("user_id", "event_id", F.coalesce(F.col("ts") - F.expr("INTERVAL 7 DAYS") >= before, F.lit(True)).alias("searched"))
+    return T.cooled_down(e.select("user_id", "event_id", epoch_seconds(F.col("ts")).alias("s"), "ts"), "user_id", "s", ["ts", "event_id"], 7 * 86400).select("user_id", "event_id", "searched")
 
 
 @query("SELECT o_orderkey, d FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m') END AS d FROM orders) WHERE coalesce(try_cast(left(d, 4) AS INT) >= 1998, true)")
@@ -192,13 +192,14 @@ def delete_by_pattern_and_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(gone, p.p_partkey == gone.l_partkey, "left_anti")
 
 
-@query("""WITH known AS (SELECT DISTINCT p_name FROM part WHERE p_size < 20), start AS (SELECT count(*) AS k FROM known)
-SELECT k + row_number() OVER (ORDER BY p_name) AS id, p_name FROM (SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM known)), start""")
+@query("""WITH known AS (SELECT DISTINCT p_name FROM part WHERE p_size < 3), start AS (SELECT count(*) AS k FROM known)
+SELECT k + row_number() OVER (ORDER BY p_name) AS id, p_name FROM (SELECT DISTINCT p_name || ' ' || p_brand AS p_name FROM part WHERE p_name || ' ' || p_brand NOT IN (SELECT p_name FROM known)), start""")
 def get_or_create_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part", "p_name", "p_size")
-    known = p.where("p_size < 20").select("p_name").distinct()
+    """Names that the dimension lacks, with ids numbered on from its largest."""
+    p = table(spark, sf_dir, "part", "p_name", "p_brand", "p_size")
+    known = p.where("p_size < 3").select("p_name").distinct()
     known = known.join(F.broadcast(known.agg(F.count("*").alias("id"))), F.lit(True))  # the next free id; one row
-    return T.new_keys(p, known, "p_name", "id").select("id", "p_name")
+    return T.new_keys(p.select(F.concat_ws(" ", "p_name", "p_brand").alias("p_name")), known, "p_name", "id").select("id", "p_name")
 
 
 @query("""WITH extra AS (SELECT l_suppkey AS s_suppkey, CAST(l_partkey % 5 AS VARCHAR) AS v FROM lineitem WHERE l_quantity > 48)

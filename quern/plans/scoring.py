@@ -98,10 +98,13 @@ FROM long JOIN refs USING (grp, nutrient) WHERE amount IS NOT NULL""")
 def daily_reference_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(GAPS.replace("FROM lineitem", "FROM {t}"), t=table(spark, sf_dir, "lineitem"))
     group = F.when(F.col("l_partkey") % 3 == 0, "general").when(F.col("l_partkey") % 3 == 1, "toddler").otherwise("pregnant")
-    refs = F.map_from_entries(F.array(*(F.struct(F.lit(f"{g}:{k}"), F.lit(v).cast("double")) for g, k, v in REFERENCE_ROWS)))
+    nutrients = ("calories", "fat", "sodium", "protein")
+    by = {(g, k): F.lit(v).cast("double") for g, k, v in REFERENCE_ROWS}
+    reference = lambda k: F.when(group == "general", by["general", k]).when(group == "toddler", by["toddler", k]).otherwise(by["pregnant", k])
+    rows = rows.select("*", *((F.col(k) / reference(k)).alias(f"share_{k}") for k in nutrients))
     # A product has a handful of nutrients, so they are ranked inside their row and not by a shuffle.
-    entry = lambda k: F.struct((F.col(k) / refs[F.concat(group, F.lit(f":{k}"))]).isNull().alias("last"), (-F.round(F.col(k) / refs[F.concat(group, F.lit(f":{k}"))] * 100, 1)).alias("minus"), F.lit(k).alias("nutrient"), F.col(k).alias("amount"))
-    ranked = F.array_sort(F.filter(F.array(*(entry(k) for k in ("calories", "fat", "sodium", "protein"))), lambda x: x["amount"].isNotNull()))
+    entry = lambda k: F.when(F.col(k).isNotNull(), F.struct(F.col(f"share_{k}").isNull().alias("last"), (-F.round(F.col(f"share_{k}") * 100, 1)).alias("minus"), F.lit(k).alias("nutrient")))
+    ranked = F.array_sort(F.array_compact(F.array(*map(entry, nutrients))))
     out = rows.select("l_orderkey", "l_linenumber", group.alias("grp"), F.posexplode(ranked).alias("i", "x"))
     return out.select("l_orderkey", "l_linenumber", "grp", "x.nutrient", (-F.col("x.minus")).alias("percent"), F.col("x.last").alias("no_reference"), (F.col("i") + 1).cast("long").alias("place"))
 
@@ -110,7 +113,7 @@ PAIRS = """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 9 <> 1 THEN CA
   CASE WHEN l_suppkey % 9 <> 2 THEN CASE WHEN l_partkey % 6 = 3 THEN l_quantity * 1000 / 250 % 100 ELSE l_quantity * 1000 / 250 END END AS per_100, CASE WHEN l_suppkey % 13 <> 0 THEN 250.0::DOUBLE END AS serving FROM lineitem"""
 SOLVER_SQL = """
 WITH pairs AS ({pairs}),
-txt AS (SELECT *, regexp_replace(regexp_replace(printf('%.4f', per_serving), '0+$', ''), '\\.$', '') AS ts, regexp_replace(regexp_replace(printf('%.4f', per_100), '0+$', ''), '\\.$', '') AS th FROM pairs),
+txt AS (SELECT *, printf('%g', per_serving) AS ts, printf('%g', per_100) AS th FROM pairs),
 cand AS (SELECT *,
   coalesce(abs(per_100 * serving / 100 - per_serving) <= greatest(0.6, abs(per_serving) * 0.06), false) AS fits,
   list_filter(list_transform(range(1, 10), lambda d: CAST(d || th AS DOUBLE)), lambda c: coalesce(abs(c * serving / 100 - per_serving) <= greatest(0.6, abs(per_serving) * 0.06), false)) AS c100,

@@ -221,3 +221,52 @@ def test_sinks(spark, tmp_path):
     assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines() == ["id,x,y", "a,1,2", '"b,c",,0']
     old, new = (spark.createDataFrame(r, "k int, v int, at int") for r in ([(1, 10, 1), (2, 20, 1)], [(2, 21, 2), (3, 30, 2)]))
     assert sorted(map(tuple, sinks.replaced(old, new, "k", "at").collect())) == [(1, 10, 1), (2, 21, 2), (3, 30, 2)]
+
+
+def test_changes(spark):
+    from quern.operators import changes as C
+
+    rows = spark.createDataFrame([(1, "a", "pending"), (2, "b", "done"), (3, "c", "pending")], "k int, v string, s string")
+    decisions = spark.createDataFrame([(1, "ok"), (2, "no"), (9, "ok")], "k int, d string")
+    assert [tuple(r) for r in C.transitioned(rows, decisions, "k", "s", "pending", "d").collect()] == [(1, "pending", "ok")]
+    changes = spark.createDataFrame([(1, "v", "x", 1), (1, "v", "y", 2), (1, "k", "9", 3), (3, "v", None, 5)], "k int, name string, value string, o int")
+    assert sorted(map(tuple, C.column_updates(rows, changes, "k", ["v"], "o").collect())) == [(1, "y", "pending"), (2, "b", "done"), (3, "c", "pending")]
+    refs = spark.createDataFrame([("f", 1), ("f", 2), ("g", 1), ("h", None)], "p string, r int")
+    files = refs.select("p").distinct()
+    assert [r["p"] for r in C.unreferenced(files, refs, "p", "r", spark.createDataFrame([(1,)], "r int")).collect()] == ["g"]
+    assert C.filtered(rows, s=None, k=[1, 2]).count() == 2
+
+
+def test_cooled_down(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randint(0, 300), i) for i in range(500)]
+    d = spark.createDataFrame(rows, "k int, s long, i int").repartition(4)
+    want, last = set(), {}
+    for k, s, i in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1], r[2])):
+        if k not in last or s - last[k] >= 20:
+            want.add(i)
+            last[k] = s
+    assert {r["i"] for r in T.cooled_down(d, "k", "s", ["s", "i"], 20).collect() if r["searched"]} == want
+
+
+def test_label_functions(spark):
+    from quern.functions import labels as L
+
+    r = one(
+        spark, deep=L.outside_brackets(F.lit("a" + "(" * 9 + "x" + ")" * 9 + "b{c[d]}")), open=L.outside_brackets(F.lit("a(b")), none=L.outside_brackets(F.lit(None).cast("string")),
+        name=L.label_name(F.lit("５’－次黃（x） Ab")), note=L.is_note(F.lit("玉米來源")), item=L.item_name(F.lit(" ●含大豆及其製品。")), score=L.title_score(F.lit("張三 - 一則個人貼文的標題"), F.lit("news")),
+        nine=L.number_present(F.lit("9"), F.lit("x 9.0g")), no=L.number_present(F.lit("9"), F.lit("19 9.5")), json=L.greedy_json(F.lit('a {"b": {"c": 1}} d')), bad=L.greedy_json(F.lit("a {b} d")),
+        shown=L.display_name(F.lit("鹽"), F.lit(None).cast("string"), F.array(F.lit("食鹽"), F.lit("salt"))), scope=L.evidence_scope(F.lit("https://www.WHO.int/x"), F.lit(None).cast("string")), down=L.must_degrade(F.lit(None).cast("int"), F.lit(False)),
+    )
+    assert (r["deep"], r["open"], r["none"], r["name"], r["note"], r["item"], r["score"]) == ("ab", "a(b", None, "5-次黃Ab", True, "大豆", 10)
+    assert (r["nine"], r["no"], r["json"], r["bad"], r["shown"], r["scope"], r["down"]) == (True, False, '{"b": {"c": 1}}', None, "salt (鹽)", "regulatory_or_authority", False)
+
+
+def test_short_numbers(spark):
+    """Six significant digits as %g prints them, and the readings with a leading digit lost."""
+    for v in (330.8, 0.0, 5.0, 68423.46, 0.00123456789, 123456.7, 9.9999999, 1234567.0):
+        r = one(spark, s=N.significant(F.lit(v)), c=N.repairs(F.lit(v)))
+        assert r["s"] == float(f"{v:g}"), v
+        assert all(abs(a - float(f"{d}{v:g}")) <= 1e-6 * max(1, abs(a)) for d, a in zip(range(1, 10), r["c"])), (v, r["c"])
