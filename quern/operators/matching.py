@@ -74,8 +74,39 @@ def islands(df: DataFrame, partition: list[str], order: list[str], value: str, g
 
 
 def set_pairs(df: DataFrame, key: str, items: str, least_shared: float) -> DataFrame:
-    """Pairs of rows whose arrays of distinct items have a Jaccard similarity above `least_shared`, by a join on shared items."""
-    rows = df.select(key, F.explode(items).alias("item"), F.size(items).alias("n"))
-    a, b = rows.select(F.col(key).alias("a"), "item", F.col("n").alias("na")), rows.select(F.col(key).alias("b"), "item", F.col("n").alias("nb"))
-    shared = a.join(b, "item").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    return shared.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") > least_shared)
+    """Pairs of rows whose arrays of distinct items have a Jaccard similarity above `least_shared`.
+
+    Items are ordered by rarity.  Two sets that are so alike share one of their first
+    n - ceil(least_shared * n) + 1 items, so only these meet; sizes that differ too much
+    do not, and the pairs that are left are verified on the whole arrays.
+    """
+    rows = df.select(key, F.col(items).alias("items_"), F.size(items).alias("n")).where("n > 0")
+    each = rows.select(key, "n", F.explode("items_").alias("item"))
+    ranked = each.join(each.groupBy("item").agg(F.count("*").alias("often")), "item")
+    ordered = ranked.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("by"))
+    first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * least_shared - 1e-9).cast("int") + 1)
+    posted = ordered.select(key, "n", F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
+    side = lambda name: posted.select(F.col(key).alias(name), "item", F.col("n").alias(f"n{name}"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least_shared)
+    pairs = side("a").join(side("b"), "item").where(fits).select("a", "b").distinct()
+    whole = lambda name: rows.select(F.col(key).alias(name), F.col("items_").alias(f"i{name}"), F.col("n").alias(f"n{name}"))
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b")
+    common = F.size(F.array_intersect("ia", "ib"))
+    return both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") > least_shared)
+
+
+def cosine_pairs(weights: DataFrame, key: str, feature: str, weight: str, least: float) -> DataFrame:
+    """Pairs of unit vectors, given as (key, feature, weight >= 0), whose cosine is at least `least`.
+
+    Features are ordered by rarity.  What follows in a vector once its remaining norm is
+    below `least` cannot reach it alone, so two such vectors share a feature before that;
+    only these features meet, and the pairs that do are summed up over all features.
+    """
+    often = weights.groupBy(feature).agg(F.count("*").alias("often_"))
+    w = Window.partitionBy(key).orderBy("often_", feature)
+    ranked = weights.join(often, feature).withColumn("rest_", F.lit(1.0) - F.coalesce(F.sum(F.col(weight) * F.col(weight)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    posted = ranked.where(F.col("rest_") >= least * least - 1e-9)  # the norm from this feature on
+    side = lambda d, name: d.select(F.col(key).alias(name), F.col(feature).alias("f"), F.col(weight).alias(f"w{name}"))
+    pairs = side(posted, "a").join(side(posted, "b"), "f").where("a < b").select("a", "b").distinct()
+    scored = pairs.join(side(weights, "a"), "a").join(side(weights, "b"), ["b", "f"])
+    return scored.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least - 1e-9)

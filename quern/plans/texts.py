@@ -116,24 +116,24 @@ def mention_count_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("own > 0").select("*", (F.col("own") <= F.col("other")).alias("ambiguous"))
 
 
-SPANS = "SELECT l_orderkey, l_linenumber, l_partkey % 5 AS grp, {epoch} // 86400 AS a, {epoch} // 86400 + CAST(l_quantity AS INT) % 7 + 1 AS b FROM lineitem WHERE l_suppkey = 3".replace("{epoch}", "epoch_us(l_shipdate) // 1000000")
+SPANS = "SELECT l_orderkey, l_linenumber, l_partkey AS grp, {epoch} // 86400 AS a, {epoch} // 86400 + CAST(l_quantity AS INT) % 7 + 1 AS b FROM lineitem".replace("{epoch}", "epoch_us(l_shipdate) // 1000000")
 
 
-@query(f"""WITH s AS ({SPANS}), o AS (SELECT o_orderkey, o_custkey % 5 AS grp, epoch_us(o_orderdate) // 1000000 // 86400 AS a, epoch_us(o_orderdate) // 1000000 // 86400 + 3 AS b FROM orders WHERE o_custkey < 300)
+@query(f"""WITH s AS ({SPANS}), o AS (SELECT o_orderkey, o_custkey AS grp, epoch_us(o_orderdate) // 1000000 // 86400 AS a, epoch_us(o_orderdate) // 1000000 // 86400 + 3 AS b FROM orders)
 SELECT l_orderkey, l_linenumber, o_orderkey, count(*) AS n FROM s JOIN o ON s.grp = o.grp AND s.a < o.b AND o.a < s.b GROUP BY ALL""")
 def interval_overlap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.floor(epoch_seconds(F.col(c)) / 86400)
-    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_suppkey").where("l_suppkey = 3")  # noqa: E741
-    s = l.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 5).alias("grp"), day("l_shipdate").alias("a1"), (day("l_shipdate") + F.col("l_quantity").cast("int") % 7 + 1).alias("b1"))
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").where("o_custkey < 300")
-    o = o.select("o_orderkey", (F.col("o_custkey") % 5).alias("grp"), day("o_orderdate").alias("a2"), (day("o_orderdate") + 3).alias("b2"))
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")  # noqa: E741
+    s = l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("grp"), day("l_shipdate").alias("a1"), (day("l_shipdate") + F.col("l_quantity").cast("int") % 7 + 1).alias("b1"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    o = o.select("o_orderkey", F.col("o_custkey").alias("grp"), day("o_orderdate").alias("a2"), (day("o_orderdate") + 3).alias("b2"))
     return M.overlapping(s, o, ("a1", "b1"), ("a2", "b2"), 16, ["grp"]).groupBy("l_orderkey", "l_linenumber", "o_orderkey").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, {l} AS a, {l} + CAST(l_quantity AS INT) % 7 + 1 AS b FROM lineitem), o AS (SELECT o_orderkey, {o} AS a, {o} + 3 AS b FROM orders)
 SELECT l_orderkey, l_linenumber, count(*) AS n FROM s JOIN o ON l_orderkey = o_orderkey AND s.a < o.b AND o.a < s.b GROUP BY ALL""".replace("{l}", "epoch_us(l_shipdate) // 86400000000").replace("{o}", "epoch_us(o_orderdate) // 86400000000"))
 def interval_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose span overlaps the first three days of their order.  All rows of both tables enter; `interval_overlap_sources` reads a subset of the ids."""
+    """Lines whose span overlaps the first three days of their order."""
     day = lambda c: F.floor(epoch_seconds(F.col(c)) / 86400)
     l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")  # noqa: E741
     s = l.select(F.col("l_orderkey").alias("key"), "l_linenumber", day("l_shipdate").alias("a1"), (day("l_shipdate") + F.col("l_quantity").cast("int") % 7 + 1).alias("b1"))
@@ -199,8 +199,7 @@ def tfidf_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tf.join(idf, "g").select("item_id", "g", (F.col("tf") * F.col("idf")).alias("w"))
     n = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     w = w.join(n, "item_id").select("item_id", "g", (F.col("w") / F.col("n")).alias("w"))
-    a, c = w.select(F.col("item_id").alias("a"), "g", F.col("w").alias("wa")), w.select(F.col("item_id").alias("b"), "g", F.col("w").alias("wb"))
-    return a.join(c, "g").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine")).where("cosine >= 0.5")
+    return M.cosine_pairs(w, "item_id", "g", "w", 0.5).select("a", "b", F.round("cosine", 6).alias("cosine")).where("cosine >= 0.5")
 
 
 @query("""SELECT conv_id, count(*) AS turns, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AND bool_and(role IN ('user', 'assistant', 'system', 'tool')) AND bool_and(length(trim(text)) > 0) AS valid FROM conversations GROUP BY conv_id""")
@@ -212,9 +211,9 @@ def cluster_partition_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(n.alias("turns"), ok.alias("valid"))
 
 
-@query("""WITH u AS (SELECT DISTINCT source, lower(left(text, 12)) AS e FROM documents) SELECT source, count(*) AS found, count(*) FILTER (n = 1) AS only_here, round(count(*) FILTER (n = 1) / count(*), 6) AS gain FROM (SELECT source, e, count(*) OVER (PARTITION BY e) AS n FROM u) GROUP BY source""")
+@query("""WITH u AS (SELECT DISTINCT source, lower(text) AS e FROM documents) SELECT source, count(*) AS found, count(*) FILTER (n = 1) AS only_here, round(count(*) FILTER (n = 1) / count(*), 6) AS gain FROM (SELECT source, e, count(*) OVER (PARTITION BY e) AS n FROM u) GROUP BY source""")
 def leave_one_out_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_only_here(table(spark, sf_dir, "documents", "source", "text").select("source", F.lower(F.left("text", F.lit(12))).alias("e")).distinct())
+    return found_only_here(table(spark, sf_dir, "documents", "source", "text").select("source", F.lower("text").alias("e")).distinct())
 
 
 def found_only_here(u: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ def found_only_here(u: DataFrame) -> DataFrame:
 
 @query("""WITH u AS (SELECT DISTINCT source, md5(text) AS e FROM documents) SELECT source, count(*) AS found, count(*) FILTER (n = 1) AS only_here, round(count(*) FILTER (n = 1) / count(*), 6) AS gain FROM (SELECT source, e, count(*) OVER (PARTITION BY e) AS n FROM u) GROUP BY source""")
 def leave_one_out_gain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What would be missing without a source; an entity is a whole text, in `leave_one_out_gain` its first 12 characters."""
+    """What would be missing without a source; an entity is the digest of a whole text."""
     return found_only_here(table(spark, sf_dir, "documents", "source", "text").select("source", F.md5("text").alias("e")).distinct())
 
 
