@@ -2,8 +2,8 @@
 
 Tokens are ordered by rarity.  Rarity is read from a table of counts over all
 records, each token counted in one of 2**16 to 2**24 buckets, as the number of rows
-asks for; where buckets hold many tokens, what a bucket holds in the median is taken
-off.  Any fixed order gives the same result, a good one gives few candidates.  Two sets that
+asks for; where buckets hold many tokens, most of what a bucket holds in the median is
+taken off.  Any fixed order gives the same result, a good one gives few candidates.  Two sets that
 reach the threshold share the l smallest of their common tokens within their
 first n - ceil(t n) + l tokens, for every l up to their overlap; so each record
 publishes such a prefix.  A record whose prefix tokens are frequent takes a larger l:
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import counted_arrays, discard, lean, materialise, mix, portions
 
-BUCKET_BITS = 16, 24  # least, most: 32 buckets a row
+BUCKET_BITS = 16, 24  # least, most: 16 buckets a row
 FILTER_BITS = 20, 26
 SEEN = 500_000  # records that a task remembers to pass over copies; copies that it forgets do no harm
 PART = 50_000  # rows of a list that meet the undecided ones in one place
@@ -85,8 +85,13 @@ def bits_for(rows: int, limits: tuple[int, int], more: int) -> int:
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """Classes 0..255 of counts: 0 none, 1 one, then rising with the logarithm of what exceeds the median bucket."""
-    above = np.maximum(counts - int(np.median(counts)), 2)
+    """Classes 0..255 of counts: 0 none, 1 one, then rising with the logarithm.
+
+    In a crowded table, where the median bucket holds more than 16, the excess over 16 is
+    taken off, so that tokens do not seem frequent for their neighbours' sake; below that
+    the counts themselves give the finer order.
+    """
+    above = np.maximum(counts - max(0, int(np.median(counts)) - 16), 2)
     return np.where(counts <= 1, counts, np.minimum(255, 2 + np.floor(7 * np.log2(above)))).astype(np.uint8)
 
 
@@ -144,7 +149,7 @@ class Seen(dict):
 
 def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     """(rid, o1 = the document, o2 = the record's place in it, n) of every record, as a written table, and the rarity classes."""
-    bits = bits_for(docs.count(), BUCKET_BITS, 5)
+    bits = bits_for(docs.count(), BUCKET_BITS, 4)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
