@@ -15,7 +15,7 @@ size.  Every token has a list; lists of tokens counted more than `HOT` times are
 dealt on, by record, to parts that share a few records.  Lists of up to `SHORT` records give all their
 pairs that pass the length, positional and bitmap filters (the last: a parity
 bitmap, whose differing bits bound the symmetric difference), unless these are
-more than `DENSE` a record.  From dense and longer lists come only the pairs with
+more than `DENSE` a record and `SLACK`.  From dense and longer lists come only the pairs with
 the first `PIVOTS` records; what those pairs leave undecided is joined again, see
 `remaining_pairs`.  Candidates are verified on the whole sets.
 
@@ -41,7 +41,7 @@ BUCKET_BITS = 16, 24  # least, most: 16 buckets a row
 FILTER_BITS = 20, 26
 SEEN = 500_000  # records that a task remembers to pass over copies; copies that it forgets do no harm
 PART = 50_000  # rows of a list that meet the undecided ones in one place
-SHORT, DENSE, PIVOTS = 1024, 4, 8
+SHORT, DENSE, SLACK, PIVOTS = 1024, 4, 64, 8
 HOT, BUCKET_BYTES = 100_000, 8_000_000
 
 
@@ -312,7 +312,7 @@ def listed(blocks: DataFrame, join: Join) -> DataFrame:
                 if len(ok := may_match(columns, i, columns, j, join)):
                     found.append((i[ok], j[ok]))
                     counts += np.bincount(of[i[ok]], minlength=len(sizes))
-            if (crowded := (counts > DENSE * sizes + SHORT) & ~dense).any():
+            if (crowded := (counts > DENSE * sizes + SLACK) & ~dense).any():
                 dense |= crowded
                 left = left[~dense[of[left]]]
                 found = [(i[keep], j[keep]) for i, j in found for keep in (~dense[of[i]],)]

@@ -71,7 +71,7 @@ def brute_lines(rows, least=1):
 def limits(request, monkeypatch):
     """The same joins with limits so small that dense, long and hot lists occur."""
     if request.param != "as set":
-        for name, value in {"SHORT": 4, "DENSE": 1, "PIVOTS": 2}.items():
+        for name, value in {"SHORT": 4, "DENSE": 1, "SLACK": 4, "PIVOTS": 2}.items():
             monkeypatch.setattr(setjoin, name, value)
     if request.param == "hot tokens":
         monkeypatch.setattr(setjoin, "HOT", 5)
