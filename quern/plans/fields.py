@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields as X
+from quern.operators import items as I
 from quern.operators import tables as T
 from quern.plans.registry import query
 from quern.sources.tables import table
@@ -109,7 +110,7 @@ def diagnosis_with_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "score", grade.alias("grade"), F.array_join("w", "|").alias("warnings"), F.array_join(F.filter("w", lambda x: ~x.rlike("^nuts")), "|").alias("shown"))
 
 
-@query("""SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) || ' x' AS spaced, 'A.B ' || p_name || ' 1 2' AS recognised FROM part""")
+@query("""SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) || ' x' AS spaced, 'A.B,' || p_name || ' 1 2' AS recognised FROM part""")
 def recognised_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ingredient's spaced form and recognised text in half width."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
@@ -188,3 +189,37 @@ def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = F.coalesce(F.when(k % 5 == 0, "given"), F.concat(F.lit("order "), "o_orderstatus"))
     body = F.struct(F.struct(k.alias("id"), F.coalesce(nested, flat, F.lit("unnamed")).alias("name")).alias("product"), F.when(k % 4 != 0, F.col("o_custkey") % 100).alias("score"), summary.alias("summary"))
     return o.select("o_orderkey", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
+@query("""SELECT p_partkey, (2 + (p_partkey % 2 = 0)::INT)::INT AS hits, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type || 'zzzzzzzz' END AS missed, 'qqqqqqqqqqqq|' || p_name AS spurious FROM part""")
+def matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two lists, one to one, with as many edits as a quarter of their length."""
+    p, k = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand"), F.col("p_partkey") % 2
+    wanted = F.array("p_name", F.concat("p_type", F.lit("zzzzzzzz")), F.col("p_brand"))
+    got = F.array(F.concat(F.lit("#"), "p_name"), F.lit("q" * 12), F.col("p_brand"), F.col("p_name"), F.when(k == 0, F.concat("p_type", F.lit("zzzzzz"))))
+    rows = p.select("p_partkey", I.matched(F.array_compact(got), wanted).alias("m"))
+    return rows.select("p_partkey", "m.hits", F.array_join("m.missed", "|").alias("missed"), F.array_join("m.spurious", "|").alias("spurious"))
+
+
+@query("""SELECT p_partkey, p_brand || '|#' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '|salt|malt' ELSE '|salt' END AS items FROM part""")
+def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readers' items as one list: of alike ones the longer stays; short ones must be equal."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    base = F.array(F.col("p_brand"), F.col("p_name"), F.concat(F.lit("#"), "p_name"), F.lit("salt"))
+    more = F.array(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "malt").otherwise("salt"))
+    return p.select("p_partkey", F.array_join(I.merged(base, more), "|").alias("items"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS energy, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity * 2 END AS energy_100, l_linenumber + 0.5 AS saturated, NULL::DOUBLE AS saturated_100, CASE WHEN l_partkey % 2 = 0 THEN 7.0 END AS fat, 5.0 AS sugar, CASE WHEN l_partkey % 2 = 1 THEN 40.0 END AS sodium FROM lineitem""")
+def numbers_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nutrition table's numbers by the names before them: longer names first, no name of an ingredient, no second column where that holds daily values."""
+    l, k = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), F.col("l_partkey")  # noqa: E741
+    whole = F.col("l_quantity").cast("int")
+    text = F.concat(
+        F.when(k % 3 == 0, "每日參考值 ").otherwise("每100公克 "), F.lit("熱量 "), whole.cast("string"), F.lit("大卡 "), (whole * 2).cast("string"), F.lit("大卡\n"),
+        F.lit("飽和脂肪 "), F.col("l_linenumber").cast("string"), F.lit(",5 公克 每份其他各項合計共計如下 "), F.when(k % 2 == 0, "脂肪 7 公克 每份其他各項合計共計如下 ").otherwise("磷酸鈉 3 鈉 40毫克 每份其他各項合計共計如下 "), F.lit("蔗糖 9 糖：５ 公克"),
+    )
+    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", I.numbers_by_field(text).alias("m"))
+    value = lambda key, at: F.get(F.element_at("m", F.lit(key)), F.lit(at))
+    names = {"energy": ("calories", 0), "energy_100": ("calories", 1), "saturated": ("saturated_fat", 0), "saturated_100": ("saturated_fat", 1), "fat": ("fat", 0), "sugar": ("sugar", 0), "sodium": ("sodium", 0)}
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *(value(*at).alias(n) for n, at in names.items()))
