@@ -223,3 +223,44 @@ def numbers_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda key, at: F.get(F.element_at("m", F.lit(key)), F.lit(at))
     names = {"energy": ("calories", 0), "energy_100": ("calories", 1), "saturated": ("saturated_fat", 0), "saturated_100": ("saturated_fat", 1), "fat": ("fat", 0), "sugar": ("sugar", 0), "sodium": ("sodium", 0)}
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *(value(*at).alias(n) for n, at in names.items()))
+
+
+# Entities and terms of the ingest below; both are parameters of a real run.
+MAKERS, GATE = {1: "thre", 2: "thble", 3: "than"}, ["thnt", "ther"]
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN source = 'src3' THEN 'ftp://x' ELSE 'https://' || source || '.example.org/' || lang END AS url, text, ['thnt', 'ther'] AS terms FROM documents),
+h AS (SELECT doc_id, url, left(text, 40) AS title, list_filter(terms, lambda t: contains(text, t)) AS terms, unnest(list_filter(['thre', 'thble', 'than'], lambda m: contains(text, m))) AS m FROM r WHERE regexp_matches(url, '^https?://[^/]'))
+SELECT CASE m WHEN 'thre' THEN 1 WHEN 'thble' THEN 2 ELSE 3 END AS producer_id, url, min(doc_id) AS doc_id, arg_min(title, doc_id) AS title, arg_min(array_to_string(terms, ','), doc_id) AS matched_terms, CASE WHEN url LIKE 'https://src1.%' THEN 'official' ELSE 'unknown' END AS tier, 'pending' AS status
+FROM h WHERE len(terms) > 0 AND (url, m) NOT IN (SELECT ('https://' || source || '.example.org/' || lang, 'than') FROM documents WHERE source = 'src2') GROUP BY m, url""")
+def candidate_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results as candidates: absolute address, known makers, gate terms, tier; one row a maker and address (the first one), none that is queued already."""
+    from quern.functions import labels as L
+    from quern.functions import texts as N
+
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    address = lambda c: F.concat(F.lit("https://"), c, F.lit(".example.org/"), "lang")
+    url = F.when(F.col("source") == "src3", "ftp://x").otherwise(address(F.col("source")))
+    held = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w))
+    results = d.select("doc_id", url.alias("url"), F.left("text", F.lit(40)).alias("title"), held(GATE).alias("terms"), held(MAKERS.values()).alias("makers"))
+    passed = results.where(L.absolute_url(F.col("url")) & (F.size("terms") > 0))
+    ids = F.create_map(*(F.lit(x) for i, name in MAKERS.items() for x in (name, i)))
+    hits = passed.select("doc_id", "url", "title", "terms", F.explode("makers").alias("maker")).withColumn("producer_id", F.element_at(ids, F.col("maker")))
+    first = hits.groupBy("producer_id", "url").agg(F.min_by(F.struct("doc_id", "title", "terms"), "doc_id").alias("f"))
+    queued = d.where("source = 'src2'").select(F.lit(3).alias("producer_id"), address(F.col("source")).alias("url")).distinct()
+    tier = F.when(N.in_domains(N.domain(F.col("url")), ["src1.example.org"]), "official").otherwise("unknown")
+    new = first.join(queued, ["producer_id", "url"], "left_anti")
+    return new.select("producer_id", "url", "f.doc_id", "f.title", F.array_join("f.terms", ",").alias("matched_terms"), tier.alias("tier"), F.lit("pending").alias("status"))
+
+
+@query("SELECT doc_id, toxic, quality FROM labels JOIN documents USING (doc_id) WHERE source = 'src1'")
+def truth_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON by category, every category of the manifest there, and one category read back by its folder."""
+    from quern.sources.sinks import case_json
+
+    d = table(spark, sf_dir, "documents", "doc_id", "source")
+    rows = table(spark, sf_dir, "labels", "doc_id", "toxic", "quality").join(d, "doc_id")
+    where = f"{S.folder(spark)}/truth"
+    case_json(rows, where, "source", rows.select("source").distinct())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return spark.read.schema(schema).json(where).where("source = 'src1'").select("doc_id", "toxic", "quality")
