@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import divergence, html_main, knn, langid, licenses, line_dedup, media, mixing, ngram_join, pieces, toxicity
+from quern.llm import divergence, html_main, knn, langid, licenses, line_dedup, media, mixing, ngram_join, pieces, toxicity, trie, warc
 from quern.llm.common import table
 
 
@@ -54,11 +54,22 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_html_main_text, op3_voronoi_top_k, op4_line_dedup, op5_ngram_jaccard_join,
         op6_sentencepiece_nbest, op7_media_columns, op8_toxicity, op9_source_mixing, op10_language_id, op11_source_divergence,
+        op12_warc_transactions, op13_conversation_trie,
     )
 }
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op9_source_mixing": mixing.SQL, "op11_source_divergence": divergence.SQL}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.sql(), "op9_source_mixing": mixing.SQL, "op11_source_divergence": divergence.SQL, "op12_warc_transactions": warc.SQL, "op13_conversation_trie": trie.SQL,
+}
