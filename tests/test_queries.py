@@ -43,7 +43,7 @@ def test_like_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    tested = {"html_to_text", "bracket_tree_flatten", "semi_global_edit", "degenerate_runs", "event_merge_greedy", "dbscan_points", "paired_bootstrap_ci", "stream_cooldown"}
+    tested = {"html_to_text", "bracket_tree_flatten", "semi_global_edit", "degenerate_runs", "event_merge_greedy", "dbscan_points", "paired_bootstrap_ci", "stream_cooldown", "sequence_readings", "whole_tables", "box_table_cells"}
     assert set(queries.QUERIES) - set(queries.SQL) == tested
 
 
