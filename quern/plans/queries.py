@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quern.plans import fields, label_tables, labels, measures, more, records, relational, scoring, streams, texts  # noqa: F401
+from quern.plans import fields, ingredients, label_tables, labels, measures, more, records, relational, scoring, streams, texts  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
