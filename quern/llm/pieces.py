@@ -12,12 +12,14 @@ that), so the lattice falls apart there, and so it does between any two
 characters that are neighbours in no piece.  These parts are searched on their own
 and remembered within a task, in bounded memory, and a text's N best come from its
 parts' N best.  A text of any length is whole; texts are taken in portions of about
-2 MB, and the distinct chunks of a portion are looked up once.  Equal scores go to
+2 MB, and the distinct chunks of a portion are looked up once.  Best paths of new chunks are found together,
+the search's first results; of the chunk that the second best changes, the queue gives
+the second.  Equal scores go to
 the path found first, a fixed rule.  decode(encode(t)) == t.
 
 Null texts have null ids, empty ones no ids and score 0.  Rows are independent, so
-repeated ones get equal values; an empty table gives an empty one.  Kept columns that
-bear a name of the result's are the caller's to rename (`tokenised` drops them).
+repeated ones get equal values; an empty table gives an empty one.  A kept column that
+bears a name of the result's is an error (`tokenised` drops it).
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10
 NO_GAP = 1 << 62  # of a chunk with one way only
+MADE = ["ids", "n_tokens", "score", "second_score", "second_from", "second_dropped", "second_ids", "round_trip"]
 BUILT: dict[str, Vocabulary] = {}  # a worker's tables, by the digest of the pieces
 
 
@@ -237,6 +240,7 @@ class Remembered(dict):
         super().__init__()
         self.v, self.most_bytes, self.bytes = v, most_bytes, 0
         self.older: dict[str, bytes] = {}
+        self.seconds: dict[str, list[int]] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
@@ -271,13 +275,30 @@ class Remembered(dict):
 
     def search(self, chunk: str) -> bytes:
         """The chunk's parts, cut where no piece can join two characters, are searched on their own."""
-        joins = self.v.joins
-        cuts = [] if BLANK in chunk else [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joins]
-        if not cuts:
+        if not (cuts := self.cuts(chunk)):
             return packed(*best_and_gap(chunk, self.v))
         parts = [unpacked(self[chunk[i:j]]) for i, j in zip([0, *cuts], [*cuts, len(chunk)])]
         return packed(sum(p[0] for p in parts), min(p[1] for p in parts), [i for p in parts for i in p[2]])
 
+    def cuts(self, chunk: str) -> list[int]:
+        return [] if BLANK in chunk else [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.v.joins]
+
+    def second(self, chunk: str) -> list[int]:
+        """Ids of the chunk's second best way, which has one: the A-star search of the part whose second is nearest to its best."""
+        found = self.seconds.get(chunk)
+        if found is None:
+            edges = [0, *self.cuts(chunk), len(chunk)]
+            parts = [chunk[i:j] for i, j in zip(edges, edges[1:])]
+            known = [unpacked(self[p]) for p in parts]
+            at = min(range(len(parts)), key=lambda i: (known[i][1], -i))
+            known[at] = n_best(parts[at], self.v, 2)[1]
+            found = [i for p in known for i in p[-1]]
+            if len(self.seconds) >= 20_000:
+                self.seconds.clear()
+            if len(chunk) < 1000:
+                self.seconds[chunk] = found
+        return found
+
 
 def packed(score: int, gap: int, ids: list[int]) -> bytes:
     return struct.pack(f"<qq{len(ids)}i", score, gap, *ids)
@@ -319,10 +340,6 @@ def segmentations(text: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]
     return out
 
 
-def decode(ids: list[int], v: Vocabulary) -> str:
-    return b"".join([v.out[i] for i in ids])[1:].decode("utf-8", "replace")
-
-
 def chunk_codes(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Of texts that are not empty: the bytes with a blank in front of each, the texts' starts, the distinct chunks, each chunk's code, each text's first chunk."""
     with_blank = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
@@ -343,12 +360,16 @@ def chunk_codes(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
 
 
 def encoded(texts: pa.Array, v: Vocabulary, known: Remembered) -> list[pa.Array]:
-    """ids, n_tokens, score, second_score, round_trip of one portion of texts."""
+    """ids, n_tokens, score, second_score, second_from, second_dropped, second_ids, round_trip of one portion of texts.
+
+    The second best changes one chunk, the last one of those whose second way is nearest to the best.
+    """
     usable = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
     at = np.flatnonzero(usable.to_numpy(zero_copy_only=False))
     there = texts.is_valid().to_numpy(zero_copy_only=False)
     n_tokens, scores, gaps, same = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.full(len(texts), NO_GAP), np.ones(len(texts), bool)
     ids = np.zeros(0, np.int32)
+    begin_at, dropped, others = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [None] * len(texts)
     if len(at):
         data, starts, distinct, codes, first = chunk_codes(texts.filter(usable), v)
         found = known.all_of(distinct.to_pylist())
@@ -359,6 +380,14 @@ def encoded(texts: pa.Array, v: Vocabulary, known: Remembered) -> list[pa.Array]
         ids = blob[gathered(begin[codes] + 4, n)]
         n_tokens[at] = np.add.reduceat(n, first)
         scores[at], gaps[at] = np.add.reduceat(head[codes, 0], first), np.minimum.reduceat(head[codes, 1], first)
+        gap, owner = head[codes, 1], np.repeat(np.arange(len(at)), np.diff(np.append(first, len(codes))))
+        least = np.flatnonzero((gap == gaps[at][owner]) & (gap < NO_GAP))
+        last = np.full(len(at), -1)
+        last[owner[least]] = least  # of several the last assignment holds
+        ahead = np.cumsum(n) - n
+        names = distinct.take(pa.array(codes[last[last >= 0]])).to_pylist()
+        for row, place, chunk in zip(np.flatnonzero(last >= 0).tolist(), last[last >= 0].tolist(), names):
+            begin_at[at[row]], dropped[at[row]], others[at[row]] = ahead[place] - ahead[first[row]], n[place], known.second(chunk)
         # Decoding: the ids' bytes must be the texts, each with its blank in front.
         lengths = v.out_lengths[ids]
         token = np.concatenate(([0], np.cumsum(n_tokens[at])))
@@ -370,8 +399,9 @@ def encoded(texts: pa.Array, v: Vocabulary, known: Remembered) -> list[pa.Array]
             want = np.append(starts, len(data))
             same[at] = [(back[byte[i] : byte[i + 1]].tobytes() == data[want[i] : want[i + 1]].tobytes()) for i in range(len(at))]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tokens))), pa.int32(), mask=np.append(~there, False)), pa.array(ids, pa.int32()))
-    second = pa.array(scores - gaps, pa.float64(), mask=~there | (gaps == NO_GAP))  # the second best changes one chunk
-    return [lists, *(pa.array(x, mask=~there) for x in (n_tokens, scores)), second, pa.array(same, mask=~there)]
+    lone = ~there | (gaps == NO_GAP)
+    second = [pa.array(scores - gaps, pa.float64(), mask=lone), pa.array(begin_at, mask=lone), pa.array(dropped, mask=lone), pa.array(others, pa.list_(pa.int32()))]
+    return [lists, *(pa.array(x, mask=~there) for x in (n_tokens, scores)), *second, pa.array(same, mask=~there)]
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
@@ -379,10 +409,14 @@ def decode(ids: list[int], v: Vocabulary) -> str:
 
 
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model_file: str = MODEL) -> DataFrame:
-    """The columns in `keep`, with ids array<int>, n_tokens, score, second_score (null where there is one way only), and round_trip."""
+    """The columns in `keep`, with ids array<int>, n_tokens, score, the second best segmentation, and round_trip.
+
+    The second best has second_score; its ids are the first second_from of ids, then second_ids, then ids without
+    the second_dropped next ones.  All four are null where there is one way only.
+    """
     listed = listed_pieces(model_file)  # as many as the vocabulary has, read once on the driver
     key = hashlib.sha256(repr(listed).encode()).hexdigest()
-    names = [*keep, "ids", "n_tokens", "score", "second_score", "round_trip"]
+    names = [*keep, *MADE]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the search makes many small tuples and no cycles
@@ -398,8 +432,10 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         finally:
             gc.enable()
 
+    if clashing := set(keep) & set(MADE):
+        raise ValueError(f"rename {sorted(clashing)}: the result has columns of these names")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>, n_tokens long, score double, second_score double, round_trip boolean"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>, n_tokens long, score double, second_score double, second_from long, second_dropped long, second_ids array<int>, round_trip boolean"])
     return df.select(*keep, text).mapInArrow(lean(rows), schema)
 
 
@@ -408,14 +444,14 @@ def ids_md5(ids: list[int]) -> str:
 
 
 def encoded_digest(df: DataFrame) -> DataFrame:
-    """The query: counts, scores and the ids' digest of every document."""
+    """The query: counts, scores, the ids' digest and what the second best segmentation changes, for every document."""
     from pyspark.sql import functions as F
 
     out = encode(df.select("doc_id", "text"))
-    return out.select("doc_id", "n_tokens", "score", "second_score", "round_trip", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return out.select("doc_id", "n_tokens", "score", "second_score", "second_from", "second_dropped", "second_ids", "round_trip", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents as piece ids, without text and n_chars; columns that have a name of the result's give way to it."""
-    made = ("text", "n_chars", "ids", "n_tokens", "score", "second_score", "round_trip")
-    return encode(docs, keep=tuple(c for c in docs.columns if c not in made)).drop("second_score", "round_trip")
+    made = ("text", "n_chars", *MADE)
+    return encode(docs, keep=tuple(c for c in docs.columns if c not in made)).drop(*MADE[3:])

@@ -188,9 +188,29 @@ def test_pieces():
         found = pieces.segmentations(text, v, 4)
         assert all(pieces.decode(ids, v) == text for _, ids in found)
         assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({tuple(i) for _, i in found}) == len(found)
-        ids, n, score, second, same = (c.to_pylist()[0] for c in pieces.encoded(pa.array([text]), v, pieces.Remembered(v)))
+        ids, n, score, second, begin, dropped, others, same = (c.to_pylist()[0] for c in pieces.encoded(pa.array([text]), v, pieces.Remembered(v)))
         assert same and n == len(ids) and pieces.decode(ids, v) == text and score == found[0][0]
         assert second == (found[1][0] if len(found) > 1 else None)
+        if len(found) > 1:
+            assert second_ids(ids, begin, dropped, others) in [i for s, i in pieces.segmentations(text, v, 60) if s == second and i != ids]
+
+
+def second_ids(ids, begin, dropped, others):
+    return ids[:begin] + others + ids[begin + dropped :]
+
+
+def test_second_segmentations(spark):
+    """On every document the second best covers the text, is not the best, and has the second best score by another lattice."""
+    listed, v = pieces.listed_pieces(), pieces.vocabulary()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in pieces.encode(docs.select("doc_id", "text")).collect():
+        if r["second_score"] is None:
+            continue
+        second = second_ids(r["ids"], r["second_from"], r["second_dropped"], r["second_ids"])
+        points = sum(listed[i][1] if listed[i][1] is not None else 0 for i in second)
+        assert second != r["ids"] and pieces.decode(second, v) == texts[r["doc_id"]]
+        assert points == r["second_score"] or any(listed[i][1] is None for i in second)
 
 
 def test_pieces_against_a_second_lattice():
@@ -224,7 +244,7 @@ def test_long_text_without_blanks():
     v = pieces.vocabulary()
     text = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(80_000))
     began = time.process_time()
-    ids, _, _, _, same = pieces.encoded(pa.array([text]), v, pieces.Remembered(v))
+    ids, *_, same = pieces.encoded(pa.array([text]), v, pieces.Remembered(v))
     assert same.to_pylist() == [True] and time.process_time() - began < 10
 
 
