@@ -18,7 +18,9 @@ REGULATORS = ["efsa.europa.eu", "who.int", "fao.org", "inchem.org", "fda.gov", "
 TITLE_POINTS = {"official": 30, "news": 20, "wiki": 10, "consumer_complaint": 5}
 # One form of punctuation.
 CANON = {"‘": "'", "’": "'", "ʼ": "'", "´": "'", "`": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-"}
+# Apostrophes that names are written with or without.
 APOSTROPHES = "['’‘′`ˊ]"
+# Notes on a substance's state.
 NOTES = ["無水", "液狀", "粉狀", "顆粒", "天然", "人工", "食品級", "非基因改造", "基因改造", "含", "微量", "適量"]
 
 

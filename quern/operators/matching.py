@@ -42,7 +42,7 @@ def near_misses(queries: DataFrame, query: str, names: DataFrame, name: str, lea
     size = F.floor(n / (k + 1)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * size + 1).alias("at"), F.substring(F.col("q"), i * size + 1, size).alias("part")))
     parts = q.select("q", k.alias("k"), F.explode(starts).alias("s")).select("q", "k", "s.at", "s.part")
-    lengths = [r[0] for r in parts.select(F.length("part")).distinct().limit(64).collect()]  # a few small numbers
+    lengths = [r[0] for r in parts.select(F.length("part")).distinct().collect()]  # at most 1 / share + 1, as a part is shorter than 1 / share
     keys = names.select(F.col(name).alias("name")).where("name is not null").distinct()
 
     def grams_of(length: int) -> Column:
@@ -54,7 +54,7 @@ def near_misses(queries: DataFrame, query: str, names: DataFrame, name: str, lea
         return q.select("q", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("distance")).limit(0)
     pieces = keys.select("name", F.explode(F.concat(*grams)).alias("g")).select("name", "g.place", "g.part")
     pairs = parts.join(pieces, "part").where(F.abs(F.col("place") - F.col("at")) <= F.col("k")).where(F.abs(F.length("name") - F.length("q")) <= F.col("k")).select("q", "name", "k").distinct()
-    scored = pairs.withColumn("distance", F.levenshtein("q", "name", 1000)).where("distance <= k and distance > 0")
+    scored = pairs.withColumn("distance", F.call_function("levenshtein", "q", "name", "k")).where("distance > 0")  # -1 where it is above k
     return scored.groupBy("q").agg(F.min(F.struct("distance", "name")).alias("b")).select("q", "b.name", "b.distance")
 
 

@@ -41,7 +41,7 @@ def product_name_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", X.product_name(lines).alias("name"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_brand || '(' || p_type || '、x)|y' WHEN 1 THEN 'a|b(' || p_name || '、c' ELSE 'd(' || repeat('e', 130) || '|' || p_name END AS items FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_brand || '(' || p_type || '、x)|y。' WHEN 1 THEN 'a|b(' || p_name || '、c' ELSE 'd(' || repeat('e', 130) || '|' || p_name END AS items FROM part""")
 def depth_split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items between separators outside of brackets; one whose bracket was never closed is cut after 120 characters."""
     p, k = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), F.col("p_partkey") % 3
