@@ -3,14 +3,14 @@
 A page becomes a tree.  Scripts, styles, navigation, headers, footers, asides and
 hidden parts are left out.  So are forms and elements whose class, id or role names
 boilerplate (adverts, notices, sidebars ...), unless an article or main lies within
-them, or for forms, on pages that have none, most of the page's paragraphs.  Within an article only the
+them, or for forms, most of the page's paragraphs.  Within an article only the
 plainest names count, and readers' comments go everywhere.  Every paragraph gives
 points for its length and its commas to its ancestors, in full to the parent,
 half to the grandparent and ever less above; a container's points are multiplied
 by one minus its link density.  The best container gives way to the article, or
 else main, around it, or else to its parents while these add only text with few
-links.  It is kept whole, lists of links within an article or main included, with
-the headings beside it, the siblings that score at least a fifth of it or are long
+links.  It is kept whole, with its lists of links (but for several links before all
+of its text where there is no article or main), and with the headings beside it, the siblings that score at least a fifth of it or are long
 paragraphs with few links and, unless an article or main ends there, everything
 else beside it that has few links.
 
@@ -174,7 +174,7 @@ def parse(html: str) -> Node:
 
 
 def settle(root: Node) -> None:
-    """Leaves out the elements in doubt: all that hold no article or main and not most of the page's paragraphs."""
+    """Leaves out the elements in doubt: all that hold no article or main, but forms with most of the page's paragraphs."""
     nodes = walk(root)
     if not any(n.doubt for n in nodes):
         return
@@ -185,7 +185,7 @@ def settle(root: Node) -> None:
         size[n] = own + sum(size[k] for k in kids)
         holds[n] = n.tag in ("article", "main") or any(holds[k] for k in kids)
     for n in nodes:
-        if n.doubt and not holds[n] and not (n.tag == "form" and not holds[root] and 2 * size[n] > size[root]):
+        if n.doubt and not holds[n] and not (n.tag == "form" and 2 * size[n] > size[root]):
             n.parent.parts = [p for p in n.parent.parts if p is not n]
 
 
@@ -205,10 +205,25 @@ def around(node: Node | None, *tags: str) -> Node | None:
     return node
 
 
+def below(node: Node | None, whole: Node | None) -> bool:
+    while node is not None and node is not whole:
+        node = node.parent
+    return node is not None
+
+
+def single_link(node: Node) -> bool:
+    return sum(n.tag == "a" for n in walk(node)) == 1
+
+
 def blocks(root: Node, whole: Node | None = None) -> list[str]:
-    """Texts of the blocks below a node, in page order; lists of links only within an article or main, or as `whole`."""
+    """Texts of the blocks below a node, in page order.
+
+    Lists of links count within an article or main, and within `whole` behind its first text; several links that
+    stand before all of its text, or anywhere else, do not.
+    """
     out: list[str] = []
     run: list[str] = []
+    begun = None  # how many blocks there were before `whole`
 
     def flush() -> None:
         if piece := " ".join(entities.unescape("".join(run)).split()):
@@ -222,9 +237,14 @@ def blocks(root: Node, whole: Node | None = None) -> list[str]:
             flush()
         elif isinstance(part, str):
             run.append(part)
-        elif part.tag in ("ul", "ol", "table", "div") and part.links > 0.75 * part.chars > 0 and part is not whole and around(part, "article", "main") is None:
+        elif part.tag in ("ul", "ol", "table", "div") and part.links > 0.75 * part.chars > 0 and part is not whole and around(part, "article", "main") is None and not (
+            begun is not None and below(part, whole) and (len(out) > begun or "".join(run).strip() or single_link(part))
+        ):
             flush()  # a list of links
         else:
+            if part is whole:
+                flush()
+                begun = len(out)
             block = part.tag in BLOCK
             if block:
                 flush()

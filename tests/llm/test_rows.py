@@ -115,6 +115,20 @@ def test_main_text_of_nested_layouts():
     assert got(f"<main><h1>Title</h1><article><div>{body}</div></article><p>End.</p></main>") == f"Title {six} End."
 
 
+def test_link_lists_within_the_text():
+    """Lists of works, a linked sentence and linked cells belong to the text without an article too; menus before it do not."""
+    long = "Long text, with commas, and words enough to score well in any tree."
+    body, six = f"<p>{long}</p>" * 6, " ".join([long] * 6)
+    menu = "<ul><li><a href=a>Menu one</a><li><a href=b>Menu two</a></ul>"
+    got = html_main.main_text
+    assert got(f"<body><div><h1>T</h1>{body}<h2>References</h2><ol><li><a href=a>First work</a><li><a href=b>Second work</a></ol></div></body>") == f"T {six} References First work Second work"
+    assert got(f"<body><div>{body}<div><a href=a>One linked sentence.</a></div><p>End.</p></div></body>") == f"{six} One linked sentence. End."
+    assert got(f"<body><div><h1>T</h1>{body}<table><tr><td><a href=a>cell</a></table></div></body>") == f"T {six} cell"
+    assert got(f"<body><div><div><a href=a>By one.</a></div>{body}</div></body>") == f"By one. {six}"
+    assert got(f"<body><div>{menu}{body}</div></body>") == six and got(f"<body>{menu}<div>{body}</div>{menu}</body>") == six
+    assert got(f"<body><form>{body}</form><article><p>tiny</p></article></body>").startswith(six)
+
+
 def test_main_text_behind_forms_and_names():
     """Forms and names in class drop what they name, and no article text."""
     long = "Long text, with commas, and words enough to score well in any tree."
