@@ -3,7 +3,8 @@
 Vectors are quantised to whole numbers, floor(256 * x).  A bounded sample gives
 pivots; every vector belongs to its nearest pivot's cell.  Cells are summed up by
 their size, radius, widest angle to the pivot and range of norms.  Neighbouring
-small cells form one group, large ones are dealt to blocks of bounded size.
+small cells form one group, large ones are dealt to blocks of bounded size, so that
+small tables have blocks for all cores too.
 
 A query first meets a block of its own cell's group.  Its k-th best score there is a
 floor under its k-th best of all.  For a cell with pivot p, radius r, widest angle a
@@ -124,12 +125,12 @@ def best_of_block(rows: np.ndarray, ids: np.ndarray, data: np.ndarray, query_row
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def search(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", most_pivots: int = 512, block_rows: int = 16_384, query_rows: int = 16_384) -> tuple[DataFrame, float]:
+def search(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", most_pivots: int = 512, block_rows: int | None = None, query_rows: int = 16_384) -> tuple[DataFrame, float]:
     """(query_id, rank, vec_id, score; the share of all pairs that had to be scored).  query_filter: a condition on `id`.
 
     Bounded: pivots (at most `most_pivots`, a deterministic sample) and the cells'
-    summaries, the rows of a block (`block_rows`, in expectation) and the queries that
-    it meets at a time (`query_rows`).
+    summaries, the rows of a block (`block_rows`, in expectation; by default two blocks a core, of 64 to 16,384 rows) and
+    the queries that it meets at a time (`query_rows`).
     """
     spark = df.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -137,6 +138,7 @@ def search(df: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vect
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return nothing, 0.0
+    block_rows = block_rows or int(min(16_384, max(64, n // (2 * spark.sparkContext.defaultParallelism))))
     sample = rows.orderBy(F.xxhash64("id"), "row").limit(int(min(most_pivots, max(1, n**0.5)))).collect()
     pivots = np.unique(np.array([list(r["v"]) + [0] * (width - len(r["v"])) for r in sample], np.int64), axis=0)
     cells = materialise(assigned(rows, pivots))
