@@ -224,11 +224,9 @@ def known_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     alias stands in the candidate, in this order of ways, covers SHARE of it and is no organism's; a DL- form never
     takes an L- entry.  Of several entries the longest match wins, then the longest name, then the smallest id.
     """
-    best = lambda rows: rows.groupBy("candidate").agg(F.min_by(F.struct("id", "how", "matched"), F.struct(-F.col("matched"), -F.col("length"), "id")).alias("x")).select("candidate", "x.*")
     equal = wanted.join(names.where("way <> 2"), F.col("candidate") == F.col("term"))
-    equal = equal.groupBy("candidate", "id", "length").agg(F.min("way").alias("way"))
-    exact = best(equal.select("candidate", "id", "length", F.lit("equal").alias("how"), F.length("candidate").alias("matched")))
-    left = wanted.join(exact.select("candidate"), "candidate", "left_anti").where(~F.col("candidate").rlike(f"(?:{'|'.join(ORGANISMS)})$"))
+    equal = equal.select("candidate", "id", "length", F.lit("equal").alias("how"), F.length("candidate").alias("matched"))
+    left = wanted.join(equal.select("candidate"), "candidate", "left_anti").where(~F.col("candidate").rlike(f"(?:{'|'.join(ORGANISMS)})$"))
     lengths = names.select(F.length("term").alias("n")).distinct()
     sized = lengths.agg(F.sort_array(F.collect_set("n")).alias("lengths"))
     parts = left.join(F.broadcast(sized), F.lit(True)).select("candidate", F.explode("lengths").alias("n")).where(F.col("n") < F.length("candidate") + 1)
@@ -239,8 +237,9 @@ def known_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     first = F.struct("way", F.when(F.col("way") == 1, -F.length("term")).otherwise(F.col("at")), F.length("term").alias("n"))
     hits = inside.groupBy("candidate", "id", "length", "l_form").agg(F.min(first).alias("f")).select("candidate", "id", "length", "l_form", F.element_at(F.array(*map(F.lit, ("name", "part", "english", "alias"))), F.col("f.way") + 1).alias("how"), F.col("f.n").alias("matched"))
     racemic = F.upper("candidate").startswith("DL-")
-    hits = hits.where((F.col("matched") / F.length("candidate") >= SHARE) & ~(racemic & F.col("l_form")))
-    return exact.unionByName(best(hits))
+    hits = hits.where((F.col("matched") / F.length("candidate") >= SHARE) & ~(racemic & F.col("l_form"))).drop("l_form")
+    order = F.struct(-F.col("matched"), -F.col("length"), "id")
+    return equal.unionByName(hits).groupBy("candidate").agg(F.min_by(F.struct("id", "how", "matched"), order).alias("x")).select("candidate", "x.*")
 
 
 def matched(items: DataFrame, additives: DataFrame, key: str, generic: list[str] = GENERIC) -> DataFrame:

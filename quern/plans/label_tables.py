@@ -59,7 +59,7 @@ def whole_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filled(R.best_tables(sequence_readings(spark, sf_dir), "o_orderkey"))
 
 
-def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_boxes(spark: SparkSession, sf_dir: str, ingredients: bool = False) -> DataFrame:
     """l_orderkey, no, text, box: a picture for every order, a row of boxes a line; some upright, some tilted, some with names and numbers in one box, a heading in most."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
@@ -84,10 +84,27 @@ def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [box(n * 4 + c, F.when(~together, v), d(60 + 200 * c), y + tilt * (60 + 200 * c), d(80), d(30)) for c, v in ((1, first), (2, second))]
     heading = box(F.lit(0), F.when((n == 1) & (k % 7 != 0), "營養標示 每一份量 353公克"), d(40), d(20), d(160), d(30))
     stray = box(n * 4 + 3, F.when(F.col("l_discount") == 0, F.concat(F.lit("No. "), number(F.col("l_quantity")))), F.col("l_quantity") * 40, d(600), d(60), d(30))
-    return lines.select("l_orderkey", F.inline(F.array(heading, label, *cells, stray))).where("text is not null")
+    listed = F.when((n == 1) & (k % 3 > 0), "成分：水、糖、鹽、").when(k % 5 == 0, "a line of words").otherwise("麵粉、油、香料、")
+    along, down, w = d(900), n * F.when(k % 4 == 1, 90.0).otherwise(34.0) + 100, F.when((n + k) % 5 == 0, 40.0).otherwise(650.0)
+    corners = F.array(F.array(along, down), F.array(along + w, down), F.array(along + w, down + 30), F.array(along, down + 30))
+    more = [F.struct((1000 + n).cast("long").alias("no"), listed.alias("text"), corners.alias("box"))] if ingredients else []
+    return lines.select("l_orderkey", F.inline(F.array(heading, label, *cells, stray, *more))).where("text is not null")
 
 
 @query()
 def box_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of every order's picture, by rank, by box or by band."""
     return B.box_tables(order_boxes(spark, sf_dir), "l_orderkey")
+
+
+def order_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, no, text, box: the tables' boxes of every order, its ingredients as long lines beside them, and loose lines."""
+    return order_boxes(spark, sf_dir, ingredients=True)
+
+
+@query()
+def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nutrition table and the ingredients stand in every order's picture."""
+    from quern.operators import regions as G
+
+    return G.regions(order_pictures(spark, sf_dir), "l_orderkey")
