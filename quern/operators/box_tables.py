@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.texts import half_width
+from quern.operators.regions import written
 
 # Names of the fields, characters before which a name is another word, and the fields of a unit.
 NAMES = {
@@ -123,8 +124,8 @@ def by_band(names: DataFrame, numbers: DataFrame, frame: DataFrame, key: str, si
 
 def box_tables(boxes: DataFrame, key: str) -> DataFrame:
     """key, field, a, b, how: the amounts per serving and per 100 that the boxes' places give; how is rank, same_box or band."""
-    items = measured_boxes(boxes, key)
-    names = names_of(items, key)
+    items = written(measured_boxes(boxes, key))  # both are read by several joins
+    names = written(names_of(items, key))
     frame = names.groupBy(key).agg(
         F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.avg("w").alias("mw"), F.avg("h").alias("mh"), F.count("*").alias("n_names"),
         (F.sum((F.col("h") > F.col("w") * 1.5).cast("int")) * 2 > F.count("*")).alias("upright"),
