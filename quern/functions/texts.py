@@ -19,12 +19,6 @@ def half_width(text: Column) -> Column:
     return F.translate(text, FULL, HALF)
 
 
-def name_key(text: Column) -> Column:
-    """Comparable name: half width, no apostrophes, no bracketed notes, no white space, lower case."""
-    t = F.regexp_replace(half_width(text), "['’‘`´]", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(t, r"\([^()]*\)", ""), r"\s+", ""))
-
-
 def maker_key(text: Column) -> Column:
     """A company's name without suffixes and white space."""
     suffixes = "|".join(x.replace("(", r"\(").replace(")", r"\)") for x in SUFFIXES)
@@ -72,6 +66,14 @@ def in_domains(name: Column, domains: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, domains)), lambda d: (name == d) | F.endswith(name, F.concat(F.lit("."), d)))
 
 
+def domain_tier(name: Column, tiers: dict[str, list[str]], other: str = "unknown") -> Column:
+    """The first tier with a domain that the name is or lies below."""
+    tier = F.lit(other)
+    for word, domains in reversed(tiers.items()):
+        tier = F.when(in_domains(name, domains), word).otherwise(tier)
+    return tier
+
+
 def mentions(text: Column, name: Column) -> Column:
     """How often a name stands in a text, not overlapping."""
     return ((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name)).cast("int")

@@ -23,61 +23,95 @@ FIELDS = {
     "carbohydrates": "碳水化合物", "fiber": "膳食[纖纤织]維|膳食[纖纤织]维", "sugar": "糖", "sodium": "[鈉钠纳]",
 }
 NOT_AFTER = {"sugar": "蔗葡萄麥芽乳砂果白黑紅寡多海藻糊焦", "sodium": "酸化磷碳", "fat": "飽饱鮑鲍反式和不", "protein": "豆乳大分離濃縮水解"}
-NUMBER = r"(-?\d+(?:[.,]\d+)?)\s*(?:大卡|公克|毫克|公絲|公升|毫升|kcal|g|mg|ml)?"
 DAILY = "每日[參参]考值?|[參参]考值百分比"
+UNITS = "大卡|公克|毫克|公絲|公升|毫升|kcal|g|mg|ml"
+GAPS = 8, 10  # characters from a name to its number, and from that number's unit to the second one
+
+NAMES = {key: re.compile((f"(?<![{NOT_AFTER[key]}])" if key in NOT_AFTER else "") + f"(?:{names})") for key, names in FIELDS.items()}
+NUMBER = re.compile(rf"(\d+(?:[.,]\d+)?)\s*(?:{UNITS})?")
+
+
+def plain(item: str | None) -> str:
+    """An item's letters and digits, in compatible form (NFKC)."""
+    return "".join(c for c in unicodedata.normalize("NFKC", item or "") if c.isalnum())
+
+
+def alike_table(wanted: list[str], got: list[str]) -> np.ndarray:
+    """Which item of one list is which of the other: at most as many edits as a quarter of the shorter one's length, one at least.
+
+    Items are compared by their letters and digits; one without any is like nothing.
+    """
+    a, b = [plain(x) for x in wanted], [plain(x) for x in got]
+    rows, columns = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    shorter = np.minimum.outer(rows, columns)
+    room = np.maximum(shorter // 4, 1)
+    table = (shorter > 0) & (np.abs(np.subtract.outer(rows, columns)) <= room)
+    for i, j in np.argwhere(table):
+        table[i, j] = a[i] == b[j] or substring_edits(a[i], b[j]) <= room[i, j]
+    return table
 
 
 def alike(a: str, b: str) -> bool:
-    """Equal, or with as many edits as a quarter of the shorter one's length (one at least); empty ones are like nothing."""
-    if not a or not b or a == b:
-        return bool(a) and a == b
-    room = max(1, min(len(a), len(b)) // 4)
-    return abs(len(a) - len(b)) <= room and substring_edits(a, b) <= room
+    return bool(alike_table([a], [b])[0, 0])
 
 
 def match_lists(got: pd.Series, wanted: pd.Series) -> pd.DataFrame:
     """Each wanted item takes the first alike item that is still free; what remains on either side.  A null list is an empty one."""
-    out = []
-    for items, others in zip(got, wanted):
-        free, missed = list(items if items is not None else ()), []
-        for w in others if others is not None else ():
-            at = next((i for i, g in enumerate(free) if alike(w, g)), None)
-            if at is None:
-                missed.append(w)
-            else:
-                del free[at]
-        n = 0 if others is None else len(others)
-        out.append((n - len(missed), missed, free))
-    return pd.DataFrame(out, columns=["hits", "missed", "spurious"])
+
+    def match(items: list[str], others: list[str]) -> tuple[int, list[str], list[str]]:
+        free, met = np.ones(len(items), bool), np.zeros(len(others), bool)
+        for w, row in enumerate(alike_table(others, items)):
+            places = np.flatnonzero(row & free)
+            if places.size:
+                free[places[0]], met[w] = False, True
+        return int(met.sum()), [x for x, m in zip(others, met) if not m], [x for x, f in zip(items, free) if f]
+
+    return pd.DataFrame([match(*(list(x) if x is not None else [] for x in pair)) for pair in zip(got, wanted)], columns=["hits", "missed", "spurious"])
 
 
 def merge_lists(base: pd.Series, more: pd.Series) -> pd.Series:
     """Both readers' items, each once: of alike ones the longest (the first of equals), in their order.  Short items are one only if equal."""
-    out = []
-    for a, b in zip(base, more):
-        items = [*(a if a is not None else ()), *(b if b is not None else ())]
-        kept: list[int] = []
-        for i in sorted(range(len(items)), key=lambda i: -len(items[i])):
-            same = (lambda x, y: x == y) if len(items[i]) < LEAST_FUZZY else alike
-            if not any(same(items[i], items[k]) for k in kept):
-                kept.append(i)
-        out.append([items[i] for i in sorted(kept)])
-    return pd.Series(out)
 
+    def merge(items: list[str]) -> list[str]:
+        lengths, table, kept = np.array([len(x) for x in items]), alike_table(items, items), np.zeros(len(items), bool)
+        for i in np.flatnonzero(lengths < LEAST_FUZZY):
+            table[i] = [x == items[i] for x in items]
+        for i in np.argsort(-lengths, kind="stable"):
+            kept[i] = not (table[i] & kept).any()
+        return [x for x, k in zip(items, kept) if k]
 
-PATTERNS = {key: re.compile((f"(?<![{NOT_AFTER[key]}])" if key in NOT_AFTER else "") + rf"(?:{names})\D{{0,8}}{NUMBER}(?:\D{{0,10}}{NUMBER})?") for key, names in FIELDS.items()}
+    return pd.Series([merge([x for side in pair if side is not None for x in side]) for pair in zip(base, more)])
 
 
 def field_numbers(text: str | None) -> dict[str, list[float | None]]:
-    """Field -> [first, second number behind its name].  No two fields share a place; a table of daily values has no second number."""
-    plain = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").replace("·", ".").replace("、", " "))
-    daily, taken, out = re.search(DAILY, plain), np.zeros(len(plain), bool), {}
-    for key, pattern in PATTERNS.items():
-        for m in pattern.finditer(plain):
-            if not taken[m.start() : m.end()].any():
-                taken[m.start() : m.end()] = True
-                first, second = (float(g.replace(",", ".")) if g else None for g in m.groups())
-                out[key] = [first, None if daily else second]
+    """Field -> [first, second number behind its name].  No two fields share a place; a table of daily values has no second number.
+
+    Names and numbers are two lists of places.  A name is given the next number if that is near
+    enough, and that number the one after it.  What names claim is then granted in the order of FIELDS and
+    of places; a name inside its own field's last claim claims nothing.  Signs are not read.
+    """
+    line = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").replace("·", ".").replace("、", " "))
+    numbers = list(NUMBER.finditer(line))
+    if not numbers:
+        return {}
+    values = [float(n.group(1).replace(",", ".")) for n in numbers]
+    starts, ends = (np.array([f(n) for n in numbers]) for f in (re.Match.start, re.Match.end))
+    has_next = np.append(starts[1:] - ends[:-1] <= GAPS[1], False)
+    daily = re.search(DAILY, line) is not None
+    claimed, out = np.zeros(len(line), bool), {}
+    for key, name in NAMES.items():
+        places = np.array([m.span() for m in name.finditer(line)], np.int64).reshape(-1, 2)
+        first = np.searchsorted(starts, places[:, 1])
+        near = first < len(starts)
+        near[near] = starts[first[near]] - places[near, 1] <= GAPS[0]
+        behind = 0
+        for (begin, _), n in zip(places[near], first[near]):
+            if begin < behind:
+                continue
+            behind = ends[n + has_next[n]]
+            if not claimed[begin:behind].any():
+                claimed[begin:behind] = True
+                out[key] = [values[n], values[n + 1] if has_next[n] and not daily else None]
                 break
     return out
 

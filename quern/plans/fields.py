@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fields as X
@@ -63,20 +63,24 @@ def dictionary_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(F.transform(X.dictionary_split(text, WORDS), lambda s: F.trim(s)), "|").alias("parts"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT l_orderkey, l_quantity AS y, l_partkey AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_partkey, l_linenumber) AS n FROM lineitem),
-r AS (SELECT l_orderkey, x, y, n, y AS base, 1 AS band FROM n WHERE n = 1 UNION ALL SELECT n.l_orderkey, n.x, n.y, n.n, CASE WHEN n.y - r.base <= 6 THEN r.base ELSE n.y END, CASE WHEN n.y - r.base <= 6 THEN r.band ELSE r.band + 1 END FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.n = r.n + 1)
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey, l_quantity AS y, l_partkey AS x, 4 + l_suppkey % 9 AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_partkey, l_linenumber) AS n FROM lineitem),
+r AS (SELECT l_orderkey, x, y, n, y AS base, 1 AS band FROM n WHERE n = 1 UNION ALL SELECT n.l_orderkey, n.x, n.y, n.n, CASE WHEN (n.y - r.base) * 5 <= n.h * 3 THEN r.base ELSE n.y END, CASE WHEN (n.y - r.base) * 5 <= n.h * 3 THEN r.band ELSE r.band + 1 END FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.n = r.n + 1)
 SELECT l_orderkey, x, y, band::INT AS band FROM r""")
 def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes in lines: a new line begins where a box lies more than 0.6 of the height 10 below the line's first one.  A record has a few boxes."""
-    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_partkey", "l_linenumber")  # noqa: E741
-    boxes = F.array_sort(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("y"), F.col("l_partkey").alias("x"), "l_linenumber")))
-    rows = l.groupBy("l_orderkey").agg(boxes.alias("b")).withColumn("firsts", F.aggregate(
-        F.slice("b", F.lit(2), F.size("b")), F.array(F.get("b", F.lit(0))["y"]),
-        lambda firsts, box: F.when(box["y"] - F.element_at(firsts, -1) <= 6, firsts).otherwise(F.concat(firsts, F.array(box["y"]))),
-    ))
-    # A box belongs to the last line that begins at or above it.
-    banded = rows.select("l_orderkey", "firsts", F.explode("b").alias("b"))
-    return banded.select("l_orderkey", "b.x", "b.y", F.size(F.filter("firsts", lambda y: y <= F.col("b.y"))).alias("band"))
+    """Boxes in lines: a new line begins where a box lies more than 0.6 of its own height below the line's first one.  A record has a few boxes."""
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_partkey", "l_linenumber", "l_suppkey")  # noqa: E741
+    boxes = F.array_sort(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("y"), F.col("l_partkey").alias("x"), "l_linenumber", (F.lit(4) + F.col("l_suppkey") % 9).alias("h"))))
+    first = F.get("b", F.lit(0))["y"]
+
+    def place(s: Column, box: Column) -> Column:
+        same = (box["y"] - s["base"]) * 5 <= box["h"] * 3
+        band = F.when(same, s["band"]).otherwise(s["band"] + 1)
+        row = F.struct(box["x"].alias("x"), box["y"].alias("y"), band.alias("band"))
+        return F.struct(F.when(same, s["base"]).otherwise(box["y"]).alias("base"), band.alias("band"), F.concat(s["rows"], F.array(row)).alias("rows"))
+
+    none = F.array().cast("array<struct<x:bigint,y:double,band:int>>")
+    banded = l.groupBy("l_orderkey").agg(boxes.alias("b")).select("l_orderkey", F.aggregate("b", F.struct(first.alias("base"), F.lit(1).alias("band"), none.alias("rows")), place)["rows"].alias("rows"))
+    return banded.select("l_orderkey", F.explode("rows").alias("r")).select("l_orderkey", "r.x", "r.y", "r.band")
 
 
 @query(r"""SELECT doc_id, entry::INT AS entry, string_agg(line, ' ' ORDER BY at_) AS text FROM (SELECT doc_id, at_, line, sum(CASE WHEN before IS NULL OR regexp_matches(before, '[.!?]$') OR regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at_) AS entry FROM (

@@ -112,10 +112,10 @@ def manifest_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.startswith("source", F.lit("src1")) | F.startswith("lang", F.lit("e"))).orderBy("doc_id").limit(40)
 
 
-@query("SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE length(term) >= 4 GROUP BY term ORDER BY length(term) DESC, term")
+@query("SELECT term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS term FROM part) WHERE length(term) >= 3 GROUP BY term ORDER BY length(term) DESC, term")
 def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of at least four characters, longest first."""
-    words = table(spark, sf_dir, "part", "p_name").select(F.explode(F.split("p_name", " ")).alias("term")).where(F.length("term") >= 4)
+    """Terms of at least three characters, longest first."""
+    words = table(spark, sf_dir, "part", "p_name").select(F.explode(F.split("p_name", " ")).alias("term")).where(F.length("term") >= 3)
     return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.length("term").desc(), "term")
 
 

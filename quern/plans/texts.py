@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import texts as X
+from quern.functions.labels import label_name
 from quern.functions.times import epoch_seconds, relative_bucket
 from quern.operators import grouped as G
 from quern.operators import matching as M
@@ -13,18 +14,19 @@ from quern.plans.registry import query
 from quern.sources.tables import table
 
 
-@query("""SELECT page_id, host, CASE WHEN host LIKE '%.example.org' OR host = 'example.org' THEN 'official' WHEN host LIKE '%.example.net' OR host = 'example.net' THEN 'news' WHEN host LIKE '%.com' THEN 'social' ELSE 'unknown' END AS tier
+@query("""SELECT page_id, host, CASE WHEN host LIKE '%.example.org' OR host = 'example.org' THEN 'official' WHEN host LIKE '%.cheap-pills.example.com' OR host = 'cheap-pills.example.com' THEN 'self_published' WHEN host LIKE '%.example.net' OR host = 'example.net' THEN 'news' WHEN host LIKE '%.com' THEN 'social' ELSE 'unknown' END AS tier
 FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages)""")
 def domain_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official, the maker's own, news or social by domain or subdomain; the first tier that holds it counts."""
     host = X.domain(F.col("url"))
-    tier = F.when(X.in_domains(host, ["example.org"]), "official").when(X.in_domains(host, ["example.net"]), "news").when(F.endswith(host, F.lit(".com")), "social").otherwise("unknown")
+    tier = X.domain_tier(host, {"official": ["example.org"], "self_published": ["cheap-pills.example.com"], "news": ["example.net"], "social": ["com"]})
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", host.alias("host"), tier.alias("tier"))
 
 
-@query("""SELECT p_partkey, replace(lower(p_name), ' ', '') AS name_key, 'brand' || substr(p_brand, 7) AS brand_key FROM part""")
+@query("""SELECT p_partkey, replace(p_name, ' ', '') AS name_key, 'Brand' || substr(p_brand, 7) AS brand_key FROM part""")
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
-    return p.select("p_partkey", X.name_key(F.concat("p_name", F.lit(" (x)’"))).alias("name_key"), X.name_key(F.translate("p_brand", "#", "")).alias("brand_key"))
+    return p.select("p_partkey", label_name(F.concat("p_name", F.lit(" (x)’"))).alias("name_key"), label_name(F.translate("p_brand", "#", "")).alias("brand_key"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '未知製造商' ELSE regexp_replace(c_name, '\\s+', '', 'g') END AS maker FROM customer""".replace("\\\\", "\\"))

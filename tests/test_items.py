@@ -39,3 +39,14 @@ def test_field_numbers():
     assert I.field_numbers("飽和脂肪 1 公克 2 公克 反式脂肪 0 0 脂肪 3 4") == {"saturated_fat": [1, 2], "trans_fat": [0, 0], "fat": [3, 4]}
     assert I.field_numbers("脂肪 3 公克 飽和脂肪 1 公克") == {"saturated_fat": [1, None]}  # a match that reaches into another field's place is none
     assert I.field_numbers("熱量 151.6大卡 8% 每日參考值") == {"calories": [151.6, None]}
+
+
+def test_alike_by_letters_and_digits():
+    assert I.alike("Ｓ-a.lt", "Salt") and not I.alike("--", "--") and not I.alike("", "x")
+    assert I.match_lists([["", "棕櫚 油"]], [["棕櫚油", ""]]).values.tolist() == [[1, [""], [""]]]
+
+
+def test_field_numbers_by_gaps():
+    assert I.field_numbers("糖" + "x" * 8 + "5") == {"sugar": [5, None]} and I.field_numbers("糖" + "x" * 9 + "5") == {}
+    assert I.field_numbers("糖 5 公克" + "x" * 10 + "6") == {"sugar": [5, 6]} and I.field_numbers("糖 5 公克" + "x" * 11 + "6") == {"sugar": [5, None]}
+    assert I.field_numbers("脂肪") == {} and I.field_numbers("鈉 " * 3) == {}

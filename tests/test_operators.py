@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import nutrition as N
 from quern.functions import texts as X
+from quern.functions.labels import label_name
 from quern.functions.times import day_key
 from quern.operators import grouped as G
 from quern.operators import matching as M
@@ -44,11 +45,11 @@ def test_solver(spark):
 
 def test_texts(spark):
     r = one(
-        spark, name=X.name_key(F.lit("Ａ’b (x) c")), maker=X.maker_key(F.lit("甲 (股)公司")), none=X.maker_key(F.lit(None).cast("string")), s=X.sentences(F.lit("a 0.07 g. b。 c.")),
+        spark, name=label_name(F.lit("Ａ’b (x) c")), maker=X.maker_key(F.lit("甲 (股)公司")), none=X.maker_key(F.lit(None).cast("string")), s=X.sentences(F.lit("a 0.07 g. b。 c.")),
         w=X.window_around(F.lit("x" * 150 + "hit" + "y" * 500), ["hit"]), clean=X.clean_lines(F.lit("a b\n|---|\na b\n  c ")), d=X.domain(F.lit("HTTP://Ab.c:80/x")), n=X.mentions(F.lit("aXbXc"), F.lit("X")),
         id=X.coerced_id(F.lit("候選 19")), bad=X.coerced_id(F.lit("x")), day=day_key(F.lit("Mon, 05 Feb 2024 10:00:00 GMT")), raw=day_key(F.lit("2024-02")), b=X.without_brackets(F.lit("a(b(c)d)e")),
     )
-    assert (r["name"], r["maker"], r["none"], r["s"]) == ("abc", "甲", "未知製造商", ["a 0.07 g", "b", "c"])
+    assert (r["name"], r["maker"], r["none"], r["s"]) == ("Abc", "甲", "未知製造商", ["a 0.07 g", "b", "c"])
     assert r["w"].startswith("…" + "x" * 100 + "hit") and len(r["w"]) == 401
     assert (r["clean"], r["d"], r["n"], r["id"], r["bad"], r["day"], r["raw"], r["b"]) == ("a b c", "ab.c:80", 2, 19, None, "2024-02-05", "2024-02", "ae")
 
