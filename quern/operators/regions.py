@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.streaming.states import folder
+from quern.operators.components import connected, written
 
 # Words of a nutrition table, words above ingredients, units that stand in cells.
 TABLE_WORDS = ["熱量", "蛋白質", "飽和脂肪", "反式脂肪", "碳水化合物", "每一份量", "本包裝含", "營養標示"]
@@ -27,13 +27,6 @@ SODIUM, MILLIGRAMS = r"^\s*[鈉钠纳]\s*(?:[:：]|$|\d|[（(])", r"(?i)\d(?:[.,
 LEAST_WORDS, LEAST_CELLS, LEAST_MARKS, ROUNDS, LONG, GAP = 3, 6, 2, 2, 0.45, 1.5
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def measured_lines(lines: DataFrame, key: str) -> DataFrame:
     """key, no, t, x0, y0, x1, y1, long, unit, least_long.  lines: key, no, text, box (points)."""
     xs, ys = F.transform("box", lambda p: F.get(p, F.lit(0))), F.transform("box", lambda p: F.get(p, F.lit(1)))
@@ -66,16 +59,7 @@ def clusters(boxes: DataFrame, key: str) -> DataFrame:
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "tx", "ty")]
     near = dealt.alias("a").join(dealt.alias("b"), [*same, F.col("a.no") != F.col("b.no"), F.greatest(apart("x0", "x1"), apart("y0", "y1")) <= F.col("a.unit") * GAP])
     pairs = written(near.select(F.col(f"a.{key}").alias(key), F.col("a.no").alias("no"), F.col("b.no").alias("other")).distinct())
-    now, before = written(boxes.select(key, "no", F.col("no").alias("cluster"))), None
-    while True:
-        least = pairs.join(now.select(key, F.col("no").alias("other"), "cluster"), [key, "other"]).groupBy(key, "no").agg(F.min("cluster").alias("m"))
-        lower = now.join(least, [key, "no"], "left").select(key, "no", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-        onward = lower.select(key, F.col("no").alias("cluster"), F.col("cluster").alias("further"))
-        then = written(lower.join(onward, [key, "cluster"]).select(key, "no", F.col("further").alias("cluster")))
-        after = then.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
-        if after == before:
-            return then
-        now, before = then, after
+    return connected(boxes.select(key, "no"), pairs, key)
 
 
 def box_of(rows: DataFrame, condition: Column, over: Window) -> Column:

@@ -18,7 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def folder(spark: SparkSession) -> str:
     import tempfile
 
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    where = where or tempfile.mkdtemp(prefix="quern-")
     return f"{where}/stream-{uuid.uuid4().hex}"
 
 
