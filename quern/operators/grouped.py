@@ -192,7 +192,7 @@ def degenerate_tail(text: str | None, most_period: int = 16, window: int = 180,
 
 
 def repetitions(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, period (of the text's end, 0 without one), tail_start and trimmed (where that end begins, null without one, and its characters),
+    """key, period (of the text's end, 0 without one and for short texts), tail_start and trimmed (where that end begins, null without one, and its characters),
     runs (start, end, period of every run in the whole text), removed (their characters) and kept_md5 (of the text without them).
     """
 
@@ -202,7 +202,7 @@ def repetitions(df: DataFrame, key: str, text: str) -> DataFrame:
         for t in texts:
             runs, tail = periodic_runs(t), degenerate_tail(t)
             digest = None if t is None else hashlib.md5(without_runs(t, runs).encode()).hexdigest()
-            out.append((repetition(t), tail, 0 if tail is None else len(t) - tail, [dict(zip(("start", "end", "period"), r)) for r in runs], sum(b - a for a, b, _ in runs), digest))
+            out.append((0 if tail is None else repetition(t), tail, 0 if tail is None else len(t) - tail, [dict(zip(("start", "end", "period"), r)) for r in runs], sum(b - a for a, b, _ in runs), digest))
         rows = pd.DataFrame(out, columns=["period", "tail_start", "trimmed", "runs", "removed", "kept_md5"])
         return rows.astype({"period": "int32", "tail_start": "Int32", "trimmed": "int32", "removed": "int32"})
 

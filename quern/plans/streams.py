@@ -30,3 +30,11 @@ def stream_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     rows = spark.read.parquet(f"{where}/rows")
     return rows.groupBy("user_id", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("most", "batch").alias("most"))
+
+
+@query()
+def stream_early_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pieces of a text stream, the later ones of some with a part said again and again."""
+    c = S.stream(spark, sf_dir, "conversations")
+    again = F.repeat(F.substring("text", 1, F.pmod(F.col("turn") + F.length("text"), F.lit(20)).cast("int")), F.lit(60))
+    return S.finished(S.early_stops(c.withColumn("piece", F.when(F.col("turn") >= 2, F.concat("text", again)).otherwise(F.col("text"))), "conv_id", "turn", "piece"))
