@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import labels as L
+from quern.functions import shapes as H
 from quern.functions import texts as X
 from quern.plans.registry import query
 from quern.sources.tables import table
@@ -135,26 +136,34 @@ def warning_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce(best["x"], F.lit("")).alias("clause"))
 
 
-@query("""SELECT doc_id, sum(CASE WHEN n BETWEEN 2 AND 12 AND vowels > 0.3 THEN 1 WHEN n > 40 THEN -2 WHEN vowels < 0.1 THEN -1 ELSE 0 END)::BIGINT AS plausible, count(*) FILTER (n BETWEEN 1 AND 60 AND vowels > 0.4 AND NOT regexp_matches(x, 'tion|ment')) AS items
-FROM (SELECT doc_id, x, length(x) AS n, length(regexp_replace(x, '[^aeiou]', '', 'g')) / length(x) AS vowels FROM (SELECT doc_id, unnest(string_split_regex(text, '[ ,.\\n]+')) AS x FROM documents) WHERE x <> '') GROUP BY doc_id""".replace("\\\\", "\\"))
+# Parts of labels from which each product gets its own, by its number; every third one is led by the product's name.
+PARTS = ["砂糖", "棕櫚油", "食鹽", "檸檬酸(抗氧化劑E330)", "台南市新市區", "電話 02-123", "www.x.tw", "熱量12大卡34大卡", "小麥粉 水", "B1", "  ", "Vitamin", "乳 ab", "蛋白質5公克 6公克", "甜味劑" * 9, "某某股份有限公司", "卵磷脂", "α-β", "維生素（x）", "一二三四五六七八九"]
+CHOSEN = f"""list_transform(range(1, 4 + p_size % 6), lambda i: CASE WHEN (p_partkey + i) % 3 = 0 THEN left(p_name, 2) ELSE '' END || {PARTS!r}[(p_partkey * (i * 7 + 3) + i * i) % {len(PARTS)} + 1])"""
+
+
+def chosen_parts() -> Column:
+    at = lambda i: ((F.col("p_partkey") * (i * 7 + 3) + i * i) % len(PARTS)).cast("int")
+    led = lambda i: F.when((F.col("p_partkey") + i) % 3 == 0, F.left("p_name", F.lit(2))).otherwise("")
+    return F.transform(F.sequence(F.lit(1), (F.lit(3) + F.col("p_size") % 6).cast("int")), lambda i: F.concat(led(i), F.get(F.array(*map(F.lit, PARTS)), at(i))))
+
+
+@query(f"""SELECT p_partkey, sum(CASE WHEN n = 0 THEN 0 WHEN n BETWEEN 2 AND 12 AND share > 0.6 THEN 1 WHEN n > 40 THEN -2 WHEN share < 0.3 THEN -1 ELSE 0 END)::BIGINT AS plausible,
+ count(*) FILTER (good AND n BETWEEN 1 AND 60) AS items, count(*) FILTER (good AND n BETWEEN 1 AND 8 AND NOT contains(trim(x), ' ')) AS strict
+FROM (SELECT *, (share > 0.5 OR regexp_matches(x, '[(（]')) AND NOT regexp_matches(x, '{"|".join([*H.LONG_RUNS, *H.ELSEWHERE])}') AS good FROM (SELECT p_partkey, x, length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n, length(regexp_replace(x, '[^一-鿿]', '', 'g')) / greatest(length(replace(x, ' ', '')), 1) AS share
+FROM (SELECT p_partkey, unnest({CHOSEN}) AS x FROM part))) GROUP BY p_partkey""")
 def item_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much a text's parts look like items: points for their shape, and the parts that pass all tests."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    parts = F.transform(F.filter(F.split("text", r"[ ,.\n]+"), lambda x: x != ""), lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), (F.length(F.regexp_replace(x, "[^aeiou]", "")) / F.length(x)).alias("v")))
-    points = lambda s: F.when(s["n"].between(2, 12) & (s["v"] > 0.3), 1).when(s["n"] > 40, -2).when(s["v"] < 0.1, -1).otherwise(0)
-    good = lambda s: s["n"].between(1, 60) & (s["v"] > 0.4) & ~s["x"].rlike("tion|ment")
-    rows = d.select("doc_id", parts.alias("p")).where(F.size("p") > 0)
-    return rows.select("doc_id", F.aggregate(F.transform("p", points), F.lit(0), lambda a, b: a + b).cast("long").alias("plausible"), F.size(F.filter("p", good)).cast("long").alias("items"))
+    """How much a label's parts look like a list of ingredients, how many of them may be one, and how many are one by the strict rule."""
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", chosen_parts().alias("parts"))
+    count = lambda rule: F.size(F.filter("parts", rule)).cast("long")
+    return rows.select("p_partkey", H.plausible(F.col("parts")).cast("long").alias("plausible"), count(H.looks_like_item).alias("items"), count(H.strict_item).alias("strict"))
 
 
-@query("""SELECT doc_id, NOT contains(text, 'license') AND (length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1) > 0.15 AND len(regexp_extract_all(text, '[0-9]{3}')) >= 3 OR len(regexp_extract_all(text, '@|http|www')) >= 2) AS junk FROM documents""")
+@query(f"""SELECT p_partkey, NOT regexp_matches(t, '棕櫚油|卵磷脂') AND (len(regexp_extract_all(t, '{"|".join(H.NUTRITION)}')) >= 3 AND length(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(length(t), 1) > 0.15
+ OR len(regexp_extract_all(t, '{"|".join(H.ADDRESS)}')) >= 2) AS junk FROM (SELECT p_partkey, array_to_string({CHOSEN}, '') AS t FROM part)""")
 def junk_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers or addresses and no dictionary word."""
-    t = F.col("text")
-    digits = F.length(F.regexp_replace(t, "[^0-9]", "")) / F.greatest(F.length(t), F.lit(1))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    junk = ~F.contains(t, F.lit("license")) & (((digits > 0.15) & (count("[0-9]{3}") >= 3)) | (count("@|http|www") >= 2))
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", junk.alias("junk"))
+    """Blocks of a label that are a nutrition table or an address and hold no known ingredient."""
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", F.array_join(chosen_parts(), "").alias("t"))
+    return rows.select("p_partkey", H.junk(F.col("t"), F.col("t").rlike("棕櫚油|卵磷脂")).alias("junk"))
 
 
 @query(r"""SELECT item_id, len(s)::BIGINT AS n, array_to_string(CASE WHEN len(h) > 0 THEN h ELSE s[-1:] END, '。') AS essential, array_to_string(CASE WHEN len(h) > 0 THEN list_filter(s, lambda x: NOT (contains(x, 'the') OR contains(x, 'les'))) ELSE s[:-2] END, '。') AS remaining FROM (
