@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quern.operators.components import connected, written
 
 LIMIT = 10  # a tenth of the pairs
-LONG = 12  # characters of a run by which long texts meet
+LONG, SPARSE = 12, 8  # characters of a run by which long texts meet, and one of how many runs is kept
 # What a report's kind of source adds to its title's score, and how its link is called.
 SOURCE_POINTS = {"official": 30, "news": 20, "wiki": 10, "consumer_complaint": 5}
 LINKS = {"official": "官方公告", "news": "新聞連結", "social": "社群討論"}
@@ -93,17 +93,18 @@ def runs(text: Column, n: int) -> Column:
 def contained(inner: DataFrame, outer: DataFrame, group: str) -> DataFrame:
     """group, inner, outer: texts of one side within longer texts of the other.  Both: group, t, distinct and not empty.
 
-    A text meets others at its rarest run of LONG characters only, a shorter one at its rarest pair, or at its only
-    character.  Runs travel without their texts.
+    A text meets others at its rarest run only: of those of LONG characters whose hash is a multiple of SPARSE, which
+    both sides choose alike; where a text has none of these, of its pairs, or at its only character.  Runs travel without their texts.
     """
-    at_least = lambda t, n: F.transform(runs(t, n), lambda r: F.xxhash64(r))
-    size = lambda t: F.when(F.length(t) >= LONG, LONG).when(F.length(t) >= 2, 2).otherwise(1)
-    sizes = [int(r[0]) for r in inner.select(size(F.col("t"))).distinct().collect()]  # three at most
+    hashed = lambda t, n: F.transform(runs(t, n), lambda r: F.xxhash64(r))
+    sparse = lambda t: F.filter(hashed(t, LONG), lambda h: h % SPARSE == 0)
+    single = inner.where(F.length("t") == 1).limit(1).count() > 0
     asked = inner.select(group, F.col("t").alias("inner"), F.xxhash64("t").alias("inner_"))
-    by_size = F.when(F.length("inner") >= LONG, at_least(F.col("inner"), LONG)).when(F.length("inner") >= 2, at_least(F.col("inner"), 2)).otherwise(at_least(F.col("inner"), 1))
-    own = asked.select(group, "inner_", F.explode(by_size).alias("run_"))
-    held = outer.select(group, F.xxhash64("t").alias("outer_"), F.explode(F.concat(F.array().cast("array<bigint>"), *(at_least(F.col("t"), n) for n in sorted(sizes)))).alias("run_"))
-    wanted = held.join(own.select(group, "run_").distinct(), [group, "run_"], "left_semi")
+    chosen = asked.select(group, "inner_", "inner", sparse(F.col("inner")).alias("long_"))
+    own = chosen.select(group, "inner_", F.explode(F.when(F.size("long_") > 0, F.col("long_")).when(F.length("inner") >= 2, hashed(F.col("inner"), 2)).otherwise(hashed(F.col("inner"), 1))).alias("run_"))
+    all_runs = F.concat(sparse(F.col("t")), hashed(F.col("t"), 2), *([hashed(F.col("t"), 1)] if single else []))
+    held = outer.select(group, F.xxhash64("t").alias("outer_"), F.explode(all_runs).alias("run_"))
+    wanted = written(held.join(own.select(group, "run_").distinct(), [group, "run_"], "left_semi"))
     n = wanted.groupBy(group, "run_").agg(F.count("*").alias("n"))
     # A run that no outer text has is the rarest one: its text lies in none.
     rarest = own.join(n, [group, "run_"], "left").groupBy(group, "inner_").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run_")).alias("x"))
