@@ -5,6 +5,7 @@ Lists are those of one record, so they are short; each function takes Arrow batc
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 
@@ -94,30 +95,33 @@ def field_numbers(text: str | None) -> dict[str, list[float | None]]:
     numbers = list(NUMBER.finditer(line))
     if not numbers:
         return {}
-    values = [float(n.group(1).replace(",", ".")) for n in numbers]
-    starts, ends = (np.array([f(n) for n in numbers]) for f in (re.Match.start, re.Match.end))
-    has_next = np.append(starts[1:] - ends[:-1] <= GAPS[1], False)
+    starts, ends = [n.start() for n in numbers], [n.end() for n in numbers]
+    value = lambda n: float(numbers[n][1].replace(",", "."))
     daily = re.search(DAILY, line) is not None
-    claimed, out = np.zeros(len(line), bool), {}
+    claims: list[tuple[int, int]] = []  # granted, one a field at most
+    out = {}
     for key, name in NAMES.items():
-        places = np.array([m.span() for m in name.finditer(line)], np.int64).reshape(-1, 2)
-        first = np.searchsorted(starts, places[:, 1])
-        near = first < len(starts)
-        near[near] = starts[first[near]] - places[near, 1] <= GAPS[0]
         behind = 0
-        for (begin, _), n in zip(places[near], first[near]):
-            if begin < behind:
+        for m in name.finditer(line):
+            begin, end = m.span()
+            n = bisect.bisect_left(starts, end)
+            if begin < behind or n == len(starts) or starts[n] - end > GAPS[0]:
                 continue
-            behind = ends[n + has_next[n]]
-            if not claimed[begin:behind].any():
-                claimed[begin:behind] = True
-                out[key] = [values[n], values[n + 1] if has_next[n] and not daily else None]
+            has_next = n + 1 < len(starts) and starts[n + 1] - ends[n] <= GAPS[1]
+            behind = ends[n + has_next]
+            if not any(begin < e and b < behind for b, e in claims):
+                claims.append((begin, behind))
+                out[key] = [value(n), value(n + 1) if has_next and not daily else None]
                 break
     return out
 
 
 def fields_of(text: pd.Series) -> pd.Series:
-    return text.map(field_numbers)
+    """Equal texts of a batch are read once."""
+    codes, distinct = pd.factorize(text, use_na_sentinel=False)
+    found = np.empty(len(distinct), dtype=object)
+    found[:] = [field_numbers(None if pd.isna(t) else t) for t in distinct]
+    return pd.Series(found[codes], dtype=object)
 
 
 def matched(got: Column, wanted: Column) -> Column:

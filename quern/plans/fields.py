@@ -9,7 +9,7 @@ from quern.functions import fields as X
 from quern.operators import items as I
 from quern.operators import tables as T
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 from quern.streaming import states as S
 
 
@@ -217,7 +217,7 @@ def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS energy, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity * 2 END AS energy_100, l_linenumber + 0.5 AS saturated, NULL::DOUBLE AS saturated_100, CASE WHEN l_partkey % 2 = 0 THEN 7.0 END AS fat, 5.0 AS sugar, CASE WHEN l_partkey % 2 = 1 THEN 40.0 END AS sodium FROM lineitem""")
 def numbers_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nutrition table's numbers by the names before them: longer names first, no name of an ingredient, no second column where that holds daily values."""
-    l, k = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), F.col("l_partkey")  # noqa: E741
+    l, k = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")), F.col("l_partkey")  # noqa: E741
     whole = F.col("l_quantity").cast("int")
     text = F.concat(
         F.when(k % 3 == 0, "每日參考值 ").otherwise("每100公克 "), F.lit("熱量 "), whole.cast("string"), F.lit("大卡 "), (whole * 2).cast("string"), F.lit("大卡\n"),

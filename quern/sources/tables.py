@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """The rows dealt over all cores.  A small file is one split, and so one task, however long the work on its rows takes."""
+    return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def json_records(spark: SparkSession, path: str, schema: str, records: str | None = None, rename: dict[str, str] | None = None) -> DataFrame:
     """A JSON file that holds an array of objects, or an object with one under `records`."""
     if records:

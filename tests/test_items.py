@@ -50,3 +50,21 @@ def test_field_numbers_by_gaps():
     assert I.field_numbers("糖" + "x" * 8 + "5") == {"sugar": [5, None]} and I.field_numbers("糖" + "x" * 9 + "5") == {}
     assert I.field_numbers("糖 5 公克" + "x" * 10 + "6") == {"sugar": [5, 6]} and I.field_numbers("糖 5 公克" + "x" * 11 + "6") == {"sugar": [5, None]}
     assert I.field_numbers("脂肪") == {} and I.field_numbers("鈉 " * 3) == {}
+
+
+def test_equal_texts_are_read_once_and_rows_are_dealt(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from quern.plans import queries
+
+    asked = []
+    read = I.field_numbers
+    monkeypatch.setattr(I, "field_numbers", lambda t: asked.append(t) or read(t))
+    got = I.fields_of(pd.Series(["熱量 5大卡", None, "熱量 5大卡", "糖 1", None]))
+    assert sorted(asked, key=str) == sorted(["熱量 5大卡", None, "糖 1"], key=str)
+    assert got.tolist() == [{"calories": [5.0, None]}, {}, {"calories": [5.0, None]}, {"sugar": [1.0, None]}, {}]
+    monkeypatch.undo()
+    rows = [(i, 1, i % 6, float(i % 50)) for i in range(64)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = queries.QUERIES["numbers_by_field"](spark, str(tmp_path))
+    assert out.count() == 64 and out.rdd.getNumPartitions() > 1
