@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.edits import fewest_edits
+
 OPEN, CLOSE = "(（[【{", ")）]】}"
 
 
@@ -116,14 +118,8 @@ def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def substring_edits(pattern: str, text: str) -> int:
-    """Fewest edits between a pattern and any part of a text; one vector pass per pattern character."""
-    t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(t) + 1, np.int64)
-    places = np.arange(len(t) + 1)
-    for i, c in enumerate(np.frombuffer(pattern.encode("utf-32-le"), np.uint32), 1):
-        new = np.minimum(row + 1, np.concatenate(([i], row[:-1] + (t != c))))
-        row = np.minimum.accumulate(new - places) + places
-    return int(row.min())
+    """Fewest edits between a pattern and any part of a text."""
+    return fewest_edits([pattern], text)[0] if pattern else 0
 
 
 def edits_within(df: DataFrame, pattern: str, text: str, keep: list[str]) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.operators import edits as E
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 
 def read_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, text and `seen`, the turn as a reader gave it: among other text, letters taken for others, dropped and doubled."""
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    c = spread(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     worse = F.regexp_replace(F.regexp_replace(F.translate("text", "eo,", "c0"), "th|ch", "h"), "(?<=[a-z])s ", "ss ")
     return c.select("conv_id", "turn", "text", F.concat_ws(" ", "role", F.lit("see page"), worse, F.lit("end of page")).alias("seen"))
 

@@ -11,7 +11,7 @@ from quern.functions.times import epoch_seconds, relative_bucket
 from quern.operators import grouped as G
 from quern.operators import matching as M
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 
 @query("""SELECT page_id, host, CASE WHEN host LIKE '%.example.org' OR host = 'example.org' THEN 'official' WHEN host LIKE '%.cheap-pills.example.com' OR host = 'cheap-pills.example.com' THEN 'self_published' WHEN host LIKE '%.example.net' OR host = 'example.net' THEN 'news' WHEN host LIKE '%.com' THEN 'social' ELSE 'unknown' END AS tier
@@ -279,7 +279,7 @@ def semi_global_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewest edits between a whole turn and any part of the next one."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = c.withColumn("next_", following).where("next_ is not null")
+    rows = spread(c.withColumn("next_", following).where("next_ is not null"))
     return G.edits_within(rows, "text", "next_", ["conv_id", "turn"])
 
 

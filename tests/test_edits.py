@@ -78,3 +78,21 @@ def test_nulls_and_items(spark):
     assert got == {(1, "salt"): (0, "exact"), (1, "sugar"): (1, "fuzzy"), (3, "a"): (1, "fuzzy"), (4, "abcdefgh"): (2, "fuzzy")}
     empty = E.with_trace(rows.selectExpr("k", "cast(null as string) as a", "t"), "a", "t").collect()
     assert all(r.edits == 0 and r.ops == [] for r in empty)
+
+
+def test_bit_columns(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    for _ in range(300):
+        patterns = ["".join(rng.choice("ab漢😀") for _ in range(rng.choice([1, 2, 7, 8, 9, 40]))) for _ in range(rng.randint(1, 6))]
+        text = "".join(rng.choice("ab漢😀") for _ in range(rng.randint(0, 50)))
+        assert E.fewest_edits(patterns, text, rng.choice([1, 300, 1 << 25])) == [slow(p, text)[0] for p in patterns]
+    monkeypatch.setattr(E, "KEPT", 1)  # columns are computed again for the trace
+    for _ in range(300):
+        pattern, text = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        assert E.edit_trace(pattern, text) == slow(pattern, text)
+    rows = [(i, 0, "user", "one, two. three") for i in range(64)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    from quern.plans import queries
+
+    assert queries.QUERIES["edit_traces"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    assert {(r.item, r.edits) for r in queries.QUERIES["sentences_found"](spark, str(tmp_path)).collect()} == {(x, slow(x, "user see page 0nc tw0. hrcc end of page")[0]) for x in ("one, two", "three")}
