@@ -17,7 +17,7 @@ from quern.streaming import states as S
  CASE p_partkey % 6 WHEN 3 THEN 'empty' WHEN 4 THEN 'allergen_warning_only' END AS reason FROM part""")
 def ingredient_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingredients' part of a label: from its marker, or past leading fields, to the first other field outside of brackets, without bracketed notes."""
-    p, k = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type"), F.col("p_partkey") % 6
+    p, k = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")), F.col("p_partkey") % 6
     raw = (
         F.when(k == 0, F.concat(F.lit("品名:X 製造日期:Y 成分: "), "p_name", F.lit("(容量x、"), "p_type", F.lit(")、鹽。有效期限:2026/1/1 重量:5g")))
         .when(k == 1, F.concat(F.lit("品名:X 500g 淨重:3 "), "p_name", F.lit("(本產品與蛋同一產線)、水 素食")))
@@ -44,7 +44,7 @@ def product_name_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_brand || '(' || p_type || '、x)|y。' WHEN 1 THEN 'a|b(' || p_name || '、c' ELSE 'd(' || repeat('e', 130) || '|' || p_name END AS items FROM part""")
 def depth_split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items between separators outside of brackets; one whose bracket was never closed is cut after 120 characters."""
-    p, k = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), F.col("p_partkey") % 3
+    p, k = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")), F.col("p_partkey") % 3
     text = (
         F.when(k == 0, F.concat("p_name", F.lit("、"), "p_brand", F.lit("("), "p_type", F.lit("、x)，y。")))
         .when(k == 1, F.concat(F.lit("a；b("), "p_name", F.lit("、c"))).otherwise(F.concat(F.lit("d("), F.lit("e" * 130), F.lit("、"), "p_name"))
@@ -198,7 +198,7 @@ def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, (2 + (p_partkey % 2 = 0)::INT)::INT AS hits, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type || 'zzzzzzzz' END AS missed, 'qqqqqqqqqqqq|' || p_name AS spurious FROM part""")
 def matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of two lists, one to one, with as many edits as a quarter of their length."""
-    p, k = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand"), F.col("p_partkey") % 2
+    p, k = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand")), F.col("p_partkey") % 2
     wanted = F.array("p_name", F.concat("p_type", F.lit("zzzzzzzz")), F.col("p_brand"))
     got = F.array(F.concat(F.lit("#"), "p_name"), F.lit("q" * 12), F.col("p_brand"), F.col("p_name"), F.when(k == 0, F.concat("p_type", F.lit("zzzzzz"))))
     rows = p.select("p_partkey", I.matched(F.array_compact(got), wanted).alias("m"))
@@ -208,7 +208,7 @@ def matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, p_brand || '|#' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '|salt|malt' ELSE '|salt' END AS items FROM part""")
 def merged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readers' items as one list: of alike ones the longer stays; short ones must be equal."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand"))
     base = F.array(F.col("p_brand"), F.col("p_name"), F.concat(F.lit("#"), "p_name"), F.lit("salt"))
     more = F.array(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "malt").otherwise("salt"))
     return p.select("p_partkey", F.array_join(I.merged(base, more), "|").alias("items"))

@@ -9,7 +9,7 @@ from quern.functions import labels as L
 from quern.functions import shapes as H
 from quern.functions import texts as X
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 RAW = "p_name || ' （x y）’–' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '(' || p_type || '[a{b}c])' ELSE '' END"
 
@@ -153,7 +153,7 @@ FROM (SELECT *, (share > 0.5 OR regexp_matches(x, '[(（]')) AND NOT regexp_matc
 FROM (SELECT p_partkey, unnest({CHOSEN}) AS x FROM part))) GROUP BY p_partkey""")
 def item_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much a label's parts look like a list of ingredients, how many of them may be one, and how many are one by the strict rule."""
-    rows = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select("p_partkey", chosen_parts().alias("parts"))
+    rows = spread(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")).select("p_partkey", chosen_parts().alias("parts"))
     count = lambda rule: F.size(F.filter("parts", rule)).cast("long")
     return rows.select("p_partkey", H.plausible(F.col("parts")).cast("long").alias("plausible"), count(H.looks_like_item).alias("items"), count(H.strict_item).alias("strict"))
 
