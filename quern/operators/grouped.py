@@ -9,12 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.operators.edits import fewest_edits
 
 OPEN, CLOSE = "(（[【{", ")）]】}"
+BRACKET_MARKS = OPEN + CLOSE + ",，、;；"
+BRACKET_PIECES = re.compile(f"[^{re.escape(BRACKET_MARKS)}]*[{re.escape(BRACKET_MARKS)}]|[^{re.escape(BRACKET_MARKS)}]+")
 
 
 def merged_events(events: DataFrame, group: str, key: str, title: str, limit: float = 0.10) -> DataFrame:
@@ -78,43 +82,52 @@ def dbscan(points: DataFrame, group: str, key: str, x: str, y: str, eps: float,
     return points.select(group, key, x, y).groupBy(group).applyInPandas(cluster, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, cluster long")
 
 
+def bracket_rows(text: str | None) -> Iterator[tuple[str, list[str], str]]:
+    """(name, the names around it, and these joined by >) of a comma list's nested items; unmatched closers end nothing, unmatched openers end with the text."""
+    around, joined = [], [""]
+    for piece in BRACKET_PIECES.findall(text or ""):
+        mark = piece[-1] if piece[-1] in BRACKET_MARKS else ""
+        name = piece[: len(piece) - len(mark)].strip()
+        if name:
+            yield name, around, joined[-1]
+        if mark and mark in OPEN:
+            joined.append(f"{joined[-1]}>{name}" if around else name)
+            around.append(name)
+        elif mark and mark in CLOSE and around:
+            around.pop()
+            joined.pop()
+
+
 def bracket_items(text: str | None) -> list[dict]:
-    """Nested items of a comma list: (name, path of the names around it, depth); unmatched closers end nothing, unmatched openers end with the text."""
-    out: list[dict] = []
-    path: list[str] = []
-    name = ""
-
-    def flush() -> str:
-        nonlocal name
-        item, name = name.strip(), ""
-        if item:
-            out.append({"name": item, "path": list(path), "depth": len(path)})
-        return item
-
-    for c in text or "":
-        if c in OPEN:
-            path.append(flush())
-        elif c in CLOSE:
-            flush()
-            if path:
-                path.pop()
-        elif c in ",，、;；":
-            flush()
-        else:
-            name += c
-    flush()
-    return out
-
-
-def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, name, path (joined by >), depth of every item of a bracketed list."""
-
-    @F.pandas_udf("array<struct<name:string,path:array<string>,depth:int>>")
-    def items(texts: pd.Series) -> pd.Series:
-        return texts.map(bracket_items)
-
-    rows = df.select(key, F.posexplode(items(F.col(text))).alias("place", "i"))
-    return rows.select(key, "place", "i.name", F.array_join("i.path", ">").alias("path"), "i.depth")
+    return [{"name": name, "path": list(around), "depth": len(around)} for name, around, _ in bracket_rows(text)]
+
+
+def flattened(df: DataFrame, key: str, text: str, most: int = 4_000_000) -> DataFrame:
+    """key, place, name, path (joined by >), depth of every item of a bracketed list.
+
+    Paths can be much longer than the text, so rows leave a task in batches of about `most` characters.
+    """
+    kind = df.schema[key].dataType
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key_", "place", "name", "path", "depth"]
+        types = [to_arrow_type(kind), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        made: list[tuple] = []
+        size = 0
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1)):
+                for place, (name, around, path) in enumerate(bracket_rows(t.as_py())):
+                    made.append((k.as_py(), place, name, path, len(around)))
+                    size += len(name) + len(path) + 100
+                    if size >= most:
+                        yield batch_of(made)
+                        made, size = [], 0
+        if made:
+            yield batch_of(made)
+
+    rows = df.select(F.col(key).alias("key_"), F.col(text).alias("text_")).mapInArrow(items, f"key_ {kind.simpleString()}, place int, name string, path string, depth int")
+    return rows.withColumnRenamed("key_", key)
 
 
 def substring_edits(pattern: str, text: str) -> int:

@@ -269,6 +269,9 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bracket_tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested lists, here made of each document's first sentences."""
+    from quern.llm.common import short_batches
+
+    short_batches(spark)
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.regexp_replace(F.regexp_replace("text", r"\. ", "("), r"\.\n", "), ")
     return G.flattened(d.select("doc_id", text.alias("t")), "doc_id", "t")

@@ -287,3 +287,12 @@ def test_best_member_with_large_keys(spark, tmp_path):
     want = sorted(db.execute(queries.SQL["group_best_member"]).fetchall())
     assert sorted(map(tuple, queries.QUERIES["group_best_member"](spark, str(tmp_path)).collect())) == want
     assert [r[-1] for r in want] == ["b", "d"]
+
+
+def test_deep_brackets_leave_a_task_in_batches(spark):
+    deep = "(".join(f"n{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "a(b),(c")], "k long, t string").coalesce(1)
+    rows = {(r.k, r.place): r for r in G.flattened(df, "k", "t", most=10_000).collect()}
+    assert len(rows) == 3003 and rows[1, 2999].path == ">".join(f"n{i}" for i in range(2999)) and rows[1, 2999].depth == 2999
+    assert [(rows[3, i].name, rows[3, i].path, rows[3, i].depth) for i in range(3)] == [("a", "", 0), ("b", "a", 1), ("c", "", 1)]
+    assert not any("Python" in n and "Arrow" in n and "Eval" in n for n in G.flattened(df, "k", "t")._jdf.queryExecution().toString().split())  # no text's items are one value
