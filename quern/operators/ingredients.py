@@ -16,8 +16,9 @@ may have any size; so may the texts.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quern.functions.fields import CLOSE, OPEN, SEPARATORS
 from quern.functions.labels import APOSTROPHES, CANON, NOTES, label_name
 from quern.functions.texts import FULL, HALF
+from quern.sources.tables import spread
 
 # Generic terms, places of origin, waters, endings of organisms.
 GENERIC = "品質改良劑 糊料 香辛料 色素 酸味劑 安定劑 凝固劑 膠質 酵素 萃取物 營養強化劑 乳化劑 抗氧化劑 防腐劑 著色劑 調味劑 甜味劑 香料 膨脹劑 粘稠劑 黏稠劑 保色劑 漂白劑".split()
@@ -45,11 +47,30 @@ PIECES = re.compile("([" + re.escape(OPEN + CLOSE + SEPARATORS) + "])")
 MOST_NESTED = 200  # brackets deeper than this are read as text
 
 
+def remembered(f: Callable, most: int = 1 << 14, longest: int = 200) -> Callable:
+    """Results for short texts are kept in bounded number: lists repeat their names."""
+    known: dict = {}
+
+    @functools.wraps(f)
+    def found(text: str, *more):
+        if len(text) > longest:
+            return f(text, *more)
+        if (value := known.get((text, *more), known)) is known:
+            if len(known) >= most:
+                known.clear()
+            value = known[text, *more] = f(text, *more)
+        return value
+
+    return found
+
+
+@remembered
 def key_of(name: str) -> str:
     """`label_name` for one text."""
     return re.sub(r"\(.*?\)|\s+", "", re.sub(APOSTROPHES, "", name.translate(FOLD)))
 
 
+@remembered
 def outside(name: str) -> str:
     """What stands outside of brackets, innermost pairs first."""
     while True:
@@ -58,12 +79,14 @@ def outside(name: str) -> str:
             return name
 
 
+@remembered
 def bare(name: str) -> str:
     name = name.strip(EDGE)
     name = re.sub(f"^(?:{'|'.join(LEADS)})", "", name)
     return re.sub(f"(?:{'|'.join(TAILS)})$", "", name).strip()
 
 
+@remembered
 def noted(name: str) -> bool:
     key = key_of(name)
     return not key or key in NOTES or key in ORIGINS or bool(NOTED.search(key))
@@ -159,6 +182,7 @@ def flat_items(text: str | None, generic: frozenset[str], substances: frozenset[
     return list(found.values())
 
 
+@remembered
 def candidates(name: str, generic: frozenset[str]) -> list[str]:
     """Names to look up, in order: outside of brackets, then the parts inside; the parts first for a generic term, none of them for a food with a recipe."""
     outer = key_of(outside(name))
@@ -194,13 +218,13 @@ def items_of(sections: DataFrame, key: str, text: str, substances: DataFrame | N
                 out.append(rows)
             yield pd.Series(out, dtype=object)
 
-    rows = sections.select(key, F.col(text).alias("text_"))
+    rows = spread(sections.select(key, F.col(text).alias("text_")))
     if substances is None:
         rows = rows.withColumn("known", F.array().cast("array<string>"))
     else:
         wanted = rows.select(key, F.explode(asked("text_")).alias("name"))
         known = wanted.join(substances.select(label_name(F.col("name")).alias("name")).distinct(), "name").groupBy(key).agg(F.collect_set("name").alias("known"))
-        rows = rows.join(known, key, "left")
+        rows = spread(rows.join(known, key, "left"))
     return rows.select(key, F.posexplode(flat("text_", "known")).alias("place", "item_")).select(key, "place", "item_.*")
 
 

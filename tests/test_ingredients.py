@@ -177,3 +177,13 @@ def test_query_over_orders(spark):
                         hit = hit or memo[c]
             want[key, place] = (x["name"], *(hit or (None, None)), "additive_db" if hit else "generic_term" if outer else "none")
     assert len(want) > 100 and got == want
+
+
+def test_names_are_read_once():
+    from quern.operators import ingredients as N
+
+    asked = []
+    f = N.remembered(lambda t, *more: asked.append(t) or t + "".join(more), most=2, longest=5)
+    assert [f("a"), f("a"), f("a", "b"), f("a"), f("abcdef"), f("abcdef")] == ["a", "a", "ab", "a", "abcdef", "abcdef"]
+    assert asked == ["a", "a", "abcdef", "abcdef"]
+    assert [f("c"), f("a")] == ["c", "a"] and asked[-2:] == ["c", "a"]  # bounded: the rest was given up
