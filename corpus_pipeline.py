@@ -39,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes the texts; returns doc_id, lang, source, ids, n_tokens, score."""
+    """Encodes the texts; returns doc_id, lang, source, ids, n_tokens, score, the second best segmentation and round_trip."""
     short_batches(spark)
     return pieces.tokenised(docs)
 

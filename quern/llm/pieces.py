@@ -359,11 +359,10 @@ def chunk_codes(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return data, starts, chunks.dictionary, chunks.indices.to_numpy(), np.searchsorted(at, starts)
 
 
-def encoded(texts: pa.Array, v: Vocabulary, known: Remembered, second_best: bool = True) -> list[pa.Array]:
+def encoded(texts: pa.Array, v: Vocabulary, known: Remembered) -> list[pa.Array]:
     """ids, n_tokens, score, second_score, second_from, second_dropped, second_ids, round_trip of one portion of texts.
 
-    The second best changes one chunk, the last one of those whose second way is nearest to the best; its ids are
-    left out (null) without `second_best`.
+    The second best changes one chunk, the last one of those whose second way is nearest to the best.
     """
     usable = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
     at = np.flatnonzero(usable.to_numpy(zero_copy_only=False))
@@ -384,8 +383,7 @@ def encoded(texts: pa.Array, v: Vocabulary, known: Remembered, second_best: bool
         gap, owner = head[codes, 1], np.repeat(np.arange(len(at)), np.diff(np.append(first, len(codes))))
         least = np.flatnonzero((gap == gaps[at][owner]) & (gap < NO_GAP))
         last = np.full(len(at), -1)
-        if second_best:
-            last[owner[least]] = least  # of several the last assignment holds
+        last[owner[least]] = least  # of several the last assignment holds
         ahead = np.cumsum(n) - n
         names = distinct.take(pa.array(codes[last[last >= 0]])).to_pylist()
         for row, place, chunk in zip(np.flatnonzero(last >= 0).tolist(), last[last >= 0].tolist(), names):
@@ -410,7 +408,7 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return b"".join([v.out[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model_file: str = MODEL, second_best: bool = True) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model_file: str = MODEL) -> DataFrame:
     """The columns in `keep`, with ids array<int>, n_tokens, score, the second best segmentation, and round_trip.
 
     The second best has second_score; its ids are the first second_from of ids, then second_ids, then ids without
@@ -430,7 +428,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             for batch in batches:
                 for i, j in portions(batch.column(len(keep))):
                     part = batch.slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *encoded(part.column(len(keep)), v, known, second_best)], names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *encoded(part.column(len(keep)), v, known)], names)
         finally:
             gc.enable()
 
@@ -454,6 +452,6 @@ def encoded_digest(df: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents as piece ids, without text and n_chars; columns that have a name of the result's give way to it."""
+    """Pipeline stage: documents as piece ids with their second best segmentation, without text and n_chars; columns that have a name of the result's give way to it."""
     made = ("text", "n_chars", *MADE)
-    return encode(docs, keep=tuple(c for c in docs.columns if c not in made), second_best=False).drop(*MADE[3:])
+    return encode(docs, keep=tuple(c for c in docs.columns if c not in made))

@@ -398,3 +398,10 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op10_language_id"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert (found[found.held_out].lang_pred == found[found.held_out].lang).mean() > 0.95
+
+
+def test_the_pipeline_keeps_the_second_best(spark):
+    docs = spark.createDataFrame([(1, "hello there", "en", "a", 11), (2, None, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    made = {r.doc_id: r for r in pieces.tokenised(docs).collect()}
+    want = {r.doc_id: r for r in pieces.encode(docs).collect()}
+    assert made[1].second_score is not None and all(made[i][c] == want[i][c] for i in (1, 2) for c in pieces.MADE)
