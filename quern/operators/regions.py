@@ -7,13 +7,21 @@ with amounts within three units; without enough words it is the largest cluster
 short lines with units.  What is left and long, or lists things, falls into clusters:
 lines whose boxes are at most GAP units apart, and what is connected by such lines.
 
-Neighbours meet in tiles, and clusters are the connected components of their pairs,
-found by taking over the smallest number and jumping along it; a picture may have
-many lines.  Boxes of fewer than two points, and lines without one, are left out.
+Lines of a picture with up to MANY to connect are compared pair by pair, in a row of their
+own; in larger ones neighbours meet in tiles, and clusters are the connected components of
+their pairs, found by taking over the smallest number and jumping along it.  So a picture
+may have many lines.  Boxes of fewer than two points, and lines without one, are left out.
+
+All else is windows and aggregates over pictures, so that lines which come dealt by picture
+are not dealt again; only lines that a later step needs are written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +33,12 @@ INGREDIENT_WORDS = ["成分", "成份", "原料", "內容物", "配料"]
 CELL_UNITS = ["大卡", "公克", "毫克", "公毫", "毫升", "克", "卡"]
 SODIUM, MILLIGRAMS = r"^\s*[鈉钠纳]\s*(?:[:：]|$|\d|[（(])", r"(?i)\d(?:[.,]\d+)?\s*(?:毫克|公絲|mg)"
 LEAST_WORDS, LEAST_CELLS, LEAST_MARKS, ROUNDS, LONG, GAP = 3, 6, 2, 2, 0.45, 1.5
+MANY = 128  # lines of a picture that are compared pair by pair
+CORNERS = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
 
 
 def measured_lines(lines: DataFrame, key: str) -> DataFrame:
-    """key, no, t, x0, y0, x1, y1, long, unit, least_long.  lines: key, no, text, box (points)."""
+    """key, no, t, x0, y0, x1, y1, long, unit, least_long, first (on one line a picture).  lines: key, no, text, box (points)."""
     xs, ys = F.transform("box", lambda p: F.get(p, F.lit(0))), F.transform("box", lambda p: F.get(p, F.lit(1)))
     rows = lines.where(F.size("box") >= 2).select(key, "no", F.coalesce("text", F.lit("")).alias("t"), F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -36,25 +46,47 @@ def measured_lines(lines: DataFrame, key: str) -> DataFrame:
     by_length, whole = Window.partitionBy(key).orderBy("long"), Window.partitionBy(key)
     ninth = F.floor((F.count("*").over(whole) - 1) * 0.9)
     rows = rows.withColumns({"place_": F.row_number().over(by_length) - 1, "ninth_": ninth})
-    scale = rows.groupBy(key).agg(F.median("thick").alias("unit"), F.max(F.when(F.col("place_") == F.col("ninth_"), F.col("long"))).alias("p90"))
-    scale = scale.select(key, F.when(F.col("unit") == 0, 1.0).otherwise(F.col("unit")).alias("unit"), (F.col("p90") * LONG).alias("least_long"))
-    return rows.drop("place_", "ninth_", "thick").join(scale, key)
-
-
-def holds(column: Column, words: list[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(column, w))
+    scales = {"unit_": F.median("thick").over(whole), "p90_": F.max(F.when(F.col("place_") == F.col("ninth_"), F.col("long"))).over(whole)}
+    unit = F.when(F.col("unit_") == 0, 1.0).otherwise(F.col("unit_")).alias("unit")
+    return rows.withColumns(scales).select(key, "no", "t", *CORNERS, "long", unit, (F.col("p90_") * LONG).alias("least_long"), (F.col("place_") == 0).alias("first"))
 
 
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
-def clusters(boxes: DataFrame, key: str) -> DataFrame:
-    """key, no, cluster: the smallest number of the connected lines.  boxes: key, no, x0, y0, x1, y1, unit; lines at most GAP units apart are connected."""
+def components(many: int = 4_000_000):
+    """A pandas function: no, x0, y0, x1, y1 (a place a line) and the reach -> the smallest number that each line is connected with.  Pictures of as many lines go together."""
+
+    @F.pandas_udf("array<long>")
+    def found(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for no, x0, y0, x1, y1, reach in batches:
+            sizes, out = no.map(len).to_numpy(), np.empty(len(no), object)
+            for n in np.unique(sizes):
+                places = np.flatnonzero(sizes == n)
+                for at in np.array_split(places, -(-len(places) * n * n // many)):
+                    least, a0, b0, a1, b1 = (np.stack(c.to_numpy()[at]) for c in (no, x0, y0, x1, y1))
+                    apart = lambda low, high: np.maximum(low[:, None, :] - high[:, :, None], low[:, :, None] - high[:, None, :])
+                    near = np.maximum(apart(a0, a1), apart(b0, b1)) <= reach.to_numpy()[at][:, None, None]
+                    near |= np.eye(n, dtype=bool)
+                    while True:
+                        lower = np.where(near, least[:, None, :], np.iinfo(np.int64).max).min(axis=2)
+                        if (lower == least).all():
+                            break
+                        least = lower
+                    for k, numbers in zip(at, least):
+                        out[k] = numbers
+            yield pd.Series(out)
+
+    return found
+
+
+def tiled_clusters(boxes: DataFrame, key: str) -> DataFrame:
+    """key, no, cluster, for pictures of any size."""
     reach = F.col("unit") * GAP
     size = F.greatest(reach * 4, F.lit(1.0))
     span = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - reach) / size).cast("long"), F.floor((F.col(high) + reach) / size).cast("long")))
-    dealt = boxes.select("*", span("x0", "x1").alias("tx")).select("*", span("y0", "y1").alias("ty"))
+    dealt = boxes.select(key, "no", *CORNERS, "unit", span("x0", "x1").alias("tx")).select("*", span("y0", "y1").alias("ty"))
     apart = lambda low, high: F.greatest(F.col(f"b.{low}") - F.col(f"a.{high}"), F.col(f"a.{low}") - F.col(f"b.{high}"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "tx", "ty")]
     near = dealt.alias("a").join(dealt.alias("b"), [*same, F.col("a.no") != F.col("b.no"), F.greatest(apart("x0", "x1"), apart("y0", "y1")) <= F.col("a.unit") * GAP])
@@ -62,72 +94,91 @@ def clusters(boxes: DataFrame, key: str) -> DataFrame:
     return connected(boxes.select(key, "no"), pairs, key)
 
 
-def box_of(rows: DataFrame, condition: Column, over: Window) -> Column:
+def clusters(boxes: DataFrame, key: str) -> DataFrame:
+    """Adds cluster: the smallest number of the connected lines.  boxes, a written table: key, no, x0, y0, x1, y1, unit and others; lines at most GAP units apart are connected."""
+    boxes = boxes.where("no is not null")
+    large = written(boxes.groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > MANY).select(key))
+    some = not large.isEmpty()
+    small = (boxes.join(large, key, "left_anti") if some else boxes).select(key, F.struct(*(c for c in boxes.columns if c != key)).alias("x"))
+    rows = small.groupBy(key).agg(F.collect_list("x").alias("x"))
+    of = lambda c: F.transform("x", lambda x: x[c])
+    rows = rows.withColumn("cluster", components()(*(of(c) for c in ("no", *CORNERS)), F.get("x", F.lit(0))["unit"] * GAP))
+    rows = rows.select(key, F.explode(F.arrays_zip("x", "cluster")).alias("z")).select(key, "z.x.*", "z.cluster")
+    if not some:
+        return rows
+    rest = written(boxes.join(large, key))
+    return rows.unionByName(rest.join(tiled_clusters(rest, key), [key, "no"]))
+
+
+def box_of(condition: Column, over: Window) -> Column:
     """The box around a picture's lines that meet the condition."""
-    f = lambda agg, c: agg(F.when(condition, F.col(c))).over(over)
-    return F.struct(f(F.min, "x0").alias("x0"), f(F.min, "y0").alias("y0"), f(F.max, "x1").alias("x1"), f(F.max, "y1").alias("y1"))
+    return F.struct(*(f(F.when(condition, F.col(c))).over(over).alias(c) for c, f in CORNERS.items()))
+
+
+def around(a: Column, b: Column) -> Column:
+    """The box around two boxes; corners that one lacks are the other's."""
+    return F.struct(*((F.least if f is F.min else F.greatest)(a[c], b[c]).alias(c) for c, f in CORNERS.items()))
 
 
 def grown(rows: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """Adds `table`, the box, and sets `mine` for the lines taken in.  rows: with mine, the lines to begin with."""
+    """Grows `table`, the box around the lines of `mine` and others to begin with, and sets `mine` for the lines taken in."""
     whole = Window.partitionBy(key)
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    cell = (F.col("long") < F.col("least_long")) & F.col("t").rlike(r"\d|克|大卡|公毫")
-    rows = rows.withColumn("table", box_of(rows, F.col("mine"), whole))
     for _ in range(rounds):
         room = F.col("unit") * 3
         inside = cx.between(F.col("table.x0") - room, F.col("table.x1") + room) & cy.between(F.col("table.y0") - room, F.col("table.y1") + room)
-        rows = rows.withColumn("mine", F.col("mine") | F.coalesce(cell & inside, F.lit(False)))
-        rows = rows.withColumn("table", box_of(rows, F.col("mine"), whole))
+        rows = rows.withColumn("mine", F.col("mine") | F.coalesce(F.col("cell") & inside, F.lit(False)))
+        rows = rows.withColumn("table", around(F.col("table"), box_of(F.col("mine"), whole)))
     return rows
 
 
-def with_sodium(rows: DataFrame, key: str) -> DataFrame:
-    """Takes in the sodium's row below the table: its name and, beside it, amounts in milligrams."""
-    whole = Window.partitionBy(key)
-    cx, cy, u = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("unit")
-    under = cx.between(F.col("table.x0") - u, F.col("table.x1") + u) & (cy > F.col("table.y1")) & (cy <= F.col("table.y1") + u * 2) & (F.col("y1") - F.col("y0") <= u * 2)
-    near = rows.where(F.coalesce(under, F.lit(False))).select(key, "no", "t", cx.alias("cx"), cy.alias("cy"), "unit")
-    label = near.where(F.col("t").rlike(SODIUM)).alias("a")
-    value = near.where(F.col("t").rlike(MILLIGRAMS)).alias("b")
+def sodium(rows: DataFrame, key: str) -> DataFrame:
+    """The lines of the sodium's row below the table: its name (of those with amounts the first) and, beside it, amounts in milligrams.  rows: key, no, the box, unit, label, value."""
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    near = rows.where("label or value").select(key, "label", "value", "unit", cx.alias("cx"), cy.alias("cy"), F.struct("no", *CORNERS).alias("line"))
+    label, value = near.where("label").alias("a"), near.where("value").alias("b")
     beside = [F.col(f"a.{key}") == F.col(f"b.{key}"), F.col("b.cx") >= F.col("a.cx"), F.abs(F.col("b.cy") - F.col("a.cy")) <= F.col("a.unit")]
-    pairs = label.join(value, beside).select(F.col(f"a.{key}").alias(key), F.col("a.no").alias("label"), F.col("b.no").alias("value"))
-    first = pairs.groupBy(key).agg(F.min("label").alias("label"))
-    lines = pairs.join(first, [key, "label"])
-    more = lines.select(key, F.explode(F.array("value", "label")).alias("no")).distinct().withColumn("sodium", F.lit(True))
-    rows = rows.join(more, [key, "no"], "left").withColumn("sodium", F.coalesce("sodium", F.lit(False)))
-    low = box_of(rows, F.col("sodium"), whole)
-    both = lambda agg, c: agg(F.col(f"table.{c}"), F.coalesce(low[c], F.col(f"table.{c}"))).alias(c)
-    table = F.when(F.col("table.x0").isNotNull(), F.struct(both(F.least, "x0"), both(F.least, "y0"), both(F.greatest, "x1"), both(F.greatest, "y1")))
-    return rows.withColumn("wide", table).withColumn("mine", F.col("mine") | F.col("sodium")).drop("table", "sodium").withColumnRenamed("wide", "table")
+    pairs = label.join(value, beside).select(F.col(f"a.{key}").alias(key), F.col("a.line").alias("label"), F.col("b.line").alias("value"))
+    lines = pairs.withColumn("least", F.min("label.no").over(Window.partitionBy(key))).where("label.no = least")
+    return lines.select(key, F.explode(F.array("value", "label")).alias("x")).select(key, "x.*").distinct()
 
 
 def regions(lines: DataFrame, key: str) -> DataFrame:
     """key, nutrition, ingredients (boxes, null where none was found), how (words or cells, null without a table), anchored."""
     whole = Window.partitionBy(key)
-    rows = measured_lines(lines, key).withColumn("words", holds(squeezed(F.col("t")), TABLE_WORDS))
-    known = F.size(F.array_distinct(F.flatten(F.collect_list("words").over(whole)))) >= LEAST_WORDS
-    rows = written(rows.withColumn("known", known))
-    cells = rows.where(~F.col("known") & (F.col("long") < F.col("least_long")) & F.col("t").rlike("|".join(CELL_UNITS)))
-    cells = cells.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= LEAST_CELLS)
-    found = clusters(cells, key)
-    sizes = found.groupBy(key, "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CELLS)
-    largest = sizes.groupBy(key).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
-    dense = found.join(largest, [key, "cluster"]).select(key, "no", F.lit(True).alias("dense"))
-    rows = rows.join(dense, [key, "no"], "left").withColumn("mine", (F.col("known") & (F.size("words") > 0)) | F.coalesce("dense", F.lit(False)))
-    rows = rows.withColumn("how", F.when(F.col("known"), "words").when(F.max("mine").over(whole), "cells"))
-    rows = written(with_sodium(written(grown(written(rows), key)), key))
-    listing = F.regexp_count("t", F.lit("[、，,；;]")) >= LEAST_MARKS
-    rest = rows.where(~F.col("mine") & ((F.col("long") >= F.col("least_long")) | listing))
-    blocks = clusters(rest, key).join(rest, [key, "no"]).groupBy(key, "cluster").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "").alias("text"),
+    corners = [f(c).alias(c) for c, f in CORNERS.items()]
+    rows = measured_lines(lines, key).withColumn("bare", squeezed(F.col("t")))
+    rows = rows.withColumn("words", sum((F.contains("bare", F.lit(w)).cast("int") * (1 << i) for i, w in enumerate(TABLE_WORDS)), F.lit(0))).drop("bare")
+    short, listing = F.col("long") < F.col("least_long"), F.regexp_count("t", F.lit("[、，,；;]")) >= LEAST_MARKS
+    rows = rows.withColumn("known", F.bit_count(F.bit_or("words").over(whole)) >= LEAST_WORDS)
+    rows = rows.withColumns({"cell": short & F.col("t").rlike(r"\d|克|大卡|公毫"), "wide": (F.col("long") >= F.col("least_long")) | listing})
+    cells = rows.where(~F.col("known") & short & F.col("t").rlike("|".join(CELL_UNITS))).withColumn("n", F.count("*").over(whole)).where(F.col("n") >= LEAST_CELLS)
+    found = clusters(written(cells.select(key, "no", *CORNERS, "unit", "wide")), key)
+    sizes = found.groupBy(key, "cluster").agg(F.count("*").alias("n"), *corners, F.collect_list(F.when(F.col("wide"), F.col("no"))).alias("listed")).where(F.col("n") >= LEAST_CELLS)
+    dense = written(sizes.groupBy(key).agg(F.max_by(F.struct(F.struct(*CORNERS).alias("box"), "listed"), F.struct("n", -F.col("cluster"))).alias("dense")).select(key, "dense.*"))
+    rows = rows.join(dense.select(key, F.col("box").alias("dense")), key, "left").withColumn("mine", F.col("known") & (F.col("words") > 0))
+    rows = rows.withColumn("how", F.when(F.col("known"), "words").when(F.col("dense").isNotNull(), "cells"))
+    rows = grown(rows.withColumn("table", around(box_of(F.col("mine"), whole), F.col("dense"))), key)
+    cx, cy, u = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("unit")
+    under = cx.between(F.col("table.x0") - u, F.col("table.x1") + u) & (cy > F.col("table.y1")) & (cy <= F.col("table.y1") + u * 2) & (F.col("y1") - F.col("y0") <= u * 2)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.select(
+        key, "no", "t", *CORNERS, "unit", "first", (F.col("how") == "cells").alias("loose"), sure(~F.col("mine") & F.col("wide")).alias("rest"), sure(under & F.col("t").rlike(SODIUM)).alias("label"), sure(under & F.col("t").rlike(MILLIGRAMS)).alias("value"),
+        F.when(F.col("first"), F.col("table")).alias("table"), F.when(F.col("first"), F.col("how")).alias("how"),
     )
-    blocks = blocks.select("*", (F.size(holds(squeezed(F.col("text")), INGREDIENT_WORDS)) > 0).alias("anchor"), F.length(squeezed(F.col("text"))).alias("letters"))
+    rows = written(rows.where("first or rest or label or value").withColumn("t", F.when(F.col("rest"), F.col("t"))))
+    salt = written(sodium(rows, key))
+    taken = salt.select(key, "no").unionByName(dense.select(key, F.explode("listed").alias("no"))).distinct()
+    rest = rows.where("rest").select(key, "no", "t", *CORNERS, "unit", F.coalesce(F.col("label") | F.col("value") | F.col("loose"), F.lit(False)).alias("open"))
+    rest = rest.where("not open").unionByName(rest.where("open").join(taken, [key, "no"], "left_anti")).drop("open")  # others cannot be taken
+    blocks = clusters(rest, key).groupBy(key, "cluster").agg(*corners, F.count("*").alias("n"), squeezed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "")).alias("text"))
+    anchor = F.lit(False)
+    for word in INGREDIENT_WORDS:
+        anchor |= F.contains("text", F.lit(word))
+    blocks = blocks.select("*", anchor.alias("anchor"), F.length("text").alias("letters"))
     blocks = blocks.withColumns({"anchored": F.max("anchor").over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("letters"), "cluster"))})
     chosen = blocks.where(F.when(F.col("anchored"), F.col("anchor") | (F.col("n") >= 2)).otherwise(F.col("rank") == 1))
-    corner = lambda agg, c: agg(c).alias(c)
-    below = chosen.groupBy(key).agg(corner(F.min, "x0"), corner(F.min, "y0"), corner(F.max, "x1"), corner(F.max, "y1"), F.max("anchored").alias("anchored"))
-    below = below.select(key, F.struct("x0", "y0", "x1", "y1").alias("ingredients"), "anchored")
-    tables = rows.groupBy(key).agg(F.first("table").alias("t"), F.max("how").alias("how"))
+    below = chosen.groupBy(key).agg(*corners, F.max("anchored").alias("anchored")).select(key, F.struct(*CORNERS).alias("ingredients"), "anchored")
+    low = salt.groupBy(key).agg(*corners).select(key, F.struct(*CORNERS).alias("low"))
+    tables = rows.where("first").select(key, "table", "how").join(low, key, "left").select(key, "how", around(F.col("table"), F.col("low")).alias("t"))
     return tables.select(key, F.when(F.col("t.x0").isNotNull(), F.col("t")).alias("nutrition"), "how").join(below, key, "left").select(key, "nutrition", "ingredients", "how", "anchored")

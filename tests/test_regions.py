@@ -123,3 +123,23 @@ def test_query(spark):
     for k in list(got)[::7]:
         assert got[k] == slow(pictures[k]), k
     assert len(got) == len(pictures)
+
+
+def test_connected_by_rows_and_by_tiles(spark, monkeypatch):
+    """Pictures of few lines write no tiles; larger ones give the same clusters by tiles."""
+    rng = random.Random(5)
+    rows = [(k, n, float(x), float(y), x + 60.0, y + 20.0, 20.0) for k in range(6) for n in range(3 * k + 2) for x, y in [(rng.randint(0, 400), rng.randint(0, 300))]]
+    boxes = G.written(spark.createDataFrame(rows, "k long, no long, x0 double, y0 double, x1 double, y1 double, unit double"))
+    got = []
+    for many in (128, 5, 0):
+        monkeypatch.setattr(G, "MANY", many)
+        got.append({(r.k, r.no): r.cluster for r in G.clusters(boxes, "k").collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) and len(set(got[0].values())) > 6
+    plain = {}
+    for k in range(6):
+        mine = [r for r in rows if r[0] == k]
+        plain |= {(k, mine[i][1]): mine[g[0]][1] for g in grouped([r[2:6] for r in mine], 20.0) for i in g}
+    assert got[0] == plain
+    monkeypatch.setattr(G, "MANY", 128)
+    monkeypatch.setattr(G, "tiled_clusters", None)
+    assert G.clusters(boxes, "k").count() == len(rows)
