@@ -64,7 +64,7 @@ def components(many: int = 4_000_000):
             sizes, out = no.map(len).to_numpy(), np.empty(len(no), object)
             for n in np.unique(sizes):
                 places = np.flatnonzero(sizes == n)
-                for at in np.array_split(places, -(-len(places) * n * n // many)):
+                for at in np.array_split(places, min(len(places), -(-len(places) * n * n // many))):
                     least, a0, b0, a1, b1 = (np.stack(c.to_numpy()[at]) for c in (no, x0, y0, x1, y1))
                     apart = lambda low, high: np.maximum(low[:, None, :] - high[:, :, None], low[:, :, None] - high[:, None, :])
                     near = np.maximum(apart(a0, a1), apart(b0, b1)) <= reach.to_numpy()[at][:, None, None]
