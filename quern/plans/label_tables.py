@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.operators import box_tables as B
 from quern.operators import readings as R
 from quern.plans.registry import query
-from quern.sources.tables import table
+from quern.sources.tables import spread_by, table
 
 PRINTED = {"calories": "熱量", "protein": "蛋白質", "fat": "脂肪", "saturated_fat": "飽和脂肪", "trans_fat": "反式脂肪", "carbohydrates": "碳水化合物", "sugar": "糖", "sodium": "鈉"}
 UNIT = {"calories": "大卡", "sodium": "毫克"}
@@ -27,10 +27,10 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, text: a label for every order, by rows, by columns or backwards, with a serving size or without, some cells missing and stray numbers between."""
     k = F.col("o_orderkey")
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount")
-    sums = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    sums = spread_by(lines, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("c"), (F.max("l_quantity") / 3).alias("p"), (F.min("l_quantity") / 2).alias("f"), F.max("l_tax").alias("t"), F.max("l_discount").alias("d"), F.count("*").alias("n")
     )
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").join(sums, "o_orderkey")
+    orders = spread_by(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), "o_orderkey").join(sums, "o_orderkey")
     of_100 = {
         "calories": F.round(F.col("p"), 1) * 4 + F.round(F.col("f"), 1) * 9 + F.round(F.coalesce("c", F.lit(3.0)), 1) * 4, "protein": F.col("p"), "fat": F.col("f"), "saturated_fat": F.col("f") * F.col("d") * 5, "trans_fat": F.lit(0.0),
         "carbohydrates": F.coalesce("c", F.lit(3.0)), "sugar": F.coalesce("c", F.lit(3.0)) * F.col("t") * 10, "sodium": F.col("o_totalprice") % 900,

@@ -23,6 +23,11 @@ def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
     return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread_by(df: DataFrame, key: str, tasks_per_core: int = 2) -> DataFrame:
+    """The rows dealt by a key over all cores, so that what groups, orders or joins by it does not deal them again.  Small rows with much work on them would else end in few tasks."""
+    return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def json_records(spark: SparkSession, path: str, schema: str, records: str | None = None, rename: dict[str, str] | None = None) -> DataFrame:
     """A JSON file that holds an array of objects, or an object with one under `records`."""
     if records:
