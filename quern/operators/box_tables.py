@@ -16,6 +16,9 @@ Ranges are joined by tiles, so that a record may have many boxes.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ UNIT_FIELDS = {"kcal": ["calories"], "mg": ["sodium"], "g": ["protein", "fat", "
 HEADINGS = ["營養標示", "营养标示", "每一份量", "本包裝含", "本包装含"]
 HEADING_NUMBERS = ["每一份量", "本包裝", "營養標示", "参考值", "參考值", "淨重", "內容量"]
 BESIDE_NAME = r"[\s\d.,:：()（）%/大卡公克毫克絲升亳克gGmMlL─\-—]*"
-TILE = 512
+TILE = 2048
 
 
 def name_pattern(field: str) -> str:
@@ -41,27 +44,40 @@ def name_pattern(field: str) -> str:
     return f"(?<![{NOT_AFTER[field]}])(?:{found})" if field in NOT_AFTER else f"(?:{found})"
 
 
+def named_in(field: str, text: Column) -> Column:
+    """Whether one of the field's names stands anywhere: cheap, and true of every text that its pattern matches."""
+    return reduce(or_, (F.contains(text, F.lit(name)) for name in NAMES[field]))
+
+
 def label_kind(field: str, text: Column) -> Column:
     """plain: the text is the field's name; with_values: the name and its numbers; else null."""
     tail = F.regexp_replace(text, f"^{name_pattern(field)}", "")
     own = F.when(F.trim(tail) == "", "plain").when(tail.rlike(f"^{BESIDE_NAME}$") & tail.rlike(r"\d"), "with_values")
-    return F.when(text.rlike(f"^{name_pattern(field)}"), own).when(text.rlike(f"^.{name_pattern(field)}") & (F.length(text) <= 8), "plain")
+    found = F.when(text.rlike(f"^{name_pattern(field)}"), own).when(text.rlike(f"^.{name_pattern(field)}") & (F.length(text) <= 8), "plain")
+    return F.when(named_in(field, text), found)
 
 
-def measured_boxes(boxes: DataFrame, key: str) -> DataFrame:
-    """key, no, t, cx, cy, w, h, numbers, unit, kinds, hits.  boxes: key, no (its place, one each a record), text, box (four points or more; others are left out)."""
-    text = F.trim(F.replace(half_width(F.coalesce("text", F.lit(""))), F.lit("·"), F.lit(".")))
+def placed_boxes(boxes: DataFrame, key: str) -> DataFrame:
+    """key, no, text, cx, cy, w, h.  boxes: key, no (its place, one each a record), text, box (four points or more; others are left out)."""
     xs, ys = F.transform("box", lambda p: F.get(p, F.lit(0))), F.transform("box", lambda p: F.get(p, F.lit(1)))
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    rows = boxes.where(F.size("box") >= 4).select(key, "no", text.alias("t"), mean(xs).alias("cx"), mean(ys).alias("cy"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+    return boxes.where(F.size("box") >= 4).select(key, "no", F.coalesce("text", F.lit("")).alias("text"), mean(xs).alias("cx"), mean(ys).alias("cy"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+
+
+def read_texts(texts: DataFrame) -> DataFrame:
+    """text, numbers, unit, kinds, hits, head (whether it is a table's heading).  texts: text, each once: boxes hold the same names and amounts over and over."""
+    rows = texts.select("text", F.trim(F.replace(half_width(F.col("text")), F.lit("·"), F.lit("."))).alias("t"))
     heading = F.col("t").rlike(r"每\s*100|" + "|".join(HEADING_NUMBERS))
     numbers = F.transform(F.regexp_extract_all("t", F.lit(r"(-?\d+(?:[.,]\d+)?)")), lambda v: F.replace(v, F.lit(","), F.lit(".")).cast("double"))
     unit = F.lit(None).cast("string")
     for name, words in reversed(UNIT_WORDS.items()):
         unit = F.when(F.col("t").rlike("(?i)" + "|".join(words)), name).otherwise(unit)
+    # Most texts are numbers: only those with a character of some name are held against the patterns.
+    any_name = F.col("t").rlike("[" + "".join(sorted({name[-1] for names in NAMES.values() for name in names})) + "]")
     kinds = F.filter(F.array(*(F.struct(F.lit(i).alias("order"), F.lit(f).alias("field"), label_kind(f, F.col("t")).alias("kind")) for i, f in enumerate(NAMES))), lambda x: x["kind"].isNotNull())
-    hits = sum(F.col("t").rlike(name_pattern(f)).cast("int") for f in NAMES)
-    return rows.select("*", F.when(heading, F.array().cast("array<double>")).otherwise(numbers).alias("numbers"), unit.alias("unit"), kinds.alias("kinds"), hits.alias("hits"))
+    kinds = F.when(any_name, kinds).otherwise(F.array().cast("array<struct<order:int,field:string,kind:string>>"))
+    hits = F.when(any_name, sum(F.when(named_in(f, F.col("t")), F.col("t").rlike(name_pattern(f)).cast("int")).otherwise(0) for f in NAMES)).otherwise(0)
+    return rows.select("text", F.when(heading, F.array().cast("array<double>")).otherwise(numbers).alias("numbers"), unit.alias("unit"), kinds.alias("kinds"), hits.alias("hits"), F.col("t").rlike("|".join(HEADINGS)).alias("head"))
 
 
 def tiles(low: Column, high: Column, size: int = TILE) -> Column:
@@ -71,7 +87,7 @@ def tiles(low: Column, high: Column, size: int = TILE) -> Column:
 def around_heading(items: DataFrame, key: str) -> DataFrame:
     """The boxes around the heading with most field names near it (three at least; of equal ones the first); all boxes of a record without such a heading."""
     r = F.greatest("w", "h")
-    heads = items.where(F.col("t").rlike("|".join(HEADINGS))).select(key, F.col("no").alias("head"), (F.col("cx") - 6 * r).alias("x0"), (F.col("cx") + 8 * r).alias("x1"), (F.col("cy") - 4 * r).alias("y0"), (F.col("cy") + 10 * r).alias("y1"))
+    heads = items.where("head").select(key, F.col("no").alias("head"), (F.col("cx") - 6 * r).alias("x0"), (F.col("cx") + 8 * r).alias("x1"), (F.col("cy") - 4 * r).alias("y0"), (F.col("cy") + 10 * r).alias("y1"))
     dealt = heads.select("*", tiles(F.col("x0"), F.col("x1")).alias("tx")).select("*", tiles(F.col("y0"), F.col("y1")).alias("ty"))
     named = items.where("hits > 0").select(key, "cx", "cy", "hits", F.floor(F.col("cx") / TILE).alias("tx"), F.floor(F.col("cy") / TILE).alias("ty"))
     inside = "cx between x0 and x1 and cy between y0 and y1"
@@ -91,7 +107,7 @@ def by_rank(names: DataFrame, numbers: DataFrame, frame: DataFrame, key: str) ->
     """key, field, a, b of records whose columns of numbers are as long as the list of names and whose units fit."""
     axis, cross = F.when(F.col("upright"), F.col("cy")).otherwise(F.col("cx")), F.when(F.col("upright"), F.col("cx")).otherwise(F.col("cy"))
     frame = frame.where("n_names >= 4").select(key, "upright", "n_names", F.when(F.col("upright"), F.col("y1")).otherwise(F.col("x1")).alias("edge"), F.when(F.col("upright"), F.col("y1") - F.col("y0")).otherwise(F.col("x1") - F.col("x0")).alias("span"))
-    placed = numbers.join(frame, key).select("*", axis.alias("axis"), cross.alias("cross")).where("axis > 0")
+    placed = numbers.drop("ways").join(frame, key).select("*", axis.alias("axis"), cross.alias("cross")).where("axis > 0")
     along = Window.partitionBy(key).orderBy("axis", "no")
     jump = F.coalesce(F.col("axis") - F.lag("axis").over(along) > F.greatest(F.col("span") * 0.5, F.lit(40)), F.lit(False))
     columns = placed.withColumn("jump", jump.cast("int")).withColumn("column", F.sum("jump").over(along))
@@ -115,7 +131,7 @@ def by_band(names: DataFrame, numbers: DataFrame, frame: DataFrame, key: str, si
     wanted = names.join(frame.select(key, "mw", "mh"), key).select(key, "field", "no", upright.alias("down"), F.when(upright, F.col("cx")).otherwise(F.col("cy")).alias("at"), F.when(upright, F.col("cy")).otherwise(F.col("cx")).alias("from"), reach.alias("reach"))
     wanted = wanted.select("*", tiles(F.col("at") - F.col("reach"), F.col("at") + F.col("reach"), size).alias("tile"))
     spot = lambda down, at, along: F.struct(F.lit(down).alias("down"), F.col(at).alias("x"), F.col(along).alias("y"))
-    spots = numbers.select(key, F.col("no").alias("other"), "numbers", F.inline(F.array(spot(True, "cx", "cy"), spot(False, "cy", "cx")))).withColumn("tile", F.floor(F.col("x") / size))
+    spots = numbers.select(key, F.col("no").alias("other"), "numbers", F.inline(F.transform("ways", lambda down: F.when(down, spot(True, "cx", "cy")).otherwise(spot(False, "cy", "cx"))))).withColumn("tile", F.floor(F.col("x") / size))
     near = wanted.join(spots, [key, "down", "tile"]).where((F.col("no") != F.col("other")) & (F.abs(F.col("x") - F.col("at")) <= F.col("reach")) & (F.col("y") > F.col("from")))
     nearest = near.withColumn("r", F.row_number().over(Window.partitionBy(key, "field").orderBy("y", "other"))).where("r <= 2")
     flat = nearest.groupBy(key, "field").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("r", "numbers"))), lambda x: x["numbers"])).alias("v"))
@@ -124,14 +140,16 @@ def by_band(names: DataFrame, numbers: DataFrame, frame: DataFrame, key: str, si
 
 def box_tables(boxes: DataFrame, key: str) -> DataFrame:
     """key, field, a, b, how: the amounts per serving and per 100 that the boxes' places give; how is rank, same_box or band."""
-    items = written(measured_boxes(boxes, key))  # both are read by several joins
+    placed = written(placed_boxes(boxes, key))  # these are read by several joins
+    items = placed.join(written(read_texts(placed.select("text").distinct())), "text").drop("text")
     names = written(names_of(items, key))
+    stands = F.coalesce(F.col("h") > F.col("w") * 1.5, F.lit(False))
     frame = names.groupBy(key).agg(
         F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.avg("w").alias("mw"), F.avg("h").alias("mh"), F.count("*").alias("n_names"),
-        (F.sum((F.col("h") > F.col("w") * 1.5).cast("int")) * 2 > F.count("*")).alias("upright"),
+        (F.sum(stands.cast("int")) * 2 > F.count("*")).alias("upright"), F.array_sort(F.collect_set(stands)).alias("ways"),
     )
     within = "cx between x0 - mw * 8 and x1 + mw * 12 and cy between y0 - mh * 8 and y1 + mh * 12"
-    numbers = items.where(F.size("numbers") > 0).join(frame, key).where(within).select(key, "no", "cx", "cy", "numbers", "unit")
+    numbers = items.where(F.size("numbers") > 0).join(frame, key).where(within).select(key, "no", "cx", "cy", "numbers", "unit", "ways")
     own = names.where("kind = 'with_values'").select(key, "field", F.get("numbers", F.lit(0)).alias("own_a"), F.get("numbers", F.lit(1)).alias("own_b"), F.lit(True).alias("own"))
     ranked = by_rank(names, numbers, frame, key).withColumn("n_ranked", F.count("*").over(Window.partitionBy(key)))
     all_of = names.select(key, "field").join(own, [key, "field"], "left").join(ranked.withColumnsRenamed({"a": "rank_a", "b": "rank_b"}), [key, "field"], "left").join(by_band(names, numbers, frame, key), [key, "field"], "left")

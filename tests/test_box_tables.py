@@ -150,3 +150,15 @@ def test_boxes_of_orders(spark):
     assert len(boxes) > 1000
     for case, b in boxes.items():
         assert got.get(case, {}) == slow_table(sorted(b)), case
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """Boxes hold the same texts over and over: each is held against the patterns once, however many boxes have it; none is read as empty."""
+    read, seen = B.read_texts, []
+    monkeypatch.setattr(B, "read_texts", lambda texts: seen.append(sorted(r.text for r in texts.collect())) or read(texts))
+    box = lambda x, y: [[x, y], [x + 80, y], [x + 80, y + 30], [x, y + 30]]
+    rows = [(k, no, t, box(x, y)) for k in range(50) for no, (t, x, y) in enumerate([("鈉", 50.0, 80.0), ("５·5毫克", 260.0, 80.0), ("脂肪", 50.0, 130.0), ("5", 260.0, 130.0), ("7", 460.0, 130.0), (None, 50.0, 500.0)])]
+    df = spark.createDataFrame(rows, "case long, no long, text string, box array<array<double>>")
+    got = sorted((r.case, r.field, r.a, r.b) for r in B.box_tables(df, "case").collect())
+    assert got == sorted(x for k in range(50) for x in ((k, "sodium", 5.5, None), (k, "fat", 5.0, 7.0)))
+    assert seen == [sorted({t or "" for _, _, t, _ in rows})]
