@@ -111,30 +111,44 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of a string array's bytes: the mixed (byte, place) pairs are summed and mixed again."""
+    """64-bit hashes of a string array's bytes (0 for an empty string): the mixed pieces of eight bytes, each with its place, are summed and mixed again."""
     words = words.cast(pa.large_binary())
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     out = np.zeros(len(words), np.uint64)
-    some = np.diff(offsets) > 0
-    if some.any():
-        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
-        starts = offsets[:-1][some] - offsets[0]
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets)[some])
-        out[some] = np.add.reduceat(mix(data + np.uint64(1) + (place.astype(np.uint64) << np.uint64(9))), starts)
+    lengths = np.diff(offsets)
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return out
+    data = np.concatenate((np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from every place on
+    lengths, starts = lengths[some], offsets[:-1][some] - offsets[0]
+    pieces = -(-lengths // 8)
+    ends = np.cumsum(pieces)
+    place = np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)
+    over = np.maximum(8 * (place + 1) - np.repeat(lengths, pieces), 0).astype(np.uint64)  # bytes of a last piece behind its word
+    value = eight[np.repeat(starts, pieces) + 8 * place] & (~np.uint64(0) >> (over << np.uint64(3)))
+    salt = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out[some] = np.add.reduceat(mix(mix(value + salt) ^ salt), ends - pieces) + lengths.astype(np.uint64)
     return mix(out)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words (between ASCII white space, A-Z in lower case) a text, and the 64-bit hashes of all words in order."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (between ASCII white space, A-Z in lower case) a text, all words in order as places in the last array, and the 64-bit hashes of distinct words."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    hashes = string_hashes(coded.dictionary)[coded.indices.to_numpy()]
+    codes, hashes = coded.indices.to_numpy(), string_hashes(coded.dictionary)
     if not hashes.all():  # white space at an end of a text leaves an empty word, whose hash is 0
-        real = hashes != 0
+        real = (hashes != 0)[codes]
         lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
-        hashes = hashes[real]
-    return lengths, hashes
+        codes = codes[real]
+    return lengths, codes, hashes
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words a text, and the 64-bit hashes of all words in order, see `word_codes`."""
+    lengths, codes, hashes = word_codes(texts)
+    return lengths, hashes[codes]
 
 
 def counted_arrays(
@@ -151,20 +165,30 @@ def counted_arrays(
     key, on the driver.
     """
 
+    def packed(key: str, at: int, array: np.ndarray) -> pa.RecordBatch:
+        """Long integers travel in as few bytes as they need."""
+        kind = array.dtype.str
+        if array.dtype == np.int64 and len(array) and array.min() >= 0:
+            array = array.astype(np.min_scalar_type(array.max()))
+        data = zlib.compress(array.tobytes(), 1)
+        return pa.RecordBatch.from_pydict({"key": [key], "at": pa.array([at], pa.int64()), "data": [data], "kind": [f"{array.dtype.str} {kind}"]})
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() // fan_in
         for key, array in count(batches):
-            yield pa.RecordBatch.from_pydict(
-                {"key": [key], "at": pa.array([at], pa.int64()), "data": [zlib.compress(array.tobytes(), 1)], "kind": [array.dtype.str]}
-            )
+            yield packed(key, at, array)
+
+    def unpacked(data: bytes, kind: str) -> np.ndarray:
+        narrow, wide = kind.split()
+        return np.frombuffer(zlib.decompress(data), np.dtype(narrow)).astype(np.dtype(wide), copy=False)
 
     def merged(batches: Iterator[pa.RecordBatch], together: bool = False) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                array = np.frombuffer(zlib.decompress(row["data"]), np.dtype(row["kind"]))
+                array = unpacked(row["data"], row["kind"])
                 key = row["key"], 0 if together else row["at"]
                 if key not in sums:
                     sums[key] = array.copy()
@@ -173,14 +197,12 @@ def counted_arrays(
                 else:
                     sums[key] |= array
         for (key, at), array in sums.items():
-            yield pa.RecordBatch.from_pydict(
-                {"key": [key], "at": pa.array([at], pa.int64()), "data": [zlib.compress(array.tobytes(), 1)], "kind": [array.dtype.str]}
-            )
+            yield packed(key, at, array)
 
     schema = "key string, at long, data binary, kind string"
     parts = df.mapInArrow(lean(partial), schema).repartition("key", "at").mapInArrow(lean(merged), schema)
     parts = parts.repartition("key").mapInArrow(lean(lambda batches: merged(batches, together=True)), schema)
-    return {r["key"]: np.frombuffer(zlib.decompress(bytes(r["data"])), np.dtype(r["kind"])) for r in parts.collect()}
+    return {r["key"]: unpacked(bytes(r["data"]), r["kind"]) for r in parts.collect()}
 
 
 def held_out(column: str, modulus: int, remainder: int):

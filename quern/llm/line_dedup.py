@@ -24,24 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.llm.common import as_bytes, discard, lean, materialise, word_hashes
+from quern.llm.common import as_bytes, discard, lean, materialise, word_codes
 from quern.llm.setjoin import Join, candidates, in_question, matching, members, remaining_pairs, sets_of
 
 
-def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat words of all lines, for `Join.flat`."""
+def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flat words of all lines, as places in their distinct hashes, for `Join.flat`."""
     split = pc.split_pattern(texts, "\n")
     n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths, words = word_hashes(split.flatten())
+    lengths, words, hashes = word_codes(split.flatten())
     row, place = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(row, lengths), np.repeat(place, lengths), words
+    return np.repeat(row, lengths), np.repeat(place, lengths), words, hashes
 
 
-def later(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """rid of the later line set of every pair."""
-    a = first.select(F.col("rid").alias("a"), F.col("at").alias("at_a"))
-    b = first.select(F.col("rid").alias("b"), F.col("at").alias("at_b"))
-    return pairs.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
+def later(pairs: DataFrame) -> DataFrame:
+    """(rid, at) of the later line set of every pair (a, b, at_a, at_b)."""
+    side = lambda s: F.struct(F.col(s).alias("rid"), F.col(f"at_{s}").alias("at"))
+    return pairs.select(F.when(F.col("at_a") < F.col("at_b"), side("b")).otherwise(side("a")).alias("x")).select("x.*").distinct()
 
 
 def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,21 +48,23 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     join = Join(lines, num, den, words=2, publish_from=-(-num // max(den - num, 1)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     found, classes = members(rows, join)
-    first = materialise(found.groupBy("rid").agg(F.min(F.struct("o1", "o2")).alias("at")))
+    first = materialise(found.groupBy("rid").agg(F.min(F.struct("o1", "o2")).alias("at"), F.count("*").alias("times")))
     pairs, long_rows = candidates(rows, join, found, classes)
-    sets = sets_of(rows, join, in_question(pairs, long_rows), first.select("rid", "at.o1"))
-    gone = materialise(later(matching(sets, pairs, join), first))
-    spent = [found, first, pairs, long_rows, sets, gone]
+    asked = materialise(in_question(pairs, long_rows).join(first.select("rid", "at"), "rid"))
+    sets = sets_of(rows, join, asked.select("rid", "at.o1", "at"))
+    gone = materialise(later(matching(sets, pairs, join, "at")))
+    spent = [found, first, pairs, long_rows, asked, sets, gone]
     if not long_rows.isEmpty():
         # Lines that no first record of a list removed meet all earlier lines of their lists.
-        placed = long_rows.distinct().join(first, "rid")
-        undecided = placed.join(gone, "rid", "left_anti")
+        placed = long_rows.distinct().join(asked, "rid")
+        undecided = placed.join(gone.select("rid"), "rid", "left_anti")
         more = materialise(remaining_pairs(placed, pairs, join, undecided, F.col("r.at") < F.col("l.at")))
         spent.append(more)
         if not more.isEmpty():
-            gone = gone.union(later(matching(sets, more, join), first))
-    kept = first.join(gone, "rid", "left_anti").select("rid", "at")
-    lost = found.join(kept.withColumnRenamed("rid", "kept_rid"), (found.rid == F.col("kept_rid")) & (F.struct("o1", "o2") == F.col("at")), "left_anti")
+            gone = gone.union(later(matching(sets, more, join, "at")))
+    # What goes: all but the first place of a set, and the first place of a set that matches an earlier one.
+    again = first.where("times > 1").select("rid", "at")
+    lost = found.join(again, "rid").where(F.struct("o1", "o2") != F.col("at")).select("o1", "o2").union(gone.select("at.o1", "at.o2"))
     out = materialise(lost.groupBy(F.col("o1").alias("id")).agg(F.sort_array(F.collect_set("o2")).alias("gone")))
     discard(*spent)
     return out
@@ -74,7 +75,8 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     others = F.struct(*(docs[c] for c in docs.columns if c != text))
     side = gone.select(F.col("id").alias("lost_id_"), F.col("gone").alias("gone_"))
     rows = docs.select(others.alias("row_"), docs[id_col].cast("long").alias("id_"), docs[text].alias("text_"))
-    rows = rows.join(side, F.col("id_") == F.col("lost_id_"), "left").select("row_", "text_", "gone_")
+    # The lists of lost lines grow with the documents, so they are hashed and never broadcast; the texts need no sort.
+    rows = rows.join(side.hint("shuffle_hash"), F.col("id_") == F.col("lost_id_"), "left").select("row_", "text_", "gone_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

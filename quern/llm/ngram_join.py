@@ -51,10 +51,11 @@ def linked(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id
     found, classes = members(rows, join)
     first = materialise(found.groupBy("rid").agg(F.min("o1").alias("o1")))
     pairs, long_rows = candidates(rows, join, found, classes)
-    sets = sets_of(rows, join, in_question(pairs, long_rows), first)
+    asked = materialise(in_question(pairs, long_rows).join(first, "rid"))
+    sets = sets_of(rows, join, asked)
     edges = materialise(matching(sets, pairs, join))
     groups = components(edges)
-    spent = [first, pairs, long_rows, sets, edges]
+    spent = [first, pairs, long_rows, asked, sets, edges]
     if not long_rows.isEmpty():
         named = materialise(long_rows.join(groups, long_rows.rid == groups.id, "left").select(long_rows["*"], F.coalesce("component", "rid").alias("component")).distinct())
         # Of each list, the largest component need not meet itself: the others' rows meet all rows.

@@ -47,9 +47,9 @@ HOT, BUCKET_BYTES = 100_000, 8_000_000
 
 @dataclass(frozen=True)
 class Join:
-    """What to join: `flat` turns texts into (row, place in the row, token) arrays, sorted by row and place."""
+    """What to join: `flat` turns texts into (row, place in the row, token) arrays, sorted by row and place; or a fourth array has the tokens and the third their places in it."""
 
-    flat: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    flat: Callable[[pa.Array], tuple[np.ndarray, ...]]
     num: int
     den: int
     least: int = 1
@@ -100,20 +100,34 @@ def typical(classes: np.ndarray) -> np.ndarray:
     return np.where(classes <= 1, classes, 2.0 ** ((classes.astype(float) - 2) / 7))
 
 
-def records(row: np.ndarray, place: np.ndarray, tokens: np.ndarray, least: int, classes: np.ndarray | None = None) -> Records:
-    """Distinct tokens of every (row, place), those with at least `least` of them."""
+def records(flat: tuple[np.ndarray, ...], least: int, classes: np.ndarray | None = None) -> Records:
+    """Distinct tokens of every (row, place), those with at least `least` of them; flat: what `Join.flat` returns."""
+    row, place, tokens, *coded = flat
+    tokens, codes = (coded[0], tokens) if coded else (tokens, None)
     change = np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1]))) if len(row) else np.zeros(0, bool)
     at = np.cumsum(change) - 1
     keys = tokens >> np.uint64(8)
     if classes is not None:
         keys = keys | (classes[tokens >> np.uint64(65 - len(classes).bit_length())].astype(np.uint64) << np.uint64(56))
-    if len(at) and at[-1] < 1 << 16:  # two sorts of plain numbers are faster than one by two keys
+    if codes is not None:  # few distinct tokens are put in order, then plain numbers are sorted
         order = np.argsort(keys)
-        order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
+        keys, tokens = keys[order], tokens[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        rank = np.empty(len(keys), np.uint64)
+        rank[order] = np.cumsum(new) - 1
+        keys, tokens, width = keys[new], tokens[new], np.uint64(len(keys).bit_length())
+        both = np.sort((at.astype(np.uint64) << width) | rank[codes])
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+        at, rank = (both >> width).astype(np.int64), both & ((np.uint64(1) << width) - np.uint64(1))
+        keys, tokens, once = keys[rank], tokens[rank], np.ones(len(at), bool)
     else:
-        order = np.lexsort((keys, at))
-    at, keys, tokens = at[order], keys[order], tokens[order]
-    once = np.concatenate(([True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]))) if len(at) else np.zeros(0, bool)
+        if len(at) and at[-1] < 1 << 16:  # two sorts of plain numbers are faster than one by two keys
+            order = np.argsort(keys)
+            order = order[np.argsort(at[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.lexsort((keys, at))
+        at, keys, tokens = at[order], keys[order], tokens[order]
+        once = np.concatenate(([True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]))) if len(at) else np.zeros(0, bool)
     n = np.bincount(at[once], minlength=int(change.sum()))
     ok = n >= max(1, least)
     once &= ok[at]
@@ -157,7 +171,7 @@ def members(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
         seen = Seen()
         for batch in batches:
             for ids, texts in parts(batch):
-                r = records(*join.flat(texts), join.least)
+                r = records(join.flat(texts), join.least)
                 new = seen.new(r.rid.tolist(), [(0, 0)] * len(r.n))  # copies would make their tokens seem frequent
                 pending.append((r.tokens[np.repeat(new, r.n)] >> np.uint64(64 - bits)).astype(np.int32))
                 if sum(map(len, pending)) > 2_000_000:
@@ -228,7 +242,7 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) ->
         seen = Seen()
         for batch in batches:
             for ids, texts in parts(batch):
-                r = records(*join.flat(texts), join.least, shared.value)
+                r = records(join.flat(texts), join.least, shared.value)
                 o1 = ids[r.row]
                 new = seen.new(r.rid.tolist(), list(zip(o1.tolist(), r.place.tolist())))
                 matches, published = prefixes(r, join)
@@ -260,7 +274,10 @@ def postings(docs: DataFrame, join: Join, classes: np.ndarray, buckets: int) ->
 
 
 def may_match(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray, join: Join) -> np.ndarray:
-    """Where rows i of a and j of b, which share a token, pass the length, bitmap and positional filters; as places in i."""
+    """Where rows i of a and j of b, which share a token, pass the length, bitmap and positional filters; as places in i.
+
+    Only the first l shared tokens of a pair need to pass, l being the matches it is held to: so up to this one it shares l at most.
+    """
     na, nb = a["n"][i].astype(np.int64), b["n"][j].astype(np.int64)
     needed = -(-join.num * (na + nb) // (join.num + join.den))
     room = na + nb - 2 * needed  # most differing tokens
@@ -271,7 +288,23 @@ def may_match(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray],
         ok = differ <= room[left]
         left, differ = left[ok], differ[ok]
     pa_, pb = a["pos"][i[left]].astype(np.int64), b["pos"][j[left]].astype(np.int64)
-    return left[np.minimum(pa_, pb) + 1 + np.minimum(na[left] - pa_ - 1, nb[left] - pb - 1) >= needed[left]]
+    before = np.minimum(np.minimum(pa_, pb) + 1, np.minimum(a["matches"][i[left]], b["matches"][j[left]]))
+    return left[before + np.minimum(na[left] - pa_ - 1, nb[left] - pb - 1) >= needed[left]]
+
+
+def without_copies(x: np.ndarray) -> np.ndarray:
+    """Postings with each (token, salt, rid) once, in the earliest document: every task that met a record has published it."""
+    order = np.argsort(mix(mix(x["rid"].view(np.uint64)) + x["token"].view(np.uint64) + x["salt"].astype(np.uint64)))
+    before, after = order[:-1], order[1:]
+    same = np.ones(len(before), bool)
+    for c in ("token", "rid", "salt"):
+        same &= x[c][before] == x[c][after]
+    if not same.any():
+        return x
+    begins = np.flatnonzero(np.concatenate(([True], ~same)))
+    out = x[order[begins]]
+    out["o1"] = np.minimum.reduceat(x["o1"][order], begins)
+    return out
 
 
 def listed(blocks: DataFrame, join: Join) -> DataFrame:
@@ -295,6 +328,7 @@ def listed(blocks: DataFrame, join: Join) -> DataFrame:
 
     def solve(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The lists of one bucket."""
+        x = without_copies(x)
         x = x[np.lexsort((x["o1"], x["salt"], x["token"]))]
         begins = np.flatnonzero(np.concatenate(([True], (x["token"][1:] != x["token"][:-1]) | (x["salt"][1:] != x["salt"][:-1]))))
         sizes = np.diff(np.append(begins, len(x)))
@@ -302,8 +336,10 @@ def listed(blocks: DataFrame, join: Join) -> DataFrame:
         by_length = np.lexsort((x["n"], of))
         n = x["n"][by_length].astype(np.int64)
         found, counts, dense = [], np.zeros(len(sizes), np.int64), (sizes > SHORT) | (x["salt"][begins] >= 0)
-        left, ahead = np.flatnonzero(~dense[of] & (sizes[of] > 1)), 1
-        columns = {c: np.ascontiguousarray(x[c]) for c in ("rid", "n", "pos", *bits)}
+        # The shorter of two records shares 2 t / (1 + t) of its own tokens at least, so its first shared ones stand that far from its end.
+        early = x["pos"] < x["n"] - -(-2 * join.num * x["n"].astype(np.int64) // (join.num + join.den)) + x["matches"]
+        left, ahead = np.flatnonzero(~dense[of] & (sizes[of] > 1) & early[by_length]), 1
+        columns = {c: np.ascontiguousarray(x[c]) for c in ("rid", "n", "pos", "matches", *bits)}
         while len(left):  # each row with the one that follows `ahead` places later in its list, while lengths allow
             left = left[left + ahead < len(n)]
             left = left[(of[left] == of[left + ahead]) & (n[left] * join.den >= join.num * n[left + ahead])]
@@ -342,13 +378,13 @@ def listed(blocks: DataFrame, join: Join) -> DataFrame:
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(scan), schema)
 
 
-def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) -> DataFrame:
-    """(rid, tokens) of the records in `wanted` (rid).  first: (rid, o1), a document of each record.
+def sets_of(docs: DataFrame, join: Join, wanted: DataFrame) -> DataFrame:
+    """(rid, tokens, further columns of `wanted`) of the records in `wanted`: a written table of rid, o1 (a document that has the record) and any more.
 
     Filters of fixed size pick the documents to cut into words and then the records; what they let through besides does no harm.
     """
     spark = docs.sparkSession
-    size = 1 << bits_for(first.count(), FILTER_BITS, 6)
+    size = 1 << bits_for(wanted.count(), FILTER_BITS, 7)
     mask = size - 1
 
     def marks(batches: Iterator[pa.RecordBatch]):
@@ -359,7 +395,7 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
         yield "rid", np.packbits(found[0])
         yield "document", np.packbits(found[1])
 
-    got = counted_arrays(wanted.join(first, "rid").select("rid", "o1"), marks, merge="or")
+    got = counted_arrays(wanted.select("rid", "o1"), marks, merge="or")
     none = np.zeros(size // 8, np.uint8)
     shared = spark.sparkContext.broadcast((got.get("rid", none), got.get("document", none)))
 
@@ -374,7 +410,7 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
             batch = batch.filter(pc.is_valid(batch.column(0)))
             batch = batch.filter(pa.array(has(documents, batch.column(0).to_numpy()))) if batch.num_rows else batch
             for _, texts in parts(batch):
-                r = records(*join.flat(texts), join.least)
+                r = records(join.flat(texts), join.least)
                 keep = np.flatnonzero(has(rids, r.rid))
                 mine = np.zeros(len(r.n), bool)
                 mine[keep[seen.new(r.rid[keep].tolist(), [(0, 0)] * len(keep))]] = True
@@ -383,14 +419,16 @@ def sets_of(docs: DataFrame, join: Join, wanted: DataFrame, first: DataFrame) ->
                 tokens = r.tokens[np.repeat(keep, r.n)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(r.rid[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["rid", "tokens"])
 
-    return materialise(docs.mapInArrow(lean(scan), "rid long, tokens array<long>").dropDuplicates(["rid"]))
+    found = docs.mapInArrow(lean(scan), "rid long, tokens array<long>").dropDuplicates(["rid"])
+    return materialise(found.join(wanted.drop("o1"), "rid"))
 
 
-def matching(sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y")), "b")
+def matching(sets: DataFrame, pairs: DataFrame, join: Join, *more: str) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, with columns of `sets` for both, named c_a and c_b."""
+    side = lambda s, tokens: sets.select(F.col("rid").alias(s), F.col("tokens").alias(tokens), *(F.col(c).alias(f"{c}_{s}") for c in more))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(common * join.den >= (F.size("x") + F.size("y") - common) * join.num).select("a", "b")
+    return both.where(common * join.den >= (F.size("x") + F.size("y") - common) * join.num).select("a", "b", *(f"{c}_{s}" for c in more for s in "ab"))
 
 
 def candidates(docs: DataFrame, join: Join, found: DataFrame, classes: np.ndarray) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,13 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import knn, line_dedup, mixing, ngram_join, registry, setjoin
+from quern.llm.common import counted_arrays, string_hashes
 
 
 def near_copies(seed=5, families=4, members=30, words=60):
@@ -241,3 +243,49 @@ def test_pipeline(spark):
         if k == 4:
             assert len(after) == len(before) and all(r["n_tokens"] == len(r["ids"]) for r in after)
     assert corpus_pipeline.run is not None
+
+
+def test_lost_lines_meet_texts_in_one_way_at_every_size(spark):
+    """A broadcast of the lists on small tables only made the shuffle grow faster than the input."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f\nzz"), (3, None)], "doc_id long, text string")
+    gone = spark.createDataFrame([(2, [0])], "id long, gone array<int>")
+    cut = line_dedup.without_lines(docs, gone)
+    assert [(r["row_"]["doc_id"], r["text_"], r["n_gone_"]) for r in cut.orderBy("row_.doc_id").collect()] == [(1, "a b c d e f", 0), (2, "zz", 1), (3, None, 0)]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
+
+
+def test_copies_of_postings_count_once():
+    join = setjoin.Join(line_dedup.lines, 4, 5, words=2)
+    x = np.zeros(6, join.posting)
+    x["token"], x["rid"], x["salt"], x["o1"] = [7, 7, 7, 8, 7, 7], [1, 1, 2, 1, 1, 2], [-1, -1, -1, -1, 0, -1], [5, 3, 4, 9, 1, 4]
+    got = setjoin.without_copies(x)
+    assert sorted(zip(*(got[c].tolist() for c in ("token", "salt", "rid", "o1")))) == [(7, -1, 1, 3), (7, -1, 2, 4), (7, 0, 1, 1), (8, -1, 1, 9)]
+    assert len(setjoin.without_copies(x[:0])) == 0
+
+
+def test_coded_words_give_the_same_records():
+    rng = random.Random(3)
+    texts = pa.array(["\n".join(" ".join(rng.choice(["a", "bb", "Bb", "ñ" * 9, "x" * 40, "y" * 8, ""]) for _ in range(rng.randint(0, 9))) for _ in range(4)) for _ in range(40)])
+    row, place, codes, hashes = line_dedup.lines(texts)
+    classes = (np.arange(1 << 16) % 7).astype(np.uint8)
+    for least in (1, 3):
+        a, b = setjoin.records((row, place, codes, hashes), least, classes), setjoin.records((row, place, hashes[codes]), least, classes)
+        assert all((x == y).all() for x, y in zip(vars(a).values(), vars(b).values(), strict=True)) and len(a.n)
+
+
+def test_word_hashes_depend_on_all_bytes():
+    words = ["", "a", "a\0", "\0", "b" * 7, "b" * 8, "b" * 9, "b" * 16, "b" * 17, "ab" * 8, "ba" * 8, "abcdefgh12345678", "12345678abcdefgh"]
+    h = string_hashes(pa.array(words))
+    assert h[0] == 0 and len(set(h.tolist())) == len(words)
+    assert (string_hashes(pa.array(["qqq", *words])[1:]) == h).all() and (string_hashes(pa.array(words[::-1]))[::-1] == h).all()
+
+
+def test_counts_travel_in_few_bytes(spark):
+    def count(batches):
+        rows = sum(b.num_rows for b in batches)
+        yield "n", np.array([rows, 0, rows << 40], np.int64)
+        yield "x", np.array([-rows, rows], np.int64)
+
+    got = counted_arrays(spark.range(0, 1000, 1, 3), count)
+    assert got["n"].tolist() == [1000, 0, 1000 << 40] and got["x"].tolist() == [-1000, 1000] and got["n"].dtype == np.int64
