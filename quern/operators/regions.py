@@ -7,25 +7,27 @@ with amounts within three units; without enough words it is the largest cluster
 short lines with units.  What is left and long, or lists things, falls into clusters:
 lines whose boxes are at most GAP units apart, and what is connected by such lines.
 
-Lines of a picture with up to MANY to connect are compared pair by pair, in a row of their
-own; in larger ones neighbours meet in tiles, and clusters are the connected components of
+Pictures of few lines are measured and compared in batches.  For those of many, all is
+windows, aggregates and joins: up to MANY lines to connect are compared pair by pair, in a
+row of their own; in larger ones neighbours meet in tiles, and clusters are the connected components of
 their pairs, found by taking over the smallest number and jumping along it.  So a picture
-may have many lines.  Boxes of fewer than two points, and lines without one, are left out.
-
-All else is windows and aggregates over pictures, so that lines which come dealt by picture
-are not dealt again; only lines that a later step needs are written.
+may have many lines, and only lines that a later step needs are written.  Boxes of fewer
+than two points, and lines without one, are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected, written
+from quern.operators.pictures import Boxes, boxes_in_rows, by_picture, changes, pairs_within, per_picture
 
 # Words of a nutrition table, words above ingredients, units that stand in cells.
 TABLE_WORDS = ["熱量", "蛋白質", "飽和脂肪", "反式脂肪", "碳水化合物", "每一份量", "本包裝含", "營養標示"]
@@ -55,28 +57,35 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
-def components(many: int = 4_000_000):
-    """A pandas function: no, x0, y0, x1, y1 (a place a line) and the reach -> the smallest number that each line is connected with.  Pictures of as many lines go together."""
+def least_numbers(sizes: np.ndarray, no: np.ndarray, corners: list[np.ndarray], reach: np.ndarray, many: int = 4_000_000) -> np.ndarray:
+    """The smallest number that each line is connected with.  sizes, reach: of each picture; no, corners: of the lines, picture after picture.  Pictures of as many lines go together."""
+    out, begins = no.copy(), np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 1]):
+        same = np.flatnonzero(sizes == n)
+        for at in np.array_split(same, min(len(same), -(-len(same) * n * n // many))):
+            places = begins[at][:, None] + np.arange(n)
+            least, a0, b0, a1, b1 = (c[places] for c in (no, *corners))
+            apart = lambda low, high: np.maximum(low[:, None, :] - high[:, :, None], low[:, :, None] - high[:, None, :])
+            near = np.maximum(apart(a0, a1), apart(b0, b1)) <= reach[at][:, None, None]
+            near |= np.eye(n, dtype=bool)
+            while True:
+                lower = np.where(near, least[:, None, :], np.iinfo(np.int64).max).min(axis=2)
+                if (lower == least).all():
+                    break
+                least = lower
+            out[places] = least
+    return out
+
+
+def components():
+    """A pandas function: no, x0, y0, x1, y1 (a place a line) and the reach -> the smallest number that each line is connected with."""
 
     @F.pandas_udf("array<long>")
     def found(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for no, x0, y0, x1, y1, reach in batches:
-            sizes, out = no.map(len).to_numpy(), np.empty(len(no), object)
-            for n in np.unique(sizes):
-                places = np.flatnonzero(sizes == n)
-                for at in np.array_split(places, min(len(places), -(-len(places) * n * n // many))):
-                    least, a0, b0, a1, b1 = (np.stack(c.to_numpy()[at]) for c in (no, x0, y0, x1, y1))
-                    apart = lambda low, high: np.maximum(low[:, None, :] - high[:, :, None], low[:, :, None] - high[:, None, :])
-                    near = np.maximum(apart(a0, a1), apart(b0, b1)) <= reach.to_numpy()[at][:, None, None]
-                    near |= np.eye(n, dtype=bool)
-                    while True:
-                        lower = np.where(near, least[:, None, :], np.iinfo(np.int64).max).min(axis=2)
-                        if (lower == least).all():
-                            break
-                        least = lower
-                    for k, numbers in zip(at, least):
-                        out[k] = numbers
-            yield pd.Series(out)
+        for *lines, reach in batches:
+            sizes = lines[0].map(len).to_numpy()
+            no, *corners = (np.concatenate(c.to_numpy()) if len(c) else np.empty(0) for c in lines)
+            yield pd.Series(np.split(least_numbers(sizes, no.astype(np.int64), corners, reach.to_numpy()), np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
 
     return found
 
@@ -143,8 +152,8 @@ def sodium(rows: DataFrame, key: str) -> DataFrame:
     return lines.select(key, F.explode(F.array("value", "label")).alias("x")).select(key, "x.*").distinct()
 
 
-def regions(lines: DataFrame, key: str) -> DataFrame:
-    """key, nutrition, ingredients (boxes, null where none was found), how (words or cells, null without a table), anchored."""
+def joined_regions(lines: DataFrame, key: str) -> DataFrame:
+    """The same as `regions` by windows and joins, for pictures of any number of lines."""
     whole = Window.partitionBy(key)
     corners = [f(c).alias(c) for c, f in CORNERS.items()]
     rows = measured_lines(lines, key).withColumn("bare", squeezed(F.col("t")))
@@ -182,3 +191,124 @@ def regions(lines: DataFrame, key: str) -> DataFrame:
     low = salt.groupBy(key).agg(*corners).select(key, F.struct(*CORNERS).alias("low"))
     tables = rows.where("first").select(key, "table", "how").join(low, key, "left").select(key, "how", around(F.col("table"), F.col("low")).alias("t"))
     return tables.select(key, F.when(F.col("t.x0").isNotNull(), F.col("t")).alias("nutrition"), "how").join(below, key, "left").select(key, "nutrition", "ingredients", "how", "anchored")
+
+
+class Texts:
+    """What the rules ask of texts: words (a bit each), cell, unit, listing, label, value, and the letters alone; a text's answers are kept, in bounded number."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.known, self.most = {}, most
+        self.cell, self.unit, self.salt, self.mg = (re.compile(p, re.A) for p in (r"\d|克|大卡|公毫", "|".join(CELL_UNITS), SODIUM, MILLIGRAMS))
+
+    def one(self, t: str) -> tuple:
+        letters = re.sub(r"[\W_]+", "", t)
+        found = (self.cell.search(t), self.unit.search(t), len(re.findall("[、，,；;]", t)) >= LEAST_MARKS, self.salt.search(t), self.mg.search(t))
+        return (sum((w in letters) << i for i, w in enumerate(TABLE_WORDS)), *map(bool, found)), letters
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        rows = []
+        for t in texts:
+            if (row := self.known.get(t)) is None:
+                row = self.one(t)
+                if len(t) <= 200:
+                    self.known[t] = row
+            rows.append(row)
+        return np.array([r[0] for r in rows], np.int64).reshape(-1, 6), [r[1] for r in rows]
+
+
+def found_regions(texts: Texts, boxes: Boxes, pictures: int) -> dict:
+    """`regions` for a batch of pictures; those without lines are left out."""
+    pic, no = boxes.picture, boxes.no
+    every = lambda f, v, start: per_picture(pic, pictures, v, f, start)
+    x0, x1, y0, y1 = (f.reduceat(v, boxes.begins) if len(pic) else np.empty(0) for v in (boxes.x, boxes.y) for f in (np.minimum, np.maximum))
+    corners, signs = [x0, y0, x1, y1], [(np.minimum, np.inf), (np.minimum, np.inf), (np.maximum, -np.inf), (np.maximum, -np.inf)]
+    around = lambda which: [every(f, np.where(which, c, start), start) for c, (f, start) in zip(corners, signs)]
+    both = lambda a, b: [f(v, w) for v, w, (f, _) in zip(a, b, signs)]
+    flags, letters = texts.of(boxes.texts)
+    words, cellish, united, listing, salty, mg = flags[boxes.at].T
+    words, cellish, united, listing, salty, mg = words, *(v.astype(bool) for v in (cellish, united, listing, salty, mg))
+
+    n = np.bincount(pic, minlength=pictures)
+    begins, there = np.cumsum(n) - n, n > 0
+    thick, long = np.minimum(x1 - x0, y1 - y0), np.maximum(x1 - x0, y1 - y0)
+    by_thick, by_long = thick[np.lexsort((thick, pic))], long[np.lexsort((long, pic))]
+    of = lambda values, place: np.where(there, values[np.where(there, begins + place, 0)], 0.0) if len(values) else np.zeros(pictures)
+    unit = 0.5 * of(by_thick, np.maximum(n - 1, 0) // 2) + 0.5 * of(by_thick, n // 2)
+    unit = np.where(unit == 0, 1.0, unit)
+    u = unit[pic]
+    short = long < (of(by_long, np.floor(np.maximum(n - 1, 0) * 0.9).astype(np.int64)) * LONG)[pic]
+    wide, cell = ~short | listing, short & cellish
+    known = np.bitwise_count(every(np.bitwise_or, words, 0)) >= LEAST_WORDS
+
+    def linked(which: np.ndarray) -> np.ndarray:
+        """Which cluster the lines are in."""
+        return least_numbers(np.bincount(pic[which], minlength=pictures), no[which], [c[which] for c in corners], unit * GAP)
+
+    def blocks_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lines by cluster and number, which cluster each belongs to, and where clusters begin."""
+        cluster = linked(which)
+        order = np.lexsort((no[which], cluster, pic[which]))
+        new = changes(pic[which][order]) | changes(cluster[order])
+        return which[order], np.cumsum(new) - 1, np.flatnonzero(new)
+
+    cells = np.flatnonzero(~known[pic] & short & united)
+    cells = cells[np.bincount(pic[cells], minlength=pictures)[pic[cells]] >= LEAST_CELLS]
+    line, block, first = blocks_of(cells)
+    size, where = np.bincount(block, minlength=len(first)), pic[line[first]]
+    best = np.lexsort((np.arange(len(first)), -size, where))
+    best = best[changes(where[best])]
+    dense = np.zeros(len(pic), bool)
+    dense[line[np.isin(block, best[size[best] >= LEAST_CELLS])]] = True
+
+    mine, loose = known[pic] & (words > 0), every(np.logical_or, dense, False)
+    table = both(around(mine), around(dense))
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    for _ in range(ROUNDS):
+        t, room = [c[pic] for c in table], u * 3
+        mine |= cell & (cx >= t[0] - room) & (cx <= t[2] + room) & (cy >= t[1] - room) & (cy <= t[3] + room)
+        table = both(table, around(mine))
+    t = [c[pic] for c in table]
+    under = (cx >= t[0] - u) & (cx <= t[2] + u) & (cy > t[3]) & (cy <= t[3] + u * 2) & (y1 - y0 <= u * 2)
+    name, value = np.flatnonzero(under & salty), np.flatnonzero(under & mg)
+    a, b = pairs_within(pic[name], pic[value])
+    a, b = name[a], value[b]
+    beside = (cx[b] >= cx[a]) & (np.abs(cy[b] - cy[a]) <= u[a])
+    a, b = a[beside], b[beside]
+    chosen = np.isin(a, a[changes(pic[a])])  # lines come by number
+    salt = np.zeros(len(pic), bool)
+    salt[a[chosen]] = salt[b[chosen]] = True
+
+    rest = np.flatnonzero(~mine & wide & ~salt & ~dense)
+    line, block, first = blocks_of(rest)
+    where, size = pic[line[first]], np.bincount(block, minlength=len(first))
+    at, ends = boxes.at[line], np.append(first[1:], len(line))
+    text = [letters[at[i]] if j == i + 1 else "".join(letters[k] for k in at[i:j]) for i, j in zip(first.tolist(), ends.tolist())]
+    anchor = np.array([any(w in t for w in INGREDIENT_WORDS) for t in text], bool)
+    order = np.lexsort((np.arange(len(first)), -np.array([len(t) for t in text], np.int64), where))
+    longest = np.zeros(len(first), bool)
+    longest[order[changes(where[order])]] = True
+    anchored = per_picture(where, pictures, anchor, np.logical_or, False)
+    taken = np.zeros(len(pic), bool)
+    taken[line[np.where(anchored[where], anchor | (size >= 2), longest)[block]]] = True
+
+    def boxed(box: list[np.ndarray]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c[there]) for c in box], names=list(CORNERS), mask=pa.array(~np.isfinite(box[0][there])))
+
+    some = np.bincount(where, minlength=pictures)[there] > 0
+    return {
+        "picture": np.flatnonzero(there), "nutrition": boxed(both(table, around(salt))), "ingredients": boxed(around(taken)),
+        "how": pa.array(np.where(known, "words", "cells")[there], pa.string(), mask=~(known | loose)[there]), "anchored": pa.array(anchored[there], mask=~some),
+    }
+
+
+def picture_regions(rows: DataFrame, key: str) -> DataFrame:
+    """`regions` of pictures whose boxes come in arrays.  rows: key, boxes (array<struct<no, text, box>>)."""
+    box, texts = "struct<x0:double,y0:double,x1:double,y1:double>", Texts()
+    return by_picture(rows, key, lambda boxes, n: found_regions(texts, boxes, n), f"nutrition {box}, ingredients {box}, how string, anchored boolean", 2, lambda lines: joined_regions(lines, key))
+
+
+def regions(lines: DataFrame, key: str) -> DataFrame:
+    """key, nutrition, ingredients (boxes, null where none was found), how (words or cells, null without a table), anchored.  lines: key, no, text, box (points)."""
+    return picture_regions(boxes_in_rows(lines, key), key)

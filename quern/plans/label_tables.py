@@ -20,7 +20,8 @@ UNIT = {"calories": "大卡", "sodium": "毫克"}
 
 
 def number(x: Column) -> Column:
-    return F.format_string("%.1f", F.round(x.cast("double"), 1))
+    v = F.round(x.cast("double"), 1)
+    return F.when(F.abs(v) < 1e6, v.cast("string")).otherwise(F.format_string("%.1f", v))  # the same digits, and cheaper
 
 
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +60,8 @@ def whole_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filled(R.best_tables(sequence_readings(spark, sf_dir), "o_orderkey"))
 
 
-def order_boxes(spark: SparkSession, sf_dir: str, ingredients: bool = False) -> DataFrame:
-    """l_orderkey, no, text, box: a picture for every order, a row of boxes a line; some upright, some tilted, some with names and numbers in one box, a heading in most."""
+def order_rows(spark: SparkSession, sf_dir: str, ingredients: bool = False) -> DataFrame:
+    """l_orderkey, boxes: a picture for every order, a row a line; some upright, some tilted, some with names and numbers in one box, a heading in most.  Lines of an order come together."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
@@ -69,26 +70,39 @@ def order_boxes(spark: SparkSession, sf_dir: str, ingredients: bool = False) ->
     field = F.get(F.array(*map(F.lit, fields)), (n - 1) % len(fields))
     name = F.get(F.array(*(F.lit(PRINTED[f]) for f in fields)), (n - 1) % len(fields))
     unit = F.when(k % 6 == 0, "").when(field == "calories", "大卡").when(field == "sodium", "毫克").otherwise("公克")
-    value = lambda x: F.concat(number(x), unit)
     upright, tilt = k % 4 == 0, F.when(k % 3 == 0, 0.2).otherwise(0.0)
+    lines = lines.select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", number(F.col("l_quantity")).alias("plain"), number(F.col("l_quantity") * (1 + F.col("l_tax"))).alias("taxed"), name.alias("name"), unit.alias("unit"))
+    name = F.col("name")
+
+    boxes: list[str] = []
+    columns: dict[str, Column] = {}
 
-    def box(no: Column, text: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-        corners = F.array(*(F.when(upright, F.array(b, a)).otherwise(F.array(a, b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))))
-        return F.struct(no.cast("long").alias("no"), text.alias("text"), corners.alias("box"))
+    def box(no: Column, text: Column, x: Column, y: Column, w: Column, h: Column, turned: Column = upright) -> None:
+        """A text and two opposite corners.  They are columns of a step of their own, as one step for all is a method that the JVM does not compile."""
+        either = lambda a, b: F.when(turned, b).otherwise(a)
+        i = len(boxes)
+        columns.update({f"t{i}": text, f"x{i}": either(x, y), f"y{i}": either(y, x), f"x{i}_": either(x + w, y + h), f"y{i}_": either(y + h, x + w)})
+        ends = [F.array(F.col(f"x{i}{p}"), F.col(f"y{i}{q}")) for p, q in (("", ""), ("_", ""), ("_", "_"), ("", "_"))]
+        boxes.append(F.when(F.col(f"t{i}").isNotNull(), F.struct(no.cast("long").alias("no"), F.col(f"t{i}").alias("text"), F.array(*ends).alias("box"))))
 
     d = lambda v: F.lit(float(v))
     y = n * 50.0 + 80
     together = (k + n) % 9 == 0
-    first, second = value(F.col("l_quantity")), F.when((k + n) % 8 != 0, value(F.col("l_quantity") * (1 + F.col("l_tax"))))
-    label = box(n * 4, F.when(together, F.concat(name, first, F.coalesce(second, F.lit("")))).otherwise(name), d(50), y, F.when(together, 200.0).otherwise(90.0), d(30))
-    cells = [box(n * 4 + c, F.when(~together, v), d(60 + 200 * c), y + tilt * (60 + 200 * c), d(80), d(30)) for c, v in ((1, first), (2, second))]
-    heading = box(F.lit(0), F.when((n == 1) & (k % 7 != 0), "營養標示 每一份量 353公克"), d(40), d(20), d(160), d(30))
-    stray = box(n * 4 + 3, F.when(F.col("l_discount") == 0, F.concat(F.lit("No. "), number(F.col("l_quantity")))), F.col("l_quantity") * 40, d(600), d(60), d(30))
-    listed = F.when((n == 1) & (k % 3 > 0), "成分：水、糖、鹽、").when(k % 5 == 0, "a line of words").otherwise("麵粉、油、香料、")
-    along, down, w = d(900), n * F.when(k % 4 == 1, 90.0).otherwise(34.0) + 100, F.when((n + k) % 5 == 0, 40.0).otherwise(650.0)
-    corners = F.array(F.array(along, down), F.array(along + w, down), F.array(along + w, down + 30), F.array(along, down + 30))
-    more = [F.struct((1000 + n).cast("long").alias("no"), listed.alias("text"), corners.alias("box"))] if ingredients else []
-    return lines.select("l_orderkey", F.inline(F.array(heading, label, *cells, stray, *more))).where("text is not null")
+    first, second = F.concat("plain", "unit"), F.when((k + n) % 8 != 0, F.concat("taxed", "unit"))
+    box(F.lit(0), F.when((n == 1) & (k % 7 != 0), "營養標示 每一份量 353公克"), d(40), d(20), d(160), d(30))
+    box(n * 4, F.when(together, F.concat(name, first, F.coalesce(second, F.lit("")))).otherwise(name), d(50), y, F.when(together, 200.0).otherwise(90.0), d(30))
+    for c, v in ((1, first), (2, second)):
+        box(n * 4 + c, F.when(~together, v), d(60 + 200 * c), y + tilt * (60 + 200 * c), d(80), d(30))
+    box(n * 4 + 3, F.when(F.col("l_discount") == 0, F.concat(F.lit("No. "), "plain")), F.col("l_quantity") * 40, d(600), d(60), d(30))
+    if ingredients:
+        listed = F.when((n == 1) & (k % 3 > 0), "成分：水、糖、鹽、").when(k % 5 == 0, "a line of words").otherwise("麵粉、油、香料、")
+        box(1000 + n, listed, d(900), n * F.when(k % 4 == 1, 90.0).otherwise(34.0) + 100, F.when((n + k) % 5 == 0, 40.0).otherwise(650.0), d(30), F.lit(False))
+    return lines.select("l_orderkey", "l_linenumber", *(c.alias(f) for f, c in columns.items())).select("l_orderkey", F.array(*boxes).alias("boxes"))
+
+
+def order_boxes(spark: SparkSession, sf_dir: str, ingredients: bool = False) -> DataFrame:
+    """l_orderkey, no, text, box: the boxes of the pictures."""
+    return order_rows(spark, sf_dir, ingredients).select("l_orderkey", F.inline("boxes")).where("text is not null")
 
 
 @query()
@@ -107,4 +121,4 @@ def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the nutrition table and the ingredients stand in every order's picture."""
     from quern.operators import regions as G
 
-    return G.regions(order_pictures(spark, sf_dir), "l_orderkey")
+    return G.picture_regions(order_rows(spark, sf_dir, ingredients=True), "l_orderkey")

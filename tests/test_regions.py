@@ -143,3 +143,36 @@ def test_connected_by_rows_and_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(G, "MANY", 128)
     monkeypatch.setattr(G, "tiled_clusters", None)
     assert G.clusters(boxes, "k").count() == len(rows)
+
+
+def test_pictures_in_batches_and_by_joins(spark, monkeypatch):
+    """Pictures of few plain boxes meet in batches, over several of Spark's and of Arrow's; the rest, with too many boxes or odd ones, goes by joins with the same result."""
+    from quern.operators import pictures as P
+
+    rng = random.Random(21)
+    pictures = {k: picture(rng) for k in range(40)}
+    for k in range(0, 40, 9):  # a point without a number beside plain ones: no batch reads it, and its box is as without it
+        pictures[k].append((98, "成分", [[5.0, 3.0], [None, 4.0], [7.0, 9.0]]))
+    df = spark.createDataFrame([(k, *line) for k, v in pictures.items() for line in v], "k long, no long, text string, box array<array<double>>")
+    ways, joined = [], G.joined_regions
+    monkeypatch.setattr(G, "joined_regions", lambda lines, key: ways.extend(r.k for r in lines.select("k").distinct().collect()) or joined(lines, key))
+    monkeypatch.setattr(P, "MOST", 12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        box = lambda b: None if b is None else tuple(b)
+        got = {r.k: (box(r.nutrition), box(r.ingredients), r.how, r.anchored) for r in G.regions(df, "k").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(ways) == {k for k, v in pictures.items() if len(v) > 12 or not k % 9} and len(ways) < 40
+    plain = lambda v: [(no, t, b and [p for p in b if None not in p]) for no, t, b in v]
+    assert got == {k: w for k, v in pictures.items() if (w := slow(plain(v))) is not None}
+
+
+def test_lines_are_not_dealt_again(spark):
+    """Pictures that come by key are read where they are: one exchange of lines, none of boxes."""
+    from quern.operators import pictures as P
+    from quern.plans import label_tables as L
+
+    rows = L.order_rows(spark, "/root/testdata/sf0.001", ingredients=True)
+    plan = P.with_sizes(rows, "l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Sort [") == 1 and "Generate" not in plan
