@@ -11,18 +11,23 @@ found in them, and numbers are assigned in three ways:
   own width where the name is printed upright).
 
 The main axis follows the names' orientation: upright where most are much higher than wide.
-Ranges are joined by tiles, so that a record may have many boxes.
+Ranges are joined by tiles, so that a record may have many boxes.  `picture_tables` reads
+pictures of few boxes in batches instead, with no joins.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.texts import half_width
+from quern.functions.texts import FULL, HALF, half_width
+from quern.operators.pictures import Boxes, by_picture, changes, pairs_within
 from quern.operators.regions import written
 
 # Names of the fields, characters before which a name is another word, and the fields of a unit.
@@ -37,6 +42,7 @@ HEADINGS = ["營養標示", "营养标示", "每一份量", "本包裝含", "本
 HEADING_NUMBERS = ["每一份量", "本包裝", "營養標示", "参考值", "參考值", "淨重", "內容量"]
 BESIDE_NAME = r"[\s\d.,:：()（）%/大卡公克毫克絲升亳克gGmMlL─\-—]*"
 TILE = 2048
+FOLD = str.maketrans(FULL, HALF)
 
 
 def name_pattern(field: str) -> str:
@@ -161,3 +167,165 @@ def box_tables(boxes: DataFrame, key: str) -> DataFrame:
     a = F.when(F.col("told").isNull() & open_, F.col("first")).otherwise(F.col("x"))
     b = F.when(open_, F.when(F.col("told").isNull(), F.col("second")).otherwise(F.col("first"))).otherwise(F.col("y"))
     return out.select(key, "field", a.alias("a"), b.alias("b"), F.coalesce("told", F.lit("band")).alias("how")).where("a is not null or b is not null")
+
+
+class Texts:
+    """What the rules ask of texts: first two numbers, how many, unit, heading, hits, and the kind of name a field (0 none, 1 plain, 2 with values).  A text's answers are kept, in bounded number."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.known, self.most = {}, most
+        self.names = {f: re.compile(name_pattern(f)) for f in NAMES}
+        self.any_name, self.beside = re.compile("[" + "".join(sorted({name[-1] for names in NAMES.values() for name in names})) + "]"), re.compile(BESIDE_NAME, re.A)
+        self.no_numbers, self.heading = re.compile(r"每\s*100|" + "|".join(HEADING_NUMBERS), re.A), re.compile("|".join(HEADINGS))
+        self.units = [re.compile("|".join(words), re.I | re.A) for words in UNIT_WORDS.values()]
+
+    def kind(self, pattern: re.Pattern, t: str) -> int:
+        if (m := pattern.match(t)) is None:
+            return int(len(t) <= 8 and t[:1] not in ("\n", "\r", "\x85", " ", " ") and pattern.match(t, 1) is not None)
+        tail = t[m.end() :]
+        return 1 if not tail.strip(" ") else 2 if self.beside.fullmatch(tail) and re.search(r"\d", tail, re.A) else 0
+
+    def one(self, text: str) -> list[float]:
+        t = text.translate(FOLD).replace("·", ".").strip(" ")
+        numbers = [] if self.no_numbers.search(t) else [float(v.replace(",", ".")) for v in re.findall(r"-?\d+(?:[.,]\d+)?", t, re.A)]
+        unit = next((i for i, u in enumerate(self.units) if u.search(t)), -1)
+        named = self.any_name.search(t) is not None
+        hits = sum(p.search(t) is not None for p in self.names.values()) if named else 0
+        kinds = [self.kind(p, t) for p in self.names.values()] if named else [0] * len(NAMES)
+        return [*(numbers[i] if i < len(numbers) else np.nan for i in (0, 1)), len(numbers), unit, self.heading.search(t) is not None, hits, *kinds]
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        rows = []
+        for t in texts:
+            if (row := self.known.get(t)) is None:
+                row = self.one(t)
+                if len(t) <= 200:
+                    self.known[t] = row
+            rows.append(row)
+        return np.array(rows, float).reshape(-1, 6 + len(NAMES))
+
+
+def found_tables(texts: Texts, boxes: Boxes, pictures: int) -> dict:
+    """`box_tables` for a batch of pictures."""
+    pic, no, fields = boxes.picture, boxes.no, len(NAMES)
+    read = texts.of(boxes.texts)[boxes.at] if len(pic) else np.empty((0, 6 + fields))
+    number, more, count, unit, head, hits = read[:, :6].T
+    kinds = read[:, 6:].astype(np.int8)
+    extent = lambda v: np.maximum.reduceat(v, boxes.begins) - np.minimum.reduceat(v, boxes.begins) if len(pic) else np.empty(0)
+    points = np.diff(np.append(boxes.begins, len(boxes.x)))
+
+    def mean(v: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(pic))  # one by one, in order
+        for i in range(int(points.max(initial=0))):
+            total = total + np.where(i < points, v[np.minimum(boxes.begins + i, len(v) - 1)], 0.0)
+        return total / np.maximum(points, 1)
+
+    cx, cy, w, h = mean(boxes.x), mean(boxes.y), extent(boxes.x), extent(boxes.y)
+
+    # The surroundings of the heading with most names near it.
+    heads, named = np.flatnonzero(head > 0), np.flatnonzero(hits > 0)
+    r = np.maximum(w, h)
+    low_x, high_x, low_y, high_y = cx - 6 * r, cx + 8 * r, cy - 4 * r, cy + 10 * r
+    a, b = pairs_within(pic[heads], pic[named])
+    i, j = heads[a], named[b]
+    inside = (cx[j] >= low_x[i]) & (cx[j] <= high_x[i]) & (cy[j] >= low_y[i]) & (cy[j] <= high_y[i])
+    near = np.bincount(a[inside], weights=hits[j[inside]], minlength=len(heads))
+    best = np.lexsort((np.arange(len(heads)), -near, pic[heads]))
+    best = best[changes(pic[heads][best])]
+    around = np.full(pictures, -1)
+    around[pic[heads[best]]] = np.where(near[best] >= 3, heads[best], -1)
+    at = around[pic]
+    scope = (at < 0) | (cx >= low_x[at]) & (cx <= high_x[at]) & (cy >= low_y[at]) & (cy <= high_y[at]) if len(pic) else np.zeros(0, bool)
+
+    # The first box of each field's name, and their frame.
+    name = np.full((pictures, fields), -1)
+    for f in range(fields):
+        where = np.flatnonzero(scope & (kinds[:, f] > 0))
+        where = where[changes(pic[where])]
+        name[pic[where], f] = where
+    if not len(pic):
+        name = name[:0]
+    there, n_names = name >= 0, (name >= 0).sum(axis=1)
+    of_names = lambda v, empty: np.where(there, v[name], empty) if len(pic) else np.zeros((0, fields))
+    x0, x1, y0, y1 = of_names(cx, np.inf).min(axis=1), of_names(cx, -np.inf).max(axis=1), of_names(cy, np.inf).min(axis=1), of_names(cy, -np.inf).max(axis=1)
+    mw, mh = (of_names(v, 0.0).sum(axis=1) / np.maximum(n_names, 1) for v in (w, h))
+    stands = of_names(h > w * 1.5, False).astype(bool)
+    upright = stands.sum(axis=1) * 2 > n_names
+    within = (cx >= (x0 - mw * 8)[pic]) & (cx <= (x1 + mw * 12)[pic]) & (cy >= (y0 - mh * 8)[pic]) & (cy <= (y1 + mh * 12)[pic]) if len(pic) else np.zeros(0, bool)
+    numbers = np.flatnonzero((count > 0) & within)
+
+    # By rank: columns by gaps on the main axis, the n-th number of a column to the n-th name across.
+    edge, span = np.where(upright, y1, x1), np.where(upright, y1 - y0, x1 - x0)
+    ranked = numbers[n_names[pic[numbers]] >= 4]
+    turned = upright[pic[ranked]]
+    axis, cross = np.where(turned, cy[ranked], cx[ranked]), np.where(turned, cx[ranked], cy[ranked])
+    order = np.lexsort((np.arange(len(ranked)), axis, pic[ranked]))
+    order = order[axis[order] > 0]
+    p, along = pic[ranked[order]], axis[order]
+    column = np.cumsum(changes(p) | np.append(True, np.diff(along) > np.maximum(span[p[1:]] * 0.5, 40))[: len(p)]) - 1
+    m = np.bincount(column) if len(column) else np.zeros(0, int)
+    beyond = np.bincount(column, weights=along > edge[p]) if len(column) else np.zeros(0)
+    down = np.lexsort((np.arange(len(order)), cross[order], column))
+    order, p, column = order[down], p[down], column[down]
+    place = np.arange(len(order)) - (np.cumsum(m) - m)[column] - (m[column] - n_names[p])
+    kept = (m[column] >= n_names[p]) & (beyond[column] >= m[column] * 0.6) & (place >= 0)
+    box, p, column, place = ranked[order[kept]], p[kept], column[kept], place[kept]
+    new = changes(column)
+    turn = np.cumsum(new) - 1 if len(new) else np.zeros(0, int)
+    first_of = np.zeros(pictures, int)
+    first = changes(p)
+    first_of[p[first]] = turn[first]
+    turn = turn - first_of[p]
+    box, p, place, turn = (v[turn < 2] for v in (box, p, place, turn))
+    values = np.full((2, pictures, fields), np.nan)
+    values[turn, p, place] = number[box]
+    across = np.where(upright[:, None], of_names(cx, np.inf), of_names(cy, np.inf)) if len(pic) else np.zeros((0, fields))
+    listed = np.lexsort((np.broadcast_to(np.arange(fields), across.shape), np.where(np.isfinite(across), across, np.inf)), axis=1)  # the place's field
+    fits = np.array([[f in UNIT_FIELDS[u] for f in NAMES] for u in UNIT_WORDS] + [[True] * fields])
+    wrong = np.bincount(p, weights=~fits[unit[box].astype(int), listed[p, place]], minlength=pictures) if len(p) else np.zeros(pictures)
+    sure = (np.bincount(p, minlength=pictures) > 0) & (wrong == 0)
+
+    out = np.full((2, pictures, fields), np.nan)
+    if len(pic):
+        for c in (0, 1):
+            np.put_along_axis(out[c], listed, values[c], axis=1)
+    out[:, ~sure] = np.nan
+    how = np.where(sure, 0, 2)[:, None].repeat(fields, axis=1)
+
+    # A box with its own numbers, else the first numbers beside or below a name.
+    open_ = there & ~sure[:, None] if len(pic) else np.zeros((pictures, fields), bool)
+    own = open_ & (np.take_along_axis(kinds[name], np.arange(fields)[None, :, None], axis=2)[:, :, 0] == 2) if len(pic) else open_
+    how[own] = 1
+    for c, v in ((0, number), (1, more)):
+        out[c][own] = v[name[own]]
+    who, field = np.nonzero(open_ & np.isnan(out[1]))
+    at = name[who, field]
+    below = h[at] > w[at] * 1.5
+    reach = np.where(below, np.maximum(w[at], mw[who]) * 0.9, np.maximum(h[at], mh[who]) * 0.7)
+    a, b = pairs_within(who, pic[numbers])
+    other, down = numbers[b], below[a]
+    x, y = np.where(down, cx[other], cy[other]), np.where(down, cy[other], cx[other])
+    close = (other != at[a]) & (np.abs(x - np.where(below, cx[at], cy[at])[a]) <= reach[a]) & (y > np.where(below, cy[at], cx[at])[a])
+    a, other, y = a[close], other[close], y[close]
+    order = np.lexsort((other, y, a))
+    a, other = a[order], other[order]
+    nearest = np.flatnonzero(changes(a))
+    got, one = a[nearest], other[nearest]
+    next_ = np.minimum(nearest + 1, max(len(a) - 1, 0))
+    second = np.where(count[one] > 1, more[one], np.where((next_ > nearest) & (a[next_] == got), number[other[next_]], np.nan)) if len(a) else np.empty(0)
+    where, what = who[got], field[got]
+    told = own[where, what]
+    out[1][where, what] = np.where(told, number[one], second)
+    out[0][where, what] = np.where(told, out[0][where, what], number[one])
+
+    who, field = np.nonzero(there & ~np.isnan(out).all(axis=0)) if len(pic) else (np.zeros(0, int), np.zeros(0, int))
+    cell = lambda v: pa.array(v[who, field], from_pandas=True)
+    return {"picture": who, "field": pa.array(np.array(list(NAMES), object)[field], pa.string()), "a": cell(out[0]), "b": cell(out[1]), "how": pa.array(np.array(["rank", "same_box", "band"], object)[how[who, field]], pa.string())}
+
+
+def picture_tables(rows: DataFrame, key: str) -> DataFrame:
+    """`box_tables` of pictures whose boxes come in arrays.  rows: key, boxes (array<struct<no, text, box>>)."""
+    texts = Texts()
+    return by_picture(rows.where(F.col(key).isNotNull()), key, lambda boxes, n: found_tables(texts, boxes, n), "field string, a double, b double, how string", 4, lambda boxes: box_tables(boxes, key))

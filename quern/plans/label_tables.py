@@ -108,7 +108,7 @@ def order_boxes(spark: SparkSession, sf_dir: str, ingredients: bool = False) ->
 @query()
 def box_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of every order's picture, by rank, by box or by band."""
-    return B.box_tables(order_boxes(spark, sf_dir), "l_orderkey")
+    return B.picture_tables(order_rows(spark, sf_dir), "l_orderkey")
 
 
 def order_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,33 @@ def test_texts_are_read_once(spark, monkeypatch):
     got = sorted((r.case, r.field, r.a, r.b) for r in B.box_tables(df, "case").collect())
     assert got == sorted(x for k in range(50) for x in ((k, "sodium", 5.5, None), (k, "fat", 5.0, 7.0)))
     assert seen == [sorted({t or "" for _, _, t, _ in rows})]
+
+
+def test_pictures_in_batches_like_loops(spark, monkeypatch):
+    """Pictures of few plain boxes meet in batches, over several of Arrow's; those with many boxes or odd ones go by joins."""
+    from quern.operators import pictures as P
+
+    rng = random.Random(14)
+    rows, want = [], {}
+    for case in range(120):
+        boxes = [(no, t, b) for no, (t, b) in enumerate(random_record(rng))] + [(98, "熱量", None), (99, "12", [[1.0, 2.0]])]
+        if case % 50 == 7:  # no numbers in a point of a box without text: it has no place
+            boxes.append((97, "", [[1.0, 2.0], [1.0, 2.0], [None, 2.0], [1.0, 2.0]]))
+        rows += [(case, no, t, b and [[v if v is None else float(v) for v in p] for p in b]) for no, t, b in boxes]
+        want[case] = slow_table([x for x in boxes if x[0] != 97])
+    df = spark.createDataFrame(rows, "case long, no long, text string, box array<array<double>>")
+    ways, joined = [], B.box_tables
+    monkeypatch.setattr(B, "box_tables", lambda boxes, key: ways.extend(r.case for r in boxes.select("case").distinct().collect()) or joined(boxes, key))
+    monkeypatch.setattr(P, "MOST", 28)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = defaultdict(dict)
+        for r in B.picture_tables(P.boxes_in_rows(df, "case"), "case").collect():
+            assert r.field not in got[r.case]
+            got[r.case][r.field] = (r.a, r.b)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = {c: sum(r[0] == c for r in rows) for c in want}
+    assert set(ways) == {c for c in want if n[c] > 28 or c % 50 == 7} and 2 < len(ways) < 60
+    for case in want:
+        assert got.get(case, {}) == want[case], (case, [r for r in rows if r[0] == case])
