@@ -9,7 +9,7 @@ Flattening looks at what stands before a bracket and in it:
 
 Matching takes an item's candidate names in order; the first that the dictionary knows
 wins.  For a candidate, equal names come before contained ones and longer before shorter
-ones.  All comparisons are equi-joins on distinct names: whole candidates first, then
+ones.  An item's entry depends on its name alone, so each name is looked up once.  All comparisons are equi-joins on distinct names: whole candidates first, then
 parts of those that are left, of the lengths that the dictionary has.  The dictionary
 may have any size; so may the texts.
 """
@@ -21,12 +21,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.fields import CLOSE, OPEN, SEPARATORS
 from quern.functions.labels import APOSTROPHES, CANON, NOTES, label_name
 from quern.functions.texts import FULL, HALF
+from quern.operators.components import written
 from quern.sources.tables import spread
 
 # Generic terms, places of origin, waters, endings of organisms.
@@ -44,6 +46,7 @@ EDGE = " 　\t\r\n。，,、;；:：●•·※*"
 FOLD = str.maketrans(dict(zip(FULL, HALF)) | CANON)
 NOTED = re.compile(f"^(?:{'|'.join(NOTE_STARTS)})|(?:{'|'.join(NOTE_ENDS)})$|^\\d+(?:\\.\\d+)?%?$")
 PIECES = re.compile("([" + re.escape(OPEN + CLOSE + SEPARATORS) + "])")
+FEW = 100_000  # names that go to every task
 MOST_NESTED = 200  # brackets deeper than this are read as text
 
 
@@ -206,26 +209,68 @@ def items_of(sections: DataFrame, key: str, text: str, substances: DataFrame | N
         for batch in texts:
             yield batch.map(outer_names)
 
-    @F.pandas_udf(ITEM)
-    def flat(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, known in batches:
-            out = []
-            for t, k in zip(texts, known):
-                rows = flat_items(t, terms, frozenset(() if k is None else k))
-                for r in rows:
-                    outer = key_of(outside(r["name"]))
-                    r |= {"candidates": candidates(r["name"], terms), "generic": is_generic(outer, terms), "water": key_of(r["name"]) in WATERS}
-                out.append(rows)
-            yield pd.Series(out, dtype=object)
-
-    rows = spread(sections.select(key, F.col(text).alias("text_")))
+    rows = sections.select(key, F.col(text).alias("text_"))
     if substances is None:
-        rows = rows.withColumn("known", F.array().cast("array<string>"))
-    else:
-        wanted = rows.select(key, F.explode(asked("text_")).alias("name"))
-        known = wanted.join(substances.select(label_name(F.col("name")).alias("name")).distinct(), "name").groupBy(key).agg(F.collect_set("name").alias("known"))
-        rows = spread(rows.join(known, key, "left"))
-    return rows.select(key, F.posexplode(flat("text_", "known")).alias("place", "item_")).select(key, "place", "item_.*")
+        return unfolded(rows, key, flat_texts(terms, frozenset())("text_"))
+    names = written(substances.select(label_name(F.col("name")).alias("name")).where("name is not null").distinct())
+    few = names.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return unfolded(rows, key, flat_texts(terms, frozenset(r["name"] for r in few))("text_"))
+    rows = spread(rows)
+    wanted = rows.select(key, F.explode(asked("text_")).alias("name"))
+    known = wanted.join(names, "name").groupBy(key).agg(F.collect_set("name").alias("known"))
+    return unfolded(spread(rows.join(known, key, "left")), key, flat_texts(terms)("text_", "known"))
+
+
+def unfolded(rows: DataFrame, key: str, items: Column) -> DataFrame:
+    return rows.select(key, F.posexplode(items).alias("place", "item_")).select(key, "place", "item_.*")
+
+
+def flat_texts(generic: frozenset[str], substances: frozenset[str] | None = None) -> Callable:
+    """An Arrow function: the items of texts, column by column.  Substances are the same for all texts or come with each."""
+
+    @remembered
+    def asked_of(name: str) -> tuple[list[str], bool, bool]:
+        return candidates(name, generic), is_generic(key_of(outside(name)), generic), key_of(name) in WATERS
+
+    def items(texts: list, known: list) -> pa.Array:
+        ends, names, paths, path_ends, kinds, times, asked, asked_ends, terms, waters = [0], [], [], [0], [], [], [], [0], [], []
+        for text, substances in zip(texts, known):
+            for r in flat_items(text, generic, substances):
+                found, term, water = asked_of(r["name"])
+                names.append(r["name"])
+                paths += r["path"]
+                path_ends.append(len(paths))
+                kinds.append(r["kind"])
+                times.append(r["occurrences"])
+                asked += found
+                asked_ends.append(len(asked))
+                terms.append(term)
+                waters.append(water)
+            ends.append(len(names))
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        text = lambda values: pa.array(values, pa.string())
+        columns = {
+            "name": text(names), "path": lists(path_ends, text(paths)), "kind": text(kinds), "occurrences": pa.array(times, pa.int32()),
+            "candidates": lists(asked_ends, text(asked)), "generic": pa.array(terms, pa.bool_()), "water": pa.array(waters, pa.bool_()),
+        }
+        return lists(ends, pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+    if substances is None:
+
+        @F.arrow_udf(ITEM)
+        def of_each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, known in batches:
+                yield items(texts.to_pylist(), [frozenset(k or ()) for k in known.to_pylist()])
+
+        return of_each
+
+    @F.arrow_udf(ITEM)
+    def of_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield items(texts.to_pylist(), [substances] * len(texts))
+
+    return of_all
 
 
 def dictionary_names(additives: DataFrame) -> DataFrame:
@@ -268,14 +313,18 @@ def known_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
 
 def matched(items: DataFrame, additives: DataFrame, key: str, generic: list[str] = GENERIC) -> DataFrame:
     """The items with id, candidate and how of their entry, and basis: additive_db, water, generic_term or none."""
-    terms = [*generic, *(f"複方{g}" for g in generic)]
-    asked = items.where(~F.col("water") & ~(F.col("generic") & (F.size("candidates") <= 1))).select(key, "place", F.posexplode("candidates").alias("turn", "candidate"))
+    terms, asks = [*generic, *(f"複方{g}" for g in generic)], ["name", "candidates", "generic", "water"]
+    items = written(items)  # read twice: for the names, and for the items with them
+    names = written(items.select(asks).distinct())  # lists repeat their names, and an entry depends on the name alone
+    asked = names.where(~F.col("water") & ~(F.col("generic") & (F.size("candidates") <= 1))).select("name", F.col("candidates").alias("of"), F.posexplode("candidates").alias("turn", "candidate"))
     asked = asked.where(~F.col("candidate").isin(terms))
     known = known_names(asked.select("candidate").distinct(), dictionary_names(additives))
-    first = asked.join(known, "candidate").groupBy(key, "place").agg(F.min_by(F.struct("candidate", "id", "how"), "turn").alias("m"))
-    out = items.join(first, [key, "place"], "left")
+    first = asked.join(known, "candidate").groupBy("name", "of").agg(F.min_by(F.struct("candidate", "id", "how"), "turn").alias("m"))
     basis = F.when(F.col("m").isNotNull(), "additive_db").when(F.col("water"), "water").when(F.col("generic"), "generic_term").otherwise("none")
-    return out.select(key, "place", "name", "path", "kind", "occurrences", "m.candidate", "m.id", "m.how", basis.alias("basis"))
+    first = first.withColumnsRenamed({"of": "candidates"})
+    told = written(names.join(first, ["name", "candidates"], "left").select(*asks, "m", basis.alias("basis")))
+    out = items.join(F.broadcast(told) if told.count() <= FEW else told, asks)
+    return out.select(key, "place", "name", "path", "kind", "occurrences", "m.candidate", "m.id", "m.how", "basis")
 
 
 def coverage(rows: DataFrame, key: str) -> DataFrame:

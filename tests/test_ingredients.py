@@ -187,3 +187,21 @@ def test_names_are_read_once():
     assert [f("a"), f("a"), f("a", "b"), f("a"), f("abcdef"), f("abcdef")] == ["a", "a", "ab", "a", "abcdef", "abcdef"]
     assert asked == ["a", "a", "abcdef", "abcdef"]
     assert [f("c"), f("a")] == ["c", "a"] and asked[-2:] == ["c", "a"]  # bounded: the rest was given up
+
+
+def test_few_and_many_names(spark, monkeypatch):
+    """A dictionary of any size gives the same items; a name is looked up once, however many lists hold it."""
+    texts = [(i, "、".join(["香油(大豆油、芝麻油)", "檸檬酸鈉", "甘草(甜味劑)", "乳化劑(脂肪酸甘油酯)"][: i % 5])) for i in range(40)] + [(90, None)]
+    df = spark.createDataFrame(texts, "i long, t string")
+    additives = spark.createDataFrame([*KNOWN, (99, "香油", None, None)], "id long, name string, english string, aliases array<string>")
+    asked, look = [], N.known_names
+    monkeypatch.setattr(N, "known_names", lambda wanted, names: asked.append(sorted(r.candidate for r in wanted.collect())) or look(wanted, names))
+    got = []
+    for few in (100_000, 0):
+        monkeypatch.setattr(N, "FEW", few)
+        got.append(sorted((r.i, r.place, r.name, r.id, r.how, r.basis) for r in N.matched(N.items_of(df, "i", "t", additives.select("name")), additives, "i").collect()))
+    assert got[0] == got[1] and len(got[0]) == 8 * (1 + 2 + 3 + 4)
+    assert asked[0] == asked[1] and len(asked[0]) == len(set(asked[0])) <= 9
+    plan = N.items_of(df, "i", "t", additives.select("name"))._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(N, "FEW", 100_000)
+    assert "Join" in plan and "Join" not in N.items_of(df, "i", "t", additives.select("name"))._jdf.queryExecution().executedPlan().toString()
