@@ -57,7 +57,7 @@ def sequence_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def whole_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best table of every order's label, one reading a field, with the other side derived where one is missing."""
-    return R.filled(R.best_tables(sequence_readings(spark, sf_dir), "o_orderkey"))
+    return R.filled(R.text_tables(order_texts(spark, sf_dir), "o_orderkey"))
 
 
 def order_rows(spark: SparkSession, sf_dir: str, ingredients: bool = False) -> DataFrame:
