@@ -128,7 +128,7 @@ def by_picture(rows: DataFrame, key: str, found: Callable[[Boxes, int], dict], c
     rest, done = out.where("left").select(key), out.where("not left").drop("left")
     if rest.isEmpty():
         return done
-    boxes = rows.join(rest, key, "left_semi").select(key, F.inline(F.filter("boxes", lambda b: b.isNotNull())))
+    boxes = rows.join(rest, key, "left_semi").select(key, F.inline_outer(F.filter("boxes", lambda b: b.isNotNull())))
     return done.unionByName(joined(boxes))
 
 
